@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tessera.llm.language import op2_language
 from tessera.llm.packing import op1_packing
 from tessera.llm.pieces import op10_pieces
 from tessera.llm.sharding import op3_sharding
+from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op3_sharding": op3_sharding,
+    "op8_toxicity": op8_toxicity,
     "op10_pieces": op10_pieces,
 }
 
