@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessera.llm.language import op2_language
+from tessera.llm.line_dedup import op7_line_dedup
+from tessera.llm.near_dup import op4_near_dup
 from tessera.llm.packing import op1_packing
 from tessera.llm.pieces import op10_pieces
 from tessera.llm.sharding import op3_sharding
@@ -12,6 +14,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
+    "op4_near_dup": op4_near_dup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_pieces": op10_pieces,
 }
