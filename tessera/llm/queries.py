@@ -9,12 +9,14 @@ from tessera.llm.packing import op1_packing
 from tessera.llm.pieces import op10_pieces
 from tessera.llm.sharding import op3_sharding
 from tessera.llm.toxicity import op8_toxicity
+from tessera.llm.vector_dup import op6_vector_dup
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_near_dup": op4_near_dup,
+    "op6_vector_dup": op6_vector_dup,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_pieces": op10_pieces,
