@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.language import op2_language
 from tessera.llm.line_dedup import op7_line_dedup
+from tessera.llm.lm import op5_lm
 from tessera.llm.near_dup import op4_near_dup
 from tessera.llm.packing import op1_packing
 from tessera.llm.pieces import op10_pieces
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_near_dup": op4_near_dup,
+    "op5_lm": op5_lm,
     "op6_vector_dup": op6_vector_dup,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
