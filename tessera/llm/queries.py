@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.language import op2_language
 from tessera.llm.line_dedup import op7_line_dedup
 from tessera.llm.lm import op5_lm
+from tessera.llm.media import op9_media
 from tessera.llm.near_dup import op4_near_dup
 from tessera.llm.packing import op1_packing
 from tessera.llm.pieces import op10_pieces
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_vector_dup": op6_vector_dup,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_media": op9_media,
     "op10_pieces": op10_pieces,
 }
 

@@ -60,7 +60,7 @@ class Bits:
         return (int.from_bytes(self.data[byte : byte + 4], "little") >> (self.at & 7)) & 0x7FFF
 
 
-ROOT = 10  # bits of the direct tables
+ROOT = 9  # bits of the direct tables
 
 
 @dataclass
@@ -215,6 +215,9 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
             symbol += s
             length += m
     codes = Codes.build(np.array(alphabet, np.int64), np.array(symbol, np.int64), np.array(length, np.int64), int(code0[-1]))
+    # Where every alpha code has one symbol, none of them takes bits.
+    only = np.array([x[0][0] if x[0] else 0 for p in plans for x in p.codes], np.int64)
+    plain = all(len(x[0]) == 1 for p in plans for x in p.codes[3::5])
     most = max((p.cache_bits for p in plans), default=0)
     cache = np.zeros((n, 1 << most), np.uint32)
     shift = np.array([32 - p.cache_bits if p.cache_bits else 31 for p in plans], np.uint32)
@@ -247,21 +250,27 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
             bb, cc = (b, c0) if full else (b[at], c0[at])
             if meta:
                 cc = cc + np.array([0 if plans[k].group_of is None else 5 * int(plans[k].group_of[(q // w) >> plans[k].group_bits, (q % w) >> plans[k].group_bits]) for k, q, w in zip(lane[at].tolist(), p[at].tolist(), wide[at].tolist())], np.int64)
-            g, m = codes.decode(cc, window(bb) & 0x7FFF)
+            view = window(bb)
+            g, m = codes.decode(cc, view & 0x7FFF)
             bb = bb + m
             literal = g < GREEN
             if literal.all():
-                pick, lb, lc, lg = slice(None), bb, cc, g
+                pick, lb, lc, lg, view = slice(None), bb, cc, g, view >> m
             else:
                 pick = np.flatnonzero(literal)
-                lb, lc, lg = bb[pick], cc[pick], g[pick]
+                lb, lc, lg, view = bb[pick], cc[pick], g[pick], view[pick] >> m[pick]
             if len(lb):
-                red, m1 = codes.decode(lc + 1, window(lb) & 0x7FFF)
+                red, m1 = codes.decode(lc + 1, view & 0x7FFF)
                 lb = lb + m1
                 view = window(lb)
                 blue, m2 = codes.decode(lc + 2, view & 0x7FFF)
-                alpha, m3 = codes.decode(lc + 3, (view >> m2) & 0x7FFF)
-                bb[pick] = lb + m2 + m3
+                lb = lb + m2
+                if plain:
+                    alpha = only[lc + 3]
+                else:
+                    alpha, m3 = codes.decode(lc + 3, (view >> m2) & 0x7FFF)
+                    lb = lb + m3
+                bb[pick] = lb
                 argb[at[pick]] = (alpha << 24 | red << 16 | lg << 8 | blue).astype(np.uint32)
             if not isinstance(pick, slice):
                 back = np.flatnonzero((g >= GREEN) & (g < GREEN + LENGTHS))
@@ -274,8 +283,7 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
                     far, extra = value(dp, tb)
                     bb[back] = tb + extra
                     short = np.minimum(far, 120) - 1
-                    near = NEAR[short, 0] * -1 + 0
-                    plane = np.maximum(NEAR[short, 1] * wide[at[back]] - NEAR[short, 0], 1) if len(NEAR) else near
+                    plane = np.maximum(NEAR[short, 1] * wide[at[back]] + NEAR[short, 0], 1)
                     step = np.where(far > 120, far - 120, plane)
                     if (step > p[at[back]]).any():
                         raise ValueError("a back-reference points before the image")
@@ -446,7 +454,7 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
             kind = bits.read(2)
             if kind in (PREDICTOR, CROSS):
                 size = bits.read(3) + 2
-                transforms.append((kind, size, _small(bits, -(-wide >> size) if False else (wide + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size), wide))
+                transforms.append((kind, size, _small(bits, (wide + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size), wide))
             elif kind == SUBTRACT:
                 transforms.append((kind, 0, None, wide))
             else:
@@ -667,10 +675,12 @@ def encode(images: list[np.ndarray], force: tuple[int, ...] | None = None, mode:
     flat = np.concatenate([im.ravel() for im in images])
     if force is None:
         plain = _cost(flat, ids, len(images))
-        guessed = [apply_predictor(im, mode) for im in images]
-        with_top = _cost(np.concatenate([g.ravel() for g in guessed]), ids, len(images))
-        crossed = [cross_colour(im, np.full((1, 1), _FACTORS), 14, -1) for im in images]
-        with_green = _cost(np.concatenate([g.ravel() for g in crossed]), ids, len(images))
+        c = _channels(flat)
+        wide = np.repeat([im.shape[1] for im in images], [im.size for im in images])
+        at = np.arange(len(flat)) - np.repeat(np.cumsum([0] + [im.size for im in images[:-1]]), [im.size for im in images])
+        up = np.arange(len(flat)) - np.where(at < wide, 1, wide)
+        with_top = _cost(_joined(c - np.where((at > 0)[:, None], c[up], [255, 0, 0, 0])), ids, len(images))
+        with_green = _cost(_joined(c - c[:, [2, 2, 2, 2]] * [0, 1, 0, 1]), ids, len(images))
     for k, im in enumerate(images):
         height, width = im.shape
         w = Writer()
@@ -700,11 +710,11 @@ def encode(images: list[np.ndarray], force: tuple[int, ...] | None = None, mode:
             if kind == PREDICTOR:
                 w.put(BLOCK_BITS - 2, 3)
                 _put_flat(w, np.full(blocks, OPAQUE | np.uint32(mode << 8)))
-                im = guessed[k] if force is None else apply_predictor(im, mode)
+                im = apply_predictor(im, mode)
             elif kind == CROSS:
                 w.put(BLOCK_BITS - 2, 3)
                 _put_flat(w, np.full(blocks, _FACTORS))
-                im = crossed[k] if force is None else cross_colour(im, np.full(blocks, _FACTORS), BLOCK_BITS, -1)
+                im = cross_colour(im, np.full(blocks, _FACTORS), BLOCK_BITS, -1)
             elif kind == SUBTRACT:
                 c = _channels(im)
                 c[..., 1] -= c[..., 2]
@@ -754,7 +764,6 @@ def _write(heads: list[Writer], bodies: list[np.ndarray], widths: np.ndarray, ca
         kind[np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))] = 3
         kind[starts] = 2
     c = _channels(pixels)
-    alpha_of = {0: 0, 1: 1, 2: 2, 3: 3}
     size = GREEN + LENGTHS + ((1 << most) if most else 0)
     green = c[:, 2].copy()
     green[kind == 1] = GREEN + LENGTHS + slot[kind == 1]
