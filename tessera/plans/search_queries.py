@@ -91,8 +91,8 @@ def edit_distance_pairs(spark, sf_dir):
 
 
 def fuzzy_titles(spark, sf_dir):
-    parts = read(spark, sf_dir, "part", "p_partkey", "p_type")
-    return parts.select("p_partkey", F.round(X.fuzzy_score(F.lit("stc"), F.col("p_type")), 6).alias("score")).where("score is not null")
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_name")
+    return parts.select("p_partkey", F.round(X.fuzzy_score(F.lit("rdt"), F.col("p_name")), 6).alias("score")).where("score is not null")
 
 
 def text_facts(spark, sf_dir):
