@@ -104,3 +104,59 @@ def test_upsert_and_patch(spark):
     assert {r["k"]: r["v"] for r in tables.upsert(a, b, "k", "ver").collect()} == {1: "z", 2: "y"}
     p = spark.createDataFrame([(1, None), (2, "q")], "k int, v string")
     assert {r["k"]: r["v"] for r in tables.patched(a, p, "k").collect()} == {1: "x", 2: "q"}
+
+
+def test_comments_keep_quotes_and_line_ends(spark):
+    from tessera.operators import code
+
+    text = 'a("// no"); // yes\n/* one\ntwo */ b \'/*\' c'
+    assert one(spark, code.without_comments(F.col("t")), t=text) == 'a("// no"); \n\n b \'/*\' c'
+    assert one(spark, code.without_comments(F.col("t"), "hash"), t='x = "#" # note\ny') == 'x = "#" \ny'
+
+
+def test_functions_and_imports(spark):
+    from tessera.operators import code
+
+    text = "function alpha(a, b) {\n  if (a) {\n    return b;\n  }\n}\nfunction nil() { return 1; }\nimport x from './y';\n// import z from 'no'"
+    ls = lines.lines(spark.createDataFrame([("f.ts", text)], "path string, text string"), "path")
+    got = {r["name"]: (r["line_no"], r["end_line"], r["parameters"], r["complexity"]) for r in code.brace_functions(ls).collect()}
+    assert got == {"alpha": (1, 5, 2, 2), "nil": (6, 6, 0, 1)}
+    assert {(r["specifier"], r["kind"]) for r in code.imports(ls.where("line_no < 8")).collect()} == {("./y", "static")}
+    assert one(spark, code.package_name(F.col("s")), s="@a/b/c") == "@a/b"
+
+
+def test_ignore_rules(spark):
+    from tessera.operators import code
+
+    for path, want in (("a/node_modules/x.js", True), ("keep.log", False), ("x/y.log", True), ("src/deep/z.ts", False), ("build/a", True)):
+        assert one(spark, code.ignored(F.col("p"), ["node_modules/", "*.log", "!keep.log", "/build/"]), p=path) is want, path
+
+
+def test_snapshot(spark, tmp_path):
+    from tessera.operators import code
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "t.txt").write_bytes("﻿hé".encode())
+    (tmp_path / "b.bin").write_bytes(b"x\x00y")
+    (tmp_path / "skip.log").write_text("no")
+    got = {r["path"]: (r["binary"], r["text"]) for r in code.snapshot(spark, str(tmp_path), ["*.log"]).collect()}
+    assert got == {"a/t.txt": (False, "hé"), "b.bin": (True, None)}
+
+
+def test_manifests(spark):
+    from tessera.operators import code
+
+    toml = '[project]\nname = "x"\n[tool.poetry.dependencies]\nrequests = "^2.1" # c\n[other]\ny = "1"'
+    ls = lines.lines(spark.createDataFrame([("p", toml)], "path string, text string"), "path")
+    assert [(r["name"], r["range"]) for r in code.section_dependencies(ls, "dependencies$").collect()] == [("requests", "^2.1")]
+    files = spark.createDataFrame([("package.json", '{"dependencies": {"a": "^1"}, "devDependencies": {"b": "2"}}')], "path string, text string")
+    assert {(r["scope"], r["name"], r["range"]) for r in code.json_dependencies(files).collect()} == {("runtime", "a", "^1"), ("dev", "b", "2")}
+
+
+def test_routes(spark):
+    from tessera.operators import code
+
+    assert one(spark, code.route_template(F.col("p")), p="/u/{name}/7/<int:k>") == "/u/:id/:id/:id"
+    t = spark.createDataFrame([("/u/:id",), ("/u/new",), ("/:id/x",)], "template string")
+    r = spark.createDataFrame([(1, "/u/new"), (2, "/u/9"), (3, "/q/x"), (4, "/none")], "request_id int, path string")
+    assert {x["request_id"]: x["template"] for x in code.match_routes(r, t).collect()} == {1: "/u/new", 2: "/u/:id", 3: "/:id/x", 4: None}
