@@ -46,6 +46,10 @@ def boundaries(lines: list[str], window: int = WINDOW, spacing: int = SPACING, p
     return (np.flatnonzero(cut) + 1).tolist()
 
 
+def digest_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _is_passage(lines: list[str]) -> bool:
     """Whether a repeat of these lines is removed: several lines with text, or one long line."""
     full = sum(1 for x in lines if x.strip())
@@ -73,8 +77,7 @@ def _chunks(with_text: bool):
                     part = lines[last:end]
                     if _is_passage(part):
                         whole = "\n".join(part)
-                        digest = hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                        rows.append({"chunk": k, "digest": int.from_bytes(digest, "little", signed=True), "text": whole if with_text else None})
+                        rows.append({"chunk": k, "digest": digest_of(whole), "text": whole if with_text else None})
                     last = end
                 out.append(rows)
             kind = pa.list_(pa.struct([("chunk", pa.int32()), ("digest", pa.int64()), ("text", pa.string())]))
@@ -98,17 +101,21 @@ def _without(batches, kept: list[str]):
                 lines_out.append(0)
                 bytes_out.append(0)
                 continue
-            lines, left, last, away, drop = t.split("\n"), [], 0, 0, set(g)
+            lines, left, last, away, dropped = (t or "").split("\n"), [], 0, 0, 0
+            named = {(x["chunk"], x["digest"]) for x in g}
+            numbers = {k for k, _ in named}
             for k, end in enumerate(boundaries(lines)):
-                if k in drop:
+                # The digest guards rows of other text under the same doc_id.
+                if k in numbers and (k, digest_of("\n".join(lines[last:end]))) in named:
                     away += end - last
+                    dropped += 1
                 else:
                     left += lines[last:end]
                 last = end
-            cleaned.append("\n".join(left))
-            chunks.append(len(drop))
+            cleaned.append("\n".join(left) if dropped else t)
+            chunks.append(dropped)
             lines_out.append(away)
-            bytes_out.append(len(t.encode()) - len(cleaned[-1].encode()))
+            bytes_out.append(len((t or "").encode()) - len((cleaned[-1] or "").encode()))
         new = {
             "text": pa.array(cleaned, pa.string()),
             "removed_chunks": pa.array(chunks, pa.int64()),
@@ -123,7 +130,7 @@ REMOVED = ["removed_chunks", "removed_lines", "removed_bytes"]
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Occurrences to remove: rows (doc_id, chunk), every one but the first of equal passages.
+    """Occurrences to remove: rows (doc_id, chunk, digest), every one but the first of equal passages.
 
     Equal digests only nominate; an occurrence is removed when its text equals,
     byte for byte, the text of the digest's first occurrence. First is the least
@@ -135,10 +142,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     firsts = slim.groupBy("digest").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.chunk").alias("first_chunk")))
     full = map_text(docs, _chunks(True), field).select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
-    again = materialise(full.join(firsts, "digest"))
+    # Sorted merges by choice: the plan is then the same at every size, and a digest
+    # or document with many rows is split by the adaptive skew join.
+    again = materialise(full.join(firsts.hint("merge"), "digest"))
     is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("chunk") == F.col("first_chunk"))
     model = again.where(is_first).select("digest", F.col("text").alias("first_text")).dropDuplicates(["digest"])
-    return again.where(~is_first).join(model, "digest").where("text = first_text").select("doc_id", "chunk").distinct()
+    return again.where(~is_first).join(model.hint("merge"), "digest").where("text = first_text").select("doc_id", "chunk", "digest").distinct()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -147,12 +156,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Columns of docs stay, other than ones named removed_chunks, removed_lines or
     removed_bytes, which are replaced. No row goes: a text of which nothing is
     left becomes ''. Null texts stay null, empty ones empty, and rows with a null
-    doc_id keep their text. Rows that repeat a doc_id are cleaned alike, and
-    their first occurrence is the same row. An empty table gives no rows.
+    doc_id keep their text. Rows that repeat a doc_id with its text are cleaned alike;
+    of rows of other text under one doc_id only passages that repeat go. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list("chunk").alias("__gone"))
+    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "digest")).alias("__gone"))
     names = [c for c in docs.columns if c not in REMOVED]
-    source = docs.select(names).withColumn("text", F.col("text").cast("string")).join(gone, "doc_id", "left").select(*names, "__gone")
+    source = docs.select(names).withColumn("text", F.col("text").cast("string")).join(gone.hint("merge"), "doc_id", "left").select(*names, "__gone")
     kept = names + REMOVED
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in REMOVED])
     return source.mapInArrow(lambda batches: _without(batches, kept), schema)

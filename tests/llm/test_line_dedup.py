@@ -74,6 +74,12 @@ def test_nulls_and_repeats(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_one_id_two_texts(spark):
+    a, b = "first line here\nsecond line here", "other line here\nanother line here\nlast"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert sorted(r["text"] for r in remove_repeats(df).collect()) == sorted([a, "", b])
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
     want = expected(dict(zip(docs.doc_id, docs.text)))
