@@ -30,6 +30,7 @@ SECRETS = (
     Rule("mail-address", "\\b([A-Za-z0-9._]+@[A-Za-z0-9.-]+\\.[a-z]{2,})\\b", "low"),
 )
 PLACEHOLDER = "(?i)change_?me|xxxx|example_key|your[_-]"
+# Phrases that give orders to a model.
 INJECTION = (
     "(?i)ignore (?:all )?(?:previous|prior|above) instructions",
     "(?i)disregard (?:the )?(?:system|previous) (?:prompt|instructions)",
