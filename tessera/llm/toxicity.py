@@ -191,7 +191,7 @@ class ToxicityModel:
 
 
 def _terms(automaton: Automaton):
-    """A word's beginnings of four letters and more and the closed word itself, once a text."""
+    """Of every word its beginnings of four letters and more and the closed word, each with the words on both sides."""
 
     def start():
         def work(column):
@@ -200,13 +200,15 @@ def _terms(automaton: Automaton):
                 low = text.lower()
                 points = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
                 s, e, _ = automaton.match(points)
-                found: set[str] = set()
-                for w in {low[a:b] for a, b in zip(s.tolist(), e.tolist())}:
+                words = [low[a:b] for a, b in zip(s.tolist(), e.tolist())]
+                found: set[tuple[str, str]] = set()
+                for before, w, after in set(zip(["", *words], words, [*words[1:], ""])):
                     if len(w) >= 4:
-                        found.add(w + END)
-                        found.update(w[:k] for k in range(4, min(len(w), 12) + 1))
-                out.append(sorted(found))
-            return {"terms": pa.array(out, pa.list_(pa.string()))}
+                        beside = f"{before} {after}"
+                        found.add((w + END, beside))
+                        found.update((w[:k], beside) for k in range(4, min(len(w), 12) + 1))
+                out.append([{"term": t, "beside": b} for t, b in sorted(found)])
+            return {"terms": pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("beside", pa.string())])))}
 
         return work
 
@@ -214,7 +216,7 @@ def _terms(automaton: Automaton):
 
 
 def choose_terms(found: dict[str, int]) -> list[str]:
-    """Of terms with their counts of toxic texts: the longest that say the same, then the shortest of those."""
+    """Of terms with their counts of contexts: the longest that say the same, then the shortest of those."""
     kept = set(found)
     for t in sorted(found, key=len):
         longer = [u for u in found if len(u) == len(t) + 1 and u.startswith(t)]
@@ -228,8 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
 
     labels has doc_id and toxic (0 or 1; other values and nulls are left out, of
     several labels the highest counts). The texts are those of least hash of
-    doc_id. A term goes into the lexicon if it is in enough toxic texts and
-    hardly in others; weights come from logistic regression, where a drawn text
+    doc_id. A term goes into the lexicon if it stands between enough different
+    words in toxic texts and hardly any in others, so that a text with many
+    copies counts about once; weights come from logistic regression, where a drawn text
     stands for all of its class. At most most_terms terms reach the driver.
     Without toxic labels every score is near 0.
     """
@@ -242,15 +245,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
     picked = own.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(4 * per_class)
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
-    terms = map_text(sample, _terms(Automaton.build([])), [T.StructField("terms", T.ArrayType(T.StringType()))], ("toxic",))
+    pair = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("beside", T.StringType())]))
+    terms = map_text(sample, _terms(Automaton.build([])), [T.StructField("terms", pair)], ("toxic",))
     drawn = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not drawn.get(1) or not drawn.get(0):
         return ToxicityModel()
-    enough = max(4, round(0.004 * drawn[1]))
+    enough = max(4, round(0.01 * drawn[1]))
     # Of what lies in the drawn texts, which hold as many clean as toxic ones where there are enough.
     ratio = drawn[1] / drawn[0]
     found = (
-        terms.select("toxic", F.explode("terms").alias("term"))
+        terms.select("toxic", F.explode("terms").alias("t"))
+        .select("toxic", "t.term", "t.beside")
+        .distinct()
         .groupBy("term")
         .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
         .where((F.col("bad") >= enough) & (F.col("bad") >= 12.0 * ratio * F.col("good")))
