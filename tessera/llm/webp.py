@@ -10,6 +10,7 @@ palette transform. Both are functions of the single image alone.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -61,13 +62,14 @@ class Bits:
 
 
 ROOT = 9  # bits of the direct tables
+_ROOT_REVERSED = _REVERSED[: 1 << ROOT] >> (15 - ROOT)
 
 
 @dataclass
 class Codes:
     """Canonical prefix codes of many alphabets, decoded by table and, for long codes, by search."""
 
-    table: np.ndarray  # alphabet x 2^ROOT: symbol * 16 + length; 15 for codes longer than ROOT
+    table: np.ndarray  # 2^ROOT entries an alphabet, by the next bits: symbol * 16 + length; 15 for longer codes
     first: np.ndarray  # left-aligned first code of every coded symbol, plus alphabet * 2^15
     symbol: np.ndarray
     length: np.ndarray
@@ -84,9 +86,9 @@ class Codes:
             raise ValueError("a prefix code is not complete")
         before = np.concatenate(([0], np.cumsum(sums)[:-1])).astype(np.int64)
         first = ends - room - before[alphabet]
-        table = np.zeros((count, 1 << ROOT), np.int32)
+        table = np.zeros((count, 1 << ROOT), np.int64)
         short = length <= ROOT
-        entry = (symbol * 16 + length).astype(np.int32)
+        entry = symbol * 16 + length
         entry[~short] = 15
         width = np.where(short, np.left_shift(1, np.maximum(ROOT - length, 0)), 0)
         flat = np.repeat(entry, width)
@@ -94,20 +96,38 @@ class Codes:
         table.ravel()[start + np.arange(len(flat))] = flat
         long = np.flatnonzero(~short)
         table[alphabet[long], first[long] >> (15 - ROOT)] = 15
-        return Codes(table, first + (alphabet << 15), symbol, length)
+        return Codes(table[:, _ROOT_REVERSED].ravel(), first + (alphabet << 15), symbol, length)
 
     def decode(self, alphabet: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and lengths at the 15 bits of every lane's window."""
-        top = _REVERSED[window]
-        entry = self.table[alphabet, top >> (15 - ROOT)]
-        symbol, length = (entry >> 4).astype(np.int64), (entry & 15).astype(np.int64)
-        if (length == 15).any():
-            far = np.flatnonzero(length == 15)
-            at = np.searchsorted(self.first, top[far] + (alphabet[far].astype(np.int64) << 15), "right") - 1
+        """Symbols and lengths at every lane's window, of which the lowest 15 bits count."""
+        entry = self.table.take((alphabet << ROOT) + (window & ((1 << ROOT) - 1)))
+        symbol, length = entry >> 4, entry & 15
+        long = length == 15
+        if long.any():
+            far = np.flatnonzero(long)
+            at = np.searchsorted(self.first, _REVERSED[window[far] & 0x7FFF] + (alphabet[far] << 15), "right") - 1
             symbol[far], length[far] = self.symbol[at], self.length[at]
         return symbol, length
 
 
+@lru_cache(maxsize=4096)
+def _length_table(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(symbol, length) for every value of the next 7 bits."""
+    some = [i for i in range(19) if lengths[i]]
+    if len(some) == 1:
+        return [(some[0], 0)] * 128
+    table = [(0, 0)] * 128
+    code = 0
+    for n in range(1, 8):
+        for s in some:
+            if lengths[s] == n:
+                for k in range(int(f"{code:0{n}b}"[::-1], 2), 128, 1 << n):
+                    table[k] = (s, n)
+                code += 1
+        code <<= 1
+    return table
+
+
 def _read_lengths(bits: Bits, size: int) -> tuple[list[int], list[int]]:
     """Symbols and code lengths of one code; a single symbol has length 0."""
     if bits.read(1):
@@ -119,44 +139,35 @@ def _read_lengths(bits: Bits, size: int) -> tuple[list[int], list[int]]:
     lengths = [0] * 19
     for i in range(4 + bits.read(4)):
         lengths[LENGTH_ORDER[i]] = bits.read(3)
-    some = [i for i in range(19) if lengths[i]]
-    table: list[tuple[int, int]] = [(some[0], 0)] * 128 if len(some) == 1 else [(0, 0)] * 128
-    if len(some) > 1:
-        code = 0
-        for n in range(1, 8):
-            for s in some:
-                if lengths[s] == n:
-                    back = int(f"{code:0{n}b}"[::-1], 2)
-                    for k in range(back, 128, 1 << n):
-                        table[k] = (s, n)
-                    code += 1
-            code <<= 1
+    table = _length_table(tuple(lengths))
     most = size
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
     out, last = [0] * size, 8
-    at = 0
-    stream, pos = bits.data, bits.at
+    at, pos, left, w = 0, bits.at, 0, 0
     while at < size and most:
         most -= 1
-        byte = pos >> 3
-        w = int.from_bytes(stream[byte : byte + 4], "little") >> (pos & 7)
+        if left < 16:
+            w, left = int.from_bytes(bits.data[pos >> 3 : (pos >> 3) + 120], "little") >> (pos & 7), 900
         s, n = table[w & 127]
-        pos += n
         if s < 16:
             out[at] = s
             at += 1
             last = s or last
         elif s == 16:
-            k, pos = 3 + (w >> n & 3), pos + 2
+            k = 3 + (w >> n & 3)
+            n += 2
             out[at : at + k] = [last] * k
             at += k
         elif s == 17:
-            k, pos = 3 + (w >> n & 7), pos + 3
-            at += k
+            at += 3 + (w >> n & 7)
+            n += 3
         else:
-            k, pos = 11 + (w >> n & 127), pos + 7
-            at += k
+            at += 11 + (w >> n & 127)
+            n += 7
+        w >>= n
+        pos += n
+        left -= n
     bits.at = pos
     if len(out) > size or at > size:
         raise ValueError("code lengths run over")
@@ -251,7 +262,7 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
             if meta:
                 cc = cc + np.array([0 if plans[k].group_of is None else 5 * int(plans[k].group_of[(q // w) >> plans[k].group_bits, (q % w) >> plans[k].group_bits]) for k, q, w in zip(lane[at].tolist(), p[at].tolist(), wide[at].tolist())], np.int64)
             view = window(bb)
-            g, m = codes.decode(cc, view & 0x7FFF)
+            g, m = codes.decode(cc, view )
             bb = bb + m
             literal = g < GREEN
             if literal.all():
@@ -260,15 +271,15 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
                 pick = np.flatnonzero(literal)
                 lb, lc, lg, view = bb[pick], cc[pick], g[pick], view[pick] >> m[pick]
             if len(lb):
-                red, m1 = codes.decode(lc + 1, view & 0x7FFF)
+                red, m1 = codes.decode(lc + 1, view)
                 lb = lb + m1
                 view = window(lb)
-                blue, m2 = codes.decode(lc + 2, view & 0x7FFF)
+                blue, m2 = codes.decode(lc + 2, view)
                 lb = lb + m2
                 if plain:
                     alpha = only[lc + 3]
                 else:
-                    alpha, m3 = codes.decode(lc + 3, (view >> m2) & 0x7FFF)
+                    alpha, m3 = codes.decode(lc + 3, view >> m2)
                     lb = lb + m3
                 bb[pick] = lb
                 argb[at[pick]] = (alpha << 24 | red << 16 | lg << 8 | blue).astype(np.uint32)
@@ -278,7 +289,7 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
                     tb = bb[back]
                     run, extra = value(g[back] - GREEN, tb)
                     tb = tb + extra
-                    dp, m = codes.decode(cc[back] + 4, window(tb) & 0x7FFF)
+                    dp, m = codes.decode(cc[back] + 4, window(tb))
                     tb = tb + m
                     far, extra = value(dp, tb)
                     bb[back] = tb + extra
@@ -654,9 +665,9 @@ def _entropy(counts: np.ndarray) -> np.ndarray:
     return -(counts * np.log2(np.where(counts > 0, counts, 1) / np.maximum(total, 1))).sum(axis=-1)
 
 
-def _cost(pixels: np.ndarray, image: np.ndarray, images: int) -> np.ndarray:
-    c = _channels(pixels)
-    return sum(_entropy(np.bincount(image * 256 + c[:, k], minlength=images * 256).reshape(images, 256)) for k in (1, 2, 3))
+def _cost(image: np.ndarray, images: int, *channels: np.ndarray) -> np.ndarray:
+    """Bits of every image's channels by the shares of their values."""
+    return sum(_entropy(np.bincount(image * 256 + (c & 255), minlength=images * 256).reshape(images, 256)) for c in channels)
 
 
 _FACTORS = np.uint32(0xFF002020)  # red and blue each less one green
@@ -674,13 +685,16 @@ def encode(images: list[np.ndarray], force: tuple[int, ...] | None = None, mode:
     ids = np.repeat(np.arange(len(images)), [im.size for im in images])
     flat = np.concatenate([im.ravel() for im in images])
     if force is None:
-        plain = _cost(flat, ids, len(images))
-        c = _channels(flat)
-        wide = np.repeat([im.shape[1] for im in images], [im.size for im in images])
-        at = np.arange(len(flat)) - np.repeat(np.cumsum([0] + [im.size for im in images[:-1]]), [im.size for im in images])
+        n = len(images)
+        red, green, blue = ((flat >> np.uint32(b)).astype(np.int64) & 255 for b in (16, 8, 0))
+        base = _cost(ids, n, green)
+        plain = base + _cost(ids, n, red, blue)
+        with_green = base + _cost(ids, n, red - green, blue - green)
+        sizes = [im.size for im in images]
+        at = np.arange(len(flat)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        wide = np.repeat([im.shape[1] for im in images], sizes)
         up = np.arange(len(flat)) - np.where(at < wide, 1, wide)
-        with_top = _cost(_joined(c - np.where((at > 0)[:, None], c[up], [255, 0, 0, 0])), ids, len(images))
-        with_green = _cost(_joined(c - c[:, [2, 2, 2, 2]] * [0, 1, 0, 1]), ids, len(images))
+        with_top = _cost(ids, n, *[c - np.where(at > 0, c[up], 0) for c in (red, green, blue)])
     for k, im in enumerate(images):
         height, width = im.shape
         w = Writer()
