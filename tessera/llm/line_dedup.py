@@ -1,4 +1,4 @@
-"""Removal of repeated passages by content-defined chunks of lines."""
+"""Removal of repeated passages: runs of lines with 50 words or more, and chunks of lines."""
 
 from __future__ import annotations
 
@@ -56,6 +56,37 @@ def _is_passage(lines: list[str]) -> bool:
     return full >= 2 or (full == 1 and max(x.count(" ") for x in lines) + 1 >= PASSAGE_WORDS)
 
 
+def _digest16(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def windows(lines: list[str], passage_words: int = PASSAGE_WORDS) -> list[tuple[int, int, bytes]]:
+    """Shortest runs of lines with passage_words words: (first line, end, digest), each first and last line with text.
+
+    One run starts at each line with text and one ends at each, where the text
+    has that many words after or before it; two such lines with blank ones between
+    make one more. Any run of lines of so many words is the union of those inside it, so a
+    passage repeats as a whole just where its windows do. The digest is of the lines and the blank lines between.
+    """
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    total = np.concatenate(([0], np.cumsum([len(lines[i].split()) for i in full], dtype=np.int64)))
+    n = len(full)
+    if total[-1] < passage_words:
+        return []
+    ahead = np.searchsorted(total, total[:-1] + passage_words)
+    behind = np.searchsorted(total, total[1:] - passage_words, side="right") - 1
+    spans = {(s, e) for s, e in enumerate(ahead.tolist()) if e <= n} | {(s, e) for e, s in enumerate(behind.tolist(), 1) if s >= 0}
+    # Two long lines with blank ones between: no window so far holds the blank ones.
+    spans |= {(k, k + 2) for k in range(n - 1) if full[k + 1] > full[k] + 1 and (k, k + 1) in spans and (k + 1, k + 2) in spans}
+    parts = []
+    for k, i in enumerate(full):
+        blank = lines[full[k - 1] + 1 : i] if k else []
+        parts.append(_digest16("\n".join(blank).encode("utf-8", "surrogatepass") + b"\n") if blank else bytes(16))
+        parts.append(_digest16(lines[i].encode("utf-8", "surrogatepass")))
+    joined = b"".join(parts)
+    return [(full[s], full[e - 1] + 1, _digest16(joined[32 * s + 16 : 32 * e])) for s, e in sorted(spans)]
+
+
 CHUNK = T.ArrayType(
     T.StructType(
         [
@@ -65,6 +96,15 @@ CHUNK = T.ArrayType(
         ]
     )
 )
+RUN = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("digest", T.BinaryType()),
+        ]
+    )
+)
 
 
 def _chunks(with_text: bool):
@@ -88,33 +128,47 @@ def _chunks(with_text: bool):
     return start
 
 
+def _runs():
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
+
+    def work(column: pa.Array) -> dict[str, pa.Array]:
+        out = [[{"start": s, "end": e, "digest": d} for s, e, d in windows(text.split("\n"))] for text in texts(column)]
+        return {"runs": pa.array(out, kind)}
+
+    return work
+
+
 def _without(batches, kept: list[str]):
-    """Texts without their removed chunks; a chunk's lines go with their line ends."""
+    """Texts without their removed chunks and runs; lines go with their line ends."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         gone = batch.column(batch.schema.get_field_index("__gone"))
+        runs = batch.column(batch.schema.get_field_index("__runs"))
         cleaned, chunks, lines_out, bytes_out = [], [], [], []
-        for t, g in zip(text.to_pylist(), gone.to_pylist()):
-            if not g:
+        for t, g, r in zip(text.to_pylist(), gone.to_pylist(), runs.to_pylist()):
+            if not g and not r:
                 cleaned.append(t)
                 chunks.append(0)
                 lines_out.append(0)
                 bytes_out.append(0)
                 continue
-            lines, left, last, away, dropped = (t or "").split("\n"), [], 0, 0, 0
-            named = {(x["chunk"], x["digest"]) for x in g}
+            lines, last, dropped = (t or "").split("\n"), 0, 0
+            away = np.zeros(len(lines), bool)
+            # The digests guard rows of other text under the same doc_id.
+            named = {(x["chunk"], x["digest"]) for x in g or ()}
             numbers = {k for k, _ in named}
-            for k, end in enumerate(boundaries(lines)):
-                # The digest guards rows of other text under the same doc_id.
+            for k, end in enumerate(boundaries(lines) if named else ()):
                 if k in numbers and (k, digest_of("\n".join(lines[last:end]))) in named:
-                    away += end - last
+                    away[last:end] = True
                     dropped += 1
-                else:
-                    left += lines[last:end]
                 last = end
-            cleaned.append("\n".join(left) if dropped else t)
+            repeated = {(x["start"], x["end"], x["digest"]) for x in r or ()}
+            for run in windows(lines) if repeated else ():
+                if run in repeated:
+                    away[run[0] : run[1]] = True
+            cleaned.append("\n".join(x for x, off in zip(lines, away.tolist()) if not off) if away.any() else t)
             chunks.append(dropped)
-            lines_out.append(away)
+            lines_out.append(int(away.sum()))
             bytes_out.append(len((t or "").encode()) - len((cleaned[-1] or "").encode()))
         new = {
             "text": pa.array(cleaned, pa.string()),
@@ -150,8 +204,37 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return again.where(~is_first).join(model.hint("merge"), "digest").where("text = first_text").select("doc_id", "chunk", "digest").distinct()
 
 
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Runs to remove: rows (doc_id, start, end, digest), every window whose lines an earlier place has.
+
+    Equal windows are those of equal 128-bit digests. The first is the least
+    (doc_id, start); one that overlaps it in the same document stays.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    slim = map_text(docs, _runs, [T.StructField("runs", RUN)]).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
+    firsts = slim.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialise(firsts.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.end").alias("first_end")))
+    later = (F.col("doc_id") > F.col("first_doc")) | ((F.col("doc_id") == F.col("first_doc")) & (F.col("start") >= F.col("first_end")))
+    return slim.join(firsts.hint("merge"), "digest").where(later).select("doc_id", "start", "end", "digest").distinct()
+
+
+def _clean(docs: DataFrame, runs: bool) -> DataFrame:
+    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "digest")).alias("__gone"))
+    names = [c for c in docs.columns if c not in REMOVED]
+    source = docs.select(names).withColumn("text", F.col("text").cast("string"))
+    if runs:
+        long = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "digest")).alias("__runs"))
+        gone = gone.hint("merge").join(long, "doc_id", "full_outer")
+    else:
+        gone = gone.withColumn("__runs", F.lit(None).cast(RUN))
+    source = source.join(gone.hint("merge"), "doc_id", "left").select(*names, "__gone", "__runs")
+    kept = names + REMOVED
+    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in REMOVED])
+    return source.mapInArrow(lambda batches: _without(batches, kept), schema)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages taken out of text, and what was removed.
+    """docs with repeated chunks alone taken out of text, and what was removed.
 
     Columns of docs stay, other than ones named removed_chunks, removed_lines or
     removed_bytes, which are replaced. No row goes: a text of which nothing is
@@ -159,16 +242,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id keep their text. Rows that repeat a doc_id with its text are cleaned alike;
     of rows of other text under one doc_id only passages that repeat go. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "digest")).alias("__gone"))
-    names = [c for c in docs.columns if c not in REMOVED]
-    source = docs.select(names).withColumn("text", F.col("text").cast("string")).join(gone.hint("merge"), "doc_id", "left").select(*names, "__gone")
-    kept = names + REMOVED
-    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in REMOVED])
-    return source.mapInArrow(lambda batches: _without(batches, kept), schema)
+    return _clean(docs, False)
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """As remove_repeats, and every run of lines with 50 words or more that an earlier place has goes whole.
+
+    removed_chunks counts repeated chunks only; removed_lines and removed_bytes
+    count all that was removed. Every line removed is left where it comes first.
+    """
+    return _clean(docs, True)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """For every document what was removed, and size and md5 of what is left."""
-    got = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     left = F.coalesce("text", F.lit(""))
     return got.select("doc_id", *REMOVED, F.octet_length(left).cast("long").alias("left_bytes"), F.md5(left.cast("binary")).alias("left_md5"))
