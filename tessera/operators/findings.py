@@ -46,19 +46,21 @@ def by_weight(severity: Column, weights: dict[str, int]) -> Column:
 
 
 def secrets(ls: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = SECRETS) -> DataFrame:
-    """(key, line_no, rule, severity, preview): one pass over lines, patterns as constants.
+    """(key, line_no, rule, severity, preview): a row for every match of a line; one pass, patterns as constants.
 
     Values that look like placeholders or fall below a rule's entropy are left
-    out; a preview is the first four characters and dots.
+    out, each on its own; a preview is the first four characters and dots.
     """
-    hits = []
-    for r in rules:
-        value = F.regexp_extract("line", r.pattern, 1)
-        ok = (value != "") & ~value.rlike(PLACEHOLDER)
-        if r.least_entropy:
-            ok &= entropy(value) >= r.least_entropy
-        hits.append(F.when(ok, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.concat(F.substring(value, 1, 4), F.lit("....")).alias("preview"))))
-    return ls.select(key, "line_no", F.explode(F.array_compact(F.array(*hits))).alias("f")).select(key, "line_no", "f.*")
+
+    def hits(r: Rule) -> Column:
+        def fits(value: Column) -> Column:
+            ok = (value != "") & ~value.rlike(PLACEHOLDER)
+            return ok & (entropy(value) >= r.least_entropy) if r.least_entropy else ok
+
+        values = F.filter(F.regexp_extract_all("line", F.lit(r.pattern), F.lit(1)), fits)
+        return F.transform(values, lambda v: F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.concat(F.substring(v, 1, 4), F.lit("....")).alias("preview")))
+
+    return ls.select(key, "line_no", F.explode(F.concat(*[hits(r) for r in rules])).alias("f")).select(key, "line_no", "f.*")
 
 
 def window_patterns(ls: DataFrame, rules: dict[str, str], key: str = "doc_id", lines: int = 4) -> DataFrame:
