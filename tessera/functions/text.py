@@ -34,8 +34,13 @@ def tokens(text: Column, stop_words: bool = True) -> Column:
 def ngrams(text: Column, n: int = 3) -> Column:
     """Lower-case windows of n characters of the trimmed text between two spaces."""
     padded = F.concat(F.lit(" "), F.lower(F.trim(text)), F.lit(" "))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    return F.when(F.length(padded) <= n, F.array(padded)).otherwise(windows)
+    chars = F.filter(F.split(padded, ""), lambda c: c != "")
+
+    def windows(cs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]))
+
+    # The array around chars has them split once, not for each window.
+    return F.when(F.length(padded) <= n, F.array(padded)).otherwise(F.transform(F.array(chars), windows)[0])
 
 
 def fuzzy_score(query: Column, target: Column) -> Column:
@@ -67,10 +72,10 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits a character; 0 for empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.when(F.size(chars) > 0, F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
+    n = F.length(text).cast("double")
+    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    each = F.transform(kinds, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
 
 
 def fnv1a32(text: Column) -> Column:

@@ -101,16 +101,16 @@ def text_facts(spark, sf_dir):
     return docs.select(
         "doc_id",
         X.first_sentence(t).alias("first_sentence"),
-        X.slug(F.substring(t, 1, 60)).alias("slug"),
+        X.slug(t).alias("slug"),
         X.format_bytes(F.octet_length(t).cast("long")).alias("size"),
-        F.size(X.ngrams(F.substring(t, 1, 40))).alias("ngrams"),
+        F.size(X.ngrams(t)).alias("ngrams"),
         X.token_estimate(t).alias("tokens"),
     )
 
 
 def entropy_by_doc(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.round(X.entropy(F.substring("text", 1, 200)), 6).alias("bits"))
+    return docs.select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("bits"))
 
 
 def fnv_hash(spark, sf_dir):
