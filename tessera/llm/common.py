@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -25,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path under the shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (unit tests on one machine) a temporary
-    folder is made and put into the session's settings.
+    Only where the session names none and Spark runs on one machine (unit tests)
+    a temporary folder is made and put into the session's settings.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -63,6 +66,22 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
+#: Bytes and rows of text that one call of an operator's function gets; a longer text comes alone.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 4000
+
+
+def by_size(column: pa.Array, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.Array]:
+    """Slices of a text column of up to most bytes and rows rows each, in order."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(column):
+        before = ends[lo - 1] if lo else 0
+        hi = min(max(lo + 1, int(np.searchsorted(ends, before + most, "right"))), lo + rows, len(column))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
@@ -73,11 +92,14 @@ def map_text(
     fields: Sequence[T.StructField],
     keep: Sequence[str] = ("doc_id",),
     where: Callable[[dict[str, pa.Array]], pa.Array] | None = None,
+    most: int = SLICE_BYTES,
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Run a function of the text column over Arrow batches, partition by partition.
+    """Run a function of the text column over slices of Arrow batches, partition by partition.
 
-    fn() is called once a partition and returns a function from the text column
-    to new columns. Columns in keep pass through; a new column replaces a kept
+    fn() is called once a partition and returns a function from a slice of the
+    text column, of most bytes and rows rows or a single longer text, to new columns; the
+    memory of a task is that of a slice, however many rows a batch has. Columns in keep pass through; a new column replaces a kept
     one of the same name. where, given the new columns, picks the rows to keep;
     then the new columns themselves are not returned.
     """
@@ -90,16 +112,18 @@ def map_text(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = work(batch.column(batch.schema.get_field_index("text")))
             old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            if where is not None:
-                out = pa.RecordBatch.from_arrays(old, kept).filter(where(new))
-                if out.num_rows:
-                    yield out
-            else:
-                yield pa.RecordBatch.from_arrays(old + [new[n] for n in names], kept + names)
+            lo = 0
+            for part in by_size(batch.column(batch.schema.get_field_index("text")), most, rows):
+                new = work(part)
+                here = [c.slice(lo, len(part)) for c in old]
+                lo += len(part)
+                if where is not None:
+                    out = pa.RecordBatch.from_arrays(here, kept).filter(where(new))
+                    if out.num_rows:
+                        yield out
+                else:
+                    yield pa.RecordBatch.from_arrays(here + [new[n] for n in names], kept + names)
 
     return source.mapInArrow(run, schema)
 

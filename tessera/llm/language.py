@@ -71,38 +71,45 @@ class LanguageModel:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     trust: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: float = 1.0
+    least_gap: float = 0.0  # between the two nearest codewords; below it a text is ambiguous
+    most_loss: float = float("inf")  # of the nearest codeword; above it a text is in none of the languages
 
     def losses(self, x: np.ndarray) -> np.ndarray:
-        margin = x @ self.weight + self.bias
+        # In double precision and rounded, so that equal texts agree whatever rows lie beside them.
+        margin = np.round(x.astype(np.float64) @ self.weight.astype(np.float64), 4) + self.bias
         return np.stack([(np.logaddexp(0, -margin * row) * self.trust).sum(axis=1) for row in self.code], axis=1)
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest codeword of every row by weighted loss, and its share of belief."""
-        loss = -self.losses(x) * self.scale
-        share = np.exp(loss - loss.max(axis=1, keepdims=True))
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest codeword of every row by weighted loss, its share of belief, its loss a bit, and the second's more."""
+        loss = self.losses(x)
+        share = np.exp((loss.min(axis=1, keepdims=True) - loss) * self.scale)
         share /= share.sum(axis=1, keepdims=True)
-        return share.argmax(axis=1), share.max(axis=1)
-
-
-def fit(docs: DataFrame, train: Column, per_language: int = 500, most_languages: int = 200, rounds: int = 150) -> LanguageModel:
-    """Learn from at most about per_language texts of each value of lang.
-
-    The texts are those of least hash of doc_id, an even draw that is the same
-    at every run. One logistic classifier a bit of the codewords is trained on
-    the driver; that needs per_language * most_languages rows of features at the
-    most. A bit's trust is how far its accuracy on the sample exceeds chance.
+        two = np.sort(loss, axis=1)[:, :2] / max(self.trust.sum(), 1e-9)
+        gap = two[:, 1] - two[:, 0] if two.shape[1] > 1 else np.full(len(x), np.inf)
+        return loss.argmin(axis=1), share.max(axis=1), two[:, 0], gap
+
+
+def fit(docs: DataFrame, train: Column, per_language: int = 500, most_texts: int = 8000, rounds: int = 150) -> LanguageModel:
+    """Learn from about per_language texts of each value of lang, fewer where that makes more than most_texts.
+
+    The texts are those of least hash of doc_id and text, an even draw that is
+    the same at every run; repeated texts count once. One logistic classifier a
+    bit of the codewords is trained on the driver over four fifths of them,
+    about most_texts rows of features (32 KB each) at the most. A bit's trust
+    is how far its accuracy exceeds chance. On the last fifth the scale of belief is
+    fitted, and the bounds outside which a text is ambiguous or in none of the
+    languages: half the gap that 99 of 100 texts exceed, and half more than the
+    greatest loss, log 2 (no evidence at all) at the least.
     """
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel()
     langs = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts}
-    limit = F.lit(-1.0)
-    for lang in langs:
-        limit = F.when(F.col("lang") == lang, share[lang]).otherwise(limit)
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.where(draw < limit).limit(2 * per_language * len(langs))
+    most = min(per_language, max(2, most_texts // len(langs)))
+    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["count"]))])
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text")), F.lit(1_000_003)) / 1_000_003.0
+    sample = rows.where(draw < F.element_at(limit, F.col("lang"))).select("lang", "text").distinct()
 
     def start():
         def work(column):
@@ -116,13 +123,15 @@ def fit(docs: DataFrame, train: Column, per_language: int = 500, most_languages:
     if got.empty:
         return LanguageModel()
     langs = sorted(set(got["lang"]))
-    x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), -1)
-    label = np.array([langs.index(v) for v in got["lang"]])
+    every = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), -1)
+    labels = np.array([langs.index(v) for v in got["lang"]])
+    aside = np.arange(len(got)) % 5 == 4
+    x, label = every[~aside], labels[~aside]
     code = codewords(len(langs))
     y = code[label]
     weight = np.zeros((x.shape[1], code.shape[1]), np.float32)
     bias = np.zeros(code.shape[1])
-    balance = (len(label) / len(langs) / np.bincount(label, minlength=len(langs)))[label][:, None]
+    balance = (len(label) / len(langs) / np.maximum(np.bincount(label, minlength=len(langs)), 1))[label][:, None]
     slow_w, slow_b, step = np.zeros_like(weight), np.zeros_like(bias), 8.0
     for _ in range(rounds):  # gradient descent with momentum
         pull = -y * balance / (1 + np.exp(np.clip(y * (x @ weight + bias), -30, 30))) / len(label)
@@ -130,7 +139,26 @@ def fit(docs: DataFrame, train: Column, per_language: int = 500, most_languages:
         slow_b = 0.9 * slow_b - step * 0.1 * pull.sum(axis=0)
         weight, bias = (weight + slow_w).astype(np.float32), bias + slow_b
     right = ((x @ weight + bias) * y > 0).mean(axis=0) if len(bias) else np.zeros(0)
-    return LanguageModel(langs, code, weight, bias, np.maximum(2 * right - 1, 0.05))
+    model = LanguageModel(langs, code, weight, bias, np.maximum(2 * right - 1, 0.05))
+    return _calibrated(model, every[aside], labels[aside]) if aside.any() and len(langs) > 1 else model
+
+
+def _calibrated(model: LanguageModel, x: np.ndarray, label: np.ndarray) -> LanguageModel:
+    loss = model.losses(x)
+
+    def surprise(scale: float) -> float:
+        share = -(loss - loss.min(axis=1, keepdims=True)) * scale
+        return float((np.log(np.exp(share).sum(axis=1)) - share[np.arange(len(label)), label]).mean())
+
+    # The most cautious scale that explains the labels about as well as the best one.
+    scales = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0)
+    model.scale = next(s for s in scales if surprise(s) <= min(map(surprise, scales)) + 0.005)
+    best, _, nearest, gap = model.predict(x)
+    right = best == label
+    if right.any():
+        model.least_gap = 0.5 * float(np.quantile(gap[right], 0.01))
+        model.most_loss = max(float(np.log(2)), 1.5 * float(nearest[right].max()))
+    return model
 
 
 FIELDS = [
@@ -140,22 +168,25 @@ FIELDS = [
 ]
 
 
-def _start(model: LanguageModel, ambiguity: float):
+def _start(model: LanguageModel):
     def start():
         def work(column: pa.Array) -> dict[str, pa.Array]:
             empty = pc.fill_null(pc.invert(pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}")), True)
             empty = empty.to_numpy(zero_copy_only=False)
             pred, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+            unsure, foreign = np.zeros(len(column), bool), np.zeros(len(column), bool)
             if model.langs:
                 names = np.array(model.langs, object)
-                for lo in range(0, len(column), 1000):
-                    best, sure = model.predict(features(column.slice(lo, 1000)))
-                    pred[lo : lo + 1000], score[lo : lo + 1000] = names[best], sure
+                for lo in range(0, len(column), 500):
+                    best, sure, nearest, gap = model.predict(features(column.slice(lo, 500)))
+                    pred[lo : lo + 500], score[lo : lo + 500] = names[best], sure
+                    unsure[lo : lo + 500], foreign[lo : lo + 500] = gap < model.least_gap, nearest > model.most_loss
             pred[empty], score[empty] = UNKNOWN, 0.0
             return {
                 "lang_pred": pa.array(pred, pa.string()),
                 "score": pa.array(score, pa.float64()),
-                "ambiguous": pa.array(score < ambiguity, pa.bool_()),
+                "ambiguous": pa.array(unsure | foreign | empty, pa.bool_()),
+                "kept": pa.array(~(foreign | empty), pa.bool_()),
             }
 
         return work
@@ -163,23 +194,25 @@ def _start(model: LanguageModel, ambiguity: float):
     return start
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), ambiguity: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """lang_pred, score (0 to 1) and ambiguous for every whole text.
 
-    Null texts, empty texts and texts without a letter are 'und' with score 0,
+    A text is ambiguous where the second codeword is nearly as near as the first
+    or none is near. Null texts, empty texts and texts without a letter are 'und' with score 0,
     as is everything under a model that saw no language. A tie goes to the
     language first in the alphabet. Only the text is looked at; equal texts get
     equal answers. Columns outside keep are dropped and kept ones with the names
     of results are replaced. Nothing is shuffled.
     """
-    return map_text(docs, _start(model, ambiguity), FIELDS, keep)
+    return map_text(docs, _start(model), FIELDS, keep)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Rows of docs, all columns, whose text has some language ('und' goes)."""
-    return map_text(
-        docs, _start(model, 0.5), FIELDS, docs.columns, where=lambda new: pc.not_equal(new["lang_pred"], UNKNOWN)
-    )
+    """Rows of docs, all columns, whose text has letters and is not far from every codeword.
+
+    Where no language was learnt, all texts with letters stay.
+    """
+    return map_text(docs, _start(model), FIELDS, docs.columns, where=lambda new: new["kept"])
 
 
 def held_out() -> Column:

@@ -221,13 +221,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def _clean(docs: DataFrame, runs: bool) -> DataFrame:
     gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "digest")).alias("__gone"))
     names = [c for c in docs.columns if c not in REMOVED]
-    source = docs.select(names).withColumn("text", F.col("text").cast("string"))
+    quoted = [F.col(f"`{c}`") for c in names]
+    source = docs.select(quoted).withColumn("text", F.col("text").cast("string"))
     if runs:
         long = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "digest")).alias("__runs"))
         gone = gone.hint("merge").join(long, "doc_id", "full_outer")
     else:
         gone = gone.withColumn("__runs", F.lit(None).cast(RUN))
-    source = source.join(gone.hint("merge"), "doc_id", "left").select(*names, "__gone", "__runs")
+    source = source.join(gone.hint("merge"), "doc_id", "left").select(*quoted, "__gone", "__runs")
     kept = names + REMOVED
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in REMOVED])
     return source.mapInArrow(lambda batches: _without(batches, kept), schema)

@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SpanHasher, id_crc, materialise, runs, table, utf8_parts
+from tessera.llm.common import SpanHasher, by_size, id_crc, materialise, runs, table, utf8_parts
 
-#: Words the model tells apart; all others share one class, in which their counts decide.
-MODEL_WORDS = 1000
+#: Commonest words that are classes of their own, and the classes that all others share by their last two bytes.
+MODEL_WORDS, BUCKETS = 500, 500
 #: Commonest words whose counts go to every task; the counts of rarer ones are joined.
 HEAD_WORDS = 32_768
-DIM, CONTEXT, NOISE, BATCH = 24, 2, 64, 2048
-START, STOP = 0, 1  # ids of the model; words follow, the class of other words is last
+DIM, CONTEXT, NOISE, BATCH, RATE = 16, 2, 128, 512, 0.4
+#: Tokens of a training shard, and the disjoint parts of the texts that are learnt from one after another.
+SHARD_TOKENS, ROUNDS = 2_000_000, 2
+START, STOP = 0, 1  # ids of the model; words follow, the shared classes are last
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,27 +33,45 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+#: Odd multiplier that spreads two-byte values before they are dealt to classes.
+_SPREAD = 40_503
+
+
+def bucket_of(word: Column, buckets: int) -> Column:
+    """The shared class of a word, from 0: its last two bytes, multiplied and scaled."""
+    value = F.conv(F.hex(F.substring(word.cast("binary"), -2, 2)), 16, 10).cast("long")
+    return F.shiftright(F.pmod(value * _SPREAD, F.lit(65_536)) * buckets, 16).cast("int")
+
+
+def bucket_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket_of for words that are spans of a buffer of bytes."""
+    value = data[end - 1].astype(np.int64)
+    value += np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0).astype(np.int64) << 8
+    return ((value * _SPREAD & 0xFFFF) * buckets) >> 16
+
+
 @dataclass
 class Lexicon:
-    """Hashes of the commonest words, sorted, with their counts and model ids."""
+    """Hashes of the commonest words, sorted, with their counts and model ids (-1 in a shared class)."""
 
     keys: np.ndarray
     counts: np.ndarray
     model: np.ndarray
     size: int  # model ids
+    buckets: int
 
     @staticmethod
-    def build(words: list[tuple[str, int]], model_words: int) -> Lexicon:
+    def build(words: list[tuple[str, int]], model_words: int, buckets: int = BUCKETS) -> Lexicon:
         """words by falling count."""
         raw = [w.encode() for w, _ in words]
         ends = np.cumsum([len(r) for r in raw]).astype(np.int64) if raw else np.zeros(0, np.int64)
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if raw else ends
         keys = SpanHasher(np.frombuffer(b"".join(raw), np.uint8))(starts, ends)
         known = min(model_words, len(words))
-        ids = np.minimum(np.arange(len(words)), known) + STOP + 1
+        ids = np.where(np.arange(len(words)) < known, np.arange(len(words)) + STOP + 1, -1)
         order = np.argsort(keys)
         counts = np.array([c for _, c in words], np.int64)
-        return Lexicon(keys[order], counts[order], ids[order], known + STOP + 2)
+        return Lexicon(keys[order], counts[order], ids[order], known + STOP + 1 + buckets, buckets)
 
     def __post_init__(self):
         self.filter = np.zeros(1 << 20, bool)
@@ -92,8 +112,9 @@ def tokens_of(column: pa.Array, lexicon: Lexicon) -> Tokens:
     s, e = np.sort(np.concatenate((s, cut))), np.sort(np.concatenate((e, cut)))
     doc = np.searchsorted(offsets, s, "right") - 1
     head = lexicon.find(SpanHasher(data)(s, e))
-    rest = lexicon.size - 1
-    model = np.where(head >= 0, lexicon.model[head] if len(lexicon.model) else rest, rest)
+    model = lexicon.size - lexicon.buckets + bucket_numbers(data, s, e, lexicon.buckets)
+    single = np.where(head >= 0, lexicon.model[head], -1) if len(lexicon.model) else np.full(len(s), -1)
+    model = np.where(single >= 0, single, model)
     # Stops go in behind the words of each text.
     count = np.bincount(doc, minlength=n)
     stop_at = np.cumsum(count + 1) - 1
@@ -131,24 +152,32 @@ class LogBilinear:
             "C": np.stack([np.eye(dim) / (k + 1) for k in range(CONTEXT)]).astype(np.float32),
             "b": np.log(noise).astype(np.float32),
         }
+        self.total = {k: np.full(p.shape, 1e-2, np.float32) for k, p in self.params.items()}  # AdaGrad's sums of squares
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.params.values()])
+        return np.concatenate([p.ravel() for p in (*self.params.values(), *self.total.values())])
+
+    def weights(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """For every number of vector(), how often its class was seen as target or as context."""
+        dim = self.params["C"].shape[1]
+        every = np.full(self.params["C"].size, target.sum())
+        return np.tile(np.concatenate([np.repeat(context, dim), np.repeat(target, dim), every, target]), 2)
 
     def load(self, vector: np.ndarray) -> LogBilinear:
         at = 0
-        for name, p in self.params.items():
-            self.params[name] = vector[at : at + p.size].reshape(p.shape).astype(np.float32)
-            at += p.size
+        for part in (self.params, self.total):
+            for name, p in part.items():
+                part[name] = vector[at : at + p.size].reshape(p.shape).astype(np.float32)
+                at += p.size
         return self
 
     def query(self, before: np.ndarray) -> np.ndarray:
         return sum(self.params["R"][before[k]] @ self.params["C"][k] for k in range(CONTEXT))
 
-    def trainer(self, seed: int, rate: float = 0.15):
+    def trainer(self, seed: int, rate: float = RATE):
         """A function that takes NCE steps over positions, with AdaGrad; noise is shared by a batch."""
         rng = np.random.default_rng(seed)
-        total = {k: np.full(p.shape, 1e-2, np.float32) for k, p in self.params.items()}
+        total = self.total
         log_noise = np.log(self.noise * NOISE).astype(np.float32)
         cumulative = np.cumsum(self.noise)
 
@@ -211,63 +240,69 @@ def _add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def _parts(column: pa.Array, most: int = 2_000_000):
-    offsets, _ = utf8_parts(column)
-    lo = 0
-    while lo < len(column):
-        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1), len(column))
-        yield column.slice(lo, hi - lo)
-        lo = hi
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """Rows (word, c) over all words of docs."""
     return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
 
-def train(docs: DataFrame, lexicon: Lexicon, noise: np.ndarray, rounds: int = 1) -> LogBilinear:
-    """Every partition trains on all its texts from common parameters; then the results are averaged.
+def train(docs: DataFrame, lexicon: Lexicon, noise: np.ndarray, tokens: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """One pass over all texts in rounds; in each, shards learn from common parameters and are averaged.
 
-    The average, weighted by tokens, is summed by Spark one parameter at a time,
-    so the driver gets the parameters alone, however many partitions there are.
+    A text's round and shard follow from the hash of its id and text, and there
+    is a shard for about every shard_tokens tokens, so the model does not depend on
+    how files are split. In the average a class's vectors count as often as the
+    shard saw the class; parameters that no shard touched stay. Spark sums one
+    parameter at a time: the driver gets the parameters alone, however many
+    shards there are. Rows of one id and text go to one shard, which reads them
+    as a stream.
     """
     model = LogBilinear(noise)
-    source = docs.select(F.col("text").cast("string").alias("text"))
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    source = docs.select(F.col("text").cast("string").alias("text"), key.alias("key"))
+    shards = max(1, -(-tokens // shard_tokens))
     for turn in range(rounds):
         begin = model.vector()
 
         def run(batches, begin=begin, turn=turn):
             own = LogBilinear(noise).load(begin)
-            learn, seen = own.trainer(turn + 1), 0
+            learn = own.trainer(turn + 1)
+            target, context = np.zeros(len(noise)), np.zeros(len(noise))
             for batch in batches:
-                for part in _parts(batch.column(0)):
-                    tokens = tokens_of(part, lexicon)
-                    learn(tokens)
-                    seen += len(tokens.model)
-            if seen:
-                vector = own.vector().astype(np.float64)
+                for part in by_size(batch.column(0)):
+                    found = tokens_of(part, lexicon)
+                    learn(found)
+                    target += np.bincount(found.model, minlength=len(noise))
+                    context += np.bincount(found.before.ravel(), minlength=len(noise))
+            if target.any():
+                vector, weight = own.vector().astype(np.float64), own.weights(target, context)
                 for lo in range(0, len(vector), 8192):
-                    piece = vector[lo : lo + 8192]
+                    w = weight[lo : lo + 8192]
+                    at = np.flatnonzero(w)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(lo, lo + len(piece), dtype=np.int32)), pa.array(piece * seen), pa.array(np.full(len(piece), seen, np.int64))],
-                        ["at", "value", "seen"],
+                        [pa.array((at + lo).astype(np.int32)), pa.array(vector[at + lo] * w[at]), pa.array(w[at])], ["at", "value", "weight"]
                     )
 
-        got = source.mapInArrow(run, "at int, value double, seen long").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value"))
-        rows = got.orderBy("at").toPandas()
+        part = source.where(F.pmod(F.shiftright("key", 32), F.lit(rounds)) == turn)
+        dealt = part.repartition(shards, "key").sortWithinPartitions("key").select("text")
+        got = dealt.mapInArrow(run, "at int, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"))
+        rows = got.toPandas()
         if len(rows):
-            model.load(rows["value"].to_numpy())
+            vector = begin.copy()
+            vector[rows["at"].to_numpy()] = rows["value"].to_numpy()
+            model.load(vector)
     return model
 
 
-def score(docs: DataFrame, learn: Column, model_words: int = MODEL_WORDS, head_words: int = HEAD_WORDS, rounds: int = 1) -> DataFrame:
+def score(
+    docs: DataFrame, learn: Column, model_words: int = MODEL_WORDS, head_words: int = HEAD_WORDS, buckets: int = BUCKETS, rounds: int = ROUNDS
+) -> DataFrame:
     """Token counts and log10 scores of every whole text, learning from the rows where learn holds.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score, one
     row for each row of docs. base_score is the add-one unigram score. score is
     the model's: a word among the model_words commonest, or the end, by its
     normalised probability after the two tokens before it; any other word by
-    that of the class of other words, times its add-one share among those.
+    that of the class of its last two bytes, times its add-one share in the class.
 
     Words are counted over all training texts. The counts of the head_words
     commonest go to the tasks; those of rarer words, however many, are joined to
@@ -285,29 +320,38 @@ def score(docs: DataFrame, learn: Column, model_words: int = MODEL_WORDS, head_w
     top = counts.orderBy(F.desc("c"), "word").limit(head_words)
     top = [(r["word"], int(r["c"])) for r in top.collect()]
     top.sort(key=lambda x: (-x[1], x[0]))
-    lexicon = Lexicon.build(top, model_words)
+    lexicon = Lexicon.build(top, model_words, buckets)
     inner = top[:model_words]
-    rest_n = n - stops - sum(c for _, c in inner)
-    rest_v = v - bool(stops) - len(inner)
-    mass = np.array([0.0, stops, *[c for _, c in inner], rest_n]) + 1.0
-    model = train(training, lexicon, mass / mass.sum(), rounds)
+    # Tokens and distinct words of the shared classes; at most as many rows as classes.
+    shared = counts.groupBy(bucket_of(F.col("word"), buckets).alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    class_n, class_v = np.zeros(buckets), np.zeros(buckets)
+    for r in shared.collect():
+        class_n[r["b"]], class_v[r["b"]] = r["n"], r["v"]
+    for w, c in inner:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        b = int(bucket_numbers(raw, np.array([0]), np.array([len(raw)]), buckets)[0])
+        class_n[b] -= c
+        class_v[b] -= 1
+    mass = np.concatenate(([0.0, stops], [c for _, c in inner], class_n)) + 1.0
+    model = train(training, lexicon, mass / mass.sum(), n, rounds)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rest = lexicon.size - 1
-    base_floor, rest_floor = float(np.log10(n + v + 1)), float(np.log10(rest_n + rest_v + 1))
+    shared_from = lexicon.size - buckets
+    base_floor = float(np.log10(n + v + 1))
+    floor = np.concatenate((np.zeros(shared_from), np.log10(class_n + class_v + 1)))
 
     def run(batches):
         log_head = np.log10(np.append(lexicon.counts, [stops, 0]) + 1.0)  # -2 is the end, -1 a rare word
         known = np.append(lexicon.counts, [stops, 0]) > 0
         for batch in batches:
             lo = 0
-            for part in _parts(batch.column(1)):
+            for part in by_size(batch.column(1)):
                 t, m = tokens_of(part, lexicon), len(part)
                 ids = batch.column(0).slice(lo, m)
                 lo += m
                 seen = np.bincount(t.doc, minlength=m)
                 logs = log_head[t.head]
                 add = lambda w, t=t, m=m: np.bincount(t.doc, w, minlength=m)
-                own = model.log_probs(t.before, t.model) / _LN10 + np.where(t.model == rest, logs - rest_floor, 0.0)
+                own = model.log_probs(t.before, t.model) / _LN10 + np.where(t.model >= shared_from, logs - floor[t.model], 0.0)
                 rare = np.flatnonzero(t.head == -1)
                 size = t.end[rare] - t.start[rare]
                 ends = np.cumsum(size)

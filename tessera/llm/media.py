@@ -17,6 +17,8 @@ from tessera.llm.webp import OPAQUE, decode, encode
 ROW = 192
 #: Rows of one still. Longer payloads are several stills, one file after another.
 TILE_ROWS = 64
+#: Bytes and rows of text in one slice: many stills are read in lockstep.
+SLICE_BYTES, SLICE_ROWS = 16_000_000, 6000
 #: Pixels worked on in one call.
 BATCH_PIXELS = 500_000
 
@@ -79,7 +81,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def load(media: list[bytes], stills: int = 2500) -> list[np.ndarray]:
+def load(media: list[bytes], stills: int = 5000) -> list[np.ndarray]:
     """The samples (rows, 64, 3) of every stored form."""
     files = [files_in(m) for m in media]
     flat = [f for some in files for f in some]
@@ -120,35 +122,28 @@ def to_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_media: b
         def work(column: pa.Array) -> dict[str, pa.Array]:
             raw = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
             out: list[tuple] = []
-            lo = 0
-            while lo < len(raw):  # some MB of text at a time
-                hi, size = lo, 0
-                while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= 6_000_000):
-                    size += len(raw[hi])
-                    hi += 1
-                media = store([payload_of(r) for r in raw[lo:hi]])
-                for r, m, samples in zip(raw[lo:hi], media, load(media)):
-                    back = samples.tobytes()
-                    out.append(
-                        (
-                            m if with_media else None,
-                            len(r),
-                            len(back),
-                            hashlib.sha256(back).hexdigest(),
-                            zlib.crc32(back[-16:]),
-                            len(m),
-                            hashlib.sha256(m).hexdigest(),
-                            feature_of(samples),
-                        )
+            media = store([payload_of(r) for r in raw])
+            for r, m, samples in zip(raw, media, load(media)):
+                back = samples.tobytes()
+                out.append(
+                    (
+                        m if with_media else None,
+                        len(r),
+                        len(back),
+                        hashlib.sha256(back).hexdigest(),
+                        zlib.crc32(back[-16:]),
+                        len(m),
+                        hashlib.sha256(m).hexdigest(),
+                        feature_of(samples),
                     )
-                lo = hi
+                )
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*out)) or [()] * len(kinds)
             return {f.name: pa.array(c, k) for f, c, k in zip(FIELDS, columns, kinds)}
 
         return work
 
-    return map_text(docs, start, fields, keep)
+    return map_text(docs, start, fields, keep, most=SLICE_BYTES, rows=SLICE_ROWS)
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:

@@ -91,29 +91,17 @@ def prob_minhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: int
     return owner.reshape(docs, registers)
 
 
-def _by_size(column: pa.Array, most: int = 2_000_000):
-    """Slices of a column of some MB each."""
-    offsets, _ = utf8_parts(column)
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        hi = min(hi, lo + 4000, len(column))
-        yield column.slice(lo, hi - lo)
-        lo = hi
-
-
 def _sketches(bands: int, rows: int, words: int):
     def start():
         def work(column: pa.Array) -> dict[str, pa.Array]:
-            keys: list[bytes | None] = []
-            for part in _by_size(column):
-                doc, key, times = shingles(part, words)
-                sketch = prob_minhash(doc, key, times, len(part), bands * rows).reshape(len(part), bands, rows)
-                h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN, (len(part), bands)).copy()
-                for r in range(rows):
-                    h = mix64(h * _GOLDEN + sketch[:, :, r])
-                some = np.bincount(doc, minlength=len(part)) > 0
-                keys += [row if ok else None for row, ok in zip(h.view(np.int64).tolist(), some)]
+            n = len(column)
+            doc, key, times = shingles(column, words)
+            sketch = prob_minhash(doc, key, times, n, bands * rows).reshape(n, bands, rows)
+            h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN, (n, bands)).copy()
+            for r in range(rows):
+                h = mix64(h * _GOLDEN + sketch[:, :, r])
+            some = np.bincount(doc, minlength=n) > 0
+            keys = [row if ok else None for row, ok in zip(h.view(np.int64).tolist(), some)]
             source = column.cast(pa.binary()).to_pylist()
             return {
                 "digest": pa.array([hashlib.sha256(t or b"").digest() for t in source], pa.binary()),
@@ -126,35 +114,29 @@ def _sketches(bands: int, rows: int, words: int):
 
 
 def _packed(key: np.ndarray, times: np.ndarray) -> bytes:
-    """Sorted 32-bit hashes, then (position, times) of those that occur more than once."""
+    """Sorted 64-bit hashes, then (position, times) of those that occur more than once."""
     more = np.flatnonzero(times > 1)
     extra = np.stack([more, times[more]], axis=1).astype("<u4")
-    return np.array([len(key)], "<u4").tobytes() + key.tobytes() + extra.tobytes()
+    return np.array([len(key)], "<u8").tobytes() + key.astype("<u8").tobytes() + extra.tobytes()
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes and their times."""
-    data = np.frombuffer(raw, "<u4")
-    n = int(data[0])
-    key, times = data[1 : n + 1], np.ones(n)
-    extra = data[n + 1 :].reshape(-1, 2)
+    n = int.from_bytes(raw[:8], "little")
+    key, times = np.frombuffer(raw, "<u8", n, 8), np.ones(n)
+    extra = np.frombuffer(raw, "<u4", offset=8 + 8 * n).reshape(-1, 2)
     times[extra[:, 0]] = extra[:, 1]
-    if n > 1 and (key[1:] == key[:-1]).any():  # two shingles of one short hash count as one
-        key, at = np.unique(key, return_inverse=True)
-        times = np.bincount(at, times)
     return key, times
 
 
 def _sets(words: int):
     def start():
         def work(column: pa.Array) -> dict[str, pa.Array]:
-            out: list[bytes] = []
-            for part in _by_size(column):
-                doc, key, times = shingles(part, words)
-                order = np.lexsort((key >> np.uint64(32), doc))
-                doc, key, times = doc[order], (key[order] >> np.uint64(32)).astype("<u4"), times[order]
-                ends = np.cumsum(np.bincount(doc, minlength=len(part))).tolist()
-                out += [_packed(key[a:b], times[a:b]) for a, b in zip([0, *ends], ends)]
+            doc, key, times = shingles(column, words)
+            order = np.lexsort((key, doc))
+            doc, key, times = doc[order], key[order], times[order]
+            ends = np.cumsum(np.bincount(doc, minlength=len(column))).tolist()
+            out = [_packed(key[a:b], times[a:b]) for a, b in zip([0, *ends], ends)]
             return {"shingles": pa.array(out, pa.binary())}
 
         return work
@@ -342,7 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay.
     """
     gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_near_dup(spark, sf_dir: str) -> DataFrame:

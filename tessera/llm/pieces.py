@@ -19,6 +19,8 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _B = 0xD1B54A32D192ED03
 #: Words longer than this are first cut where no piece has the two characters side by side.
 _LONG = 24
+#: Parts longer than this are searched one by one, with all their substrings probed at once.
+_ALONE = 512
 
 
 @dataclass
@@ -177,6 +179,51 @@ class PieceModel:
         return path[path > -2], np.cumsum((path > -2).sum(axis=1))
 
 
+    def viterbi_alone(self, word: str) -> np.ndarray:
+        """Rows of the best pieces of one long word, -1 for a character without one.
+
+        The substrings of one length are hashed and probed together; only those
+        that are pieces take part in the search, which goes on character by
+        character. Time and memory grow with the word's length.
+        """
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(points)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # (length, row) of the pieces that end here
+        key = np.zeros(n, np.uint64)
+        for span in range(1, min(self.longest, n) + 1):
+            key = key[: n - span + 1] * np.uint64(_B) + points[span - 1 :] + np.uint64(1)
+            row = self.probe(key)
+            for at in np.flatnonzero(row >= 0).tolist():
+                found[at + span].append((span, int(row[at])))
+        unknown = float(self.score[self.score > -1e8].min()) - 10
+        best, piece, back = [0.0] + [-np.inf] * n, [-1] * (n + 1), [1] * (n + 1)
+        score, rank = self.score.tolist(), self.rank.tolist()
+        together: dict[tuple[int, int], bool] = {}
+        for end in range(1, n + 1):
+            if not found[end] or found[end][0][0] > 1:
+                best[end] = best[end - 1] + unknown
+            for span, row in found[end]:
+                start = end - span
+                value = best[start] + score[row]
+                if value <= best[end] or best[start] == -np.inf:
+                    continue
+                if self.merges:
+                    if rank[row] == np.inf:
+                        continue
+                    if start and piece[start] >= 0:
+                        both = (piece[start], row)
+                        if both not in together:
+                            together[both] = bool(self.agree(np.array([both[0]]), np.array([row]))[0])
+                        if not together[both]:
+                            continue
+                best[end], piece[end], back[end] = value, row, span
+        out, at = [], n
+        while at > 0:
+            out.append(piece[at])
+            at -= back[at]
+        return np.array(out[::-1], np.int64)
+
+
 def _hash(points: np.ndarray) -> int:
     h = 0
     for p in points.tolist():
@@ -197,11 +244,15 @@ def _last_merge(name: str, row: dict[str, int], rank: np.ndarray) -> tuple[str,
 
 
 class Encoder:
-    """Ids of texts; distinct words of a batch are searched once and remembered."""
+    """Ids of texts; distinct words of a slice are searched once and remembered.
+
+    The memory of words is emptied when it holds more than cache_bytes.
+    """
 
-    def __init__(self, model: PieceModel, cache_words: int = 500_000):
-        self.model, self.most = model, cache_words
+    def __init__(self, model: PieceModel, cache_bytes: int = 64_000_000):
+        self.model, self.most = model, cache_bytes
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         if "  " in text or text.endswith(" ") or SPACE in text:
@@ -229,6 +280,12 @@ class Encoder:
         for p in parts:
             by_size.setdefault(len(p), []).append(p)
         for size, group in by_size.items():
+            if size > _ALONE:
+                for p in group:
+                    rows = model.viterbi_alone(p)
+                    cache[p] = self._with_bytes(p, rows)
+                    self.held += len(cache[p]) + 200 + 2 * size
+                continue
             step = max(1, 200_000 // size)
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
@@ -236,11 +293,13 @@ class Encoder:
                 raw = model.ids[rows].astype("<u4").tobytes()
                 odd = np.add.reduceat(rows < 0, np.concatenate(([0], ends[:-1]))).tolist()
                 last = 0
+                self.held += len(raw) + len(some) * (200 + 2 * size)  # of strings and of the table, about
                 for p, end, unknown in zip(some, ends.tolist(), odd):
                     cache[p] = self._with_bytes(p, rows[last:end]) if unknown else raw[4 * last : 4 * end]
                     last = end
         for w, cut in whole.items():
             cache[w] = b"".join([cache[p] for p in cut])
+            self.held += len(cache[w]) + 200 + 2 * len(w)
 
     def _with_bytes(self, word: str, rows: np.ndarray) -> bytes:
         out, at, model = [], 0, self.model
@@ -256,8 +315,8 @@ class Encoder:
     def encode(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         split = [self.words(t) if t else [] for t in many]
-        if len(self.cache) > self.most:
-            self.cache.clear()
+        if self.held > self.most:
+            self.cache, self.held = {}, 0
         cache = self.cache
         self.learn({w for words in split for w in words if w not in cache})
         return [b"".join([cache[w] for w in words]) for words in split]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_crc, map_text, materialise, runs, table, texts
+from tessera.llm.common import BASE, SpanHasher, id_crc, map_text, materialise, mix64, runs, table, texts
 
 END = "$"  # closes a term that must be the whole word; a term without it is a stem
 QUOTES = "\"“”„«»`"
@@ -148,35 +148,27 @@ def features(column: pa.Array, automaton: Automaton) -> np.ndarray:
     A match between quotation marks counts as quoted; a match with another match
     within the context window counts as piled on.
     """
-    source = [t.lower() for t in texts(column)]
-    out = np.zeros((len(source), FEATURES))
-    lo = 0
-    while lo < len(source):  # some MB of text at a time
-        hi, size = lo, 0
-        while hi < len(source) and (hi == lo or size + len(source[hi]) < 2_000_000):
-            size += len(source[hi]) + 1
-            hi += 1
-        part = source[lo:hi]
-        points = np.frombuffer("\n".join(part).encode("utf-32-le", "replace"), np.uint32)
-        bounds = np.cumsum([0] + [len(t) + 1 for t in part])
-        start, end, verdict = automaton.match(points)
-        doc = np.searchsorted(bounds, start, "right") - 1
-        words = np.bincount(doc, minlength=len(part))
-        hit = np.flatnonzero(verdict)
-        marks = np.flatnonzero(np.isin(points, [ord(c) for c in QUOTES]))
-        d, s, e = doc[hit], start[hit], end[hit]
-        low, high = np.maximum(s - CONTEXT, bounds[d]), np.minimum(e + CONTEXT, bounds[d + 1])
-        before = np.searchsorted(marks, s) > np.searchsorted(marks, low)
-        behind = np.searchsorted(marks, high) > np.searchsorted(marks, e)
-        quoted = before & behind
-        crowd = np.searchsorted(s, high) - np.searchsorted(e, low, "right") > 1
-        kind = verdict[hit]
-        for k, chosen in enumerate(((kind == 1) & ~quoted, (kind == 2) & ~quoted, (kind == 3) & ~quoted, quoted, crowd & ~quoted)):
-            out[lo:hi, k] = np.log1p(np.bincount(d[chosen], minlength=len(part)))
-        every = np.bincount(d[~quoted], minlength=len(part))
-        out[lo:hi, 5] = every > 0
-        out[lo:hi, 6] = 10 * every / np.maximum(words, 10)
-        lo = hi
+    part = [t.lower() for t in texts(column)]
+    points = np.frombuffer("\n".join(part).encode("utf-32-le", "replace"), np.uint32)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in part])
+    start, end, verdict = automaton.match(points)
+    doc = np.searchsorted(bounds, start, "right") - 1
+    words = np.bincount(doc, minlength=len(part))
+    hit = np.flatnonzero(verdict)
+    marks = np.flatnonzero(np.isin(points, [ord(c) for c in QUOTES]))
+    d, s, e = doc[hit], start[hit], end[hit]
+    low, high = np.maximum(s - CONTEXT, bounds[d]), np.minimum(e + CONTEXT, bounds[d + 1])
+    before = np.searchsorted(marks, s) > np.searchsorted(marks, low)
+    behind = np.searchsorted(marks, high) > np.searchsorted(marks, e)
+    quoted = before & behind
+    crowd = np.searchsorted(s, high) - np.searchsorted(e, low, "right") > 1
+    kind = verdict[hit]
+    out = np.zeros((len(part), FEATURES))
+    for k, chosen in enumerate(((kind == 1) & ~quoted, (kind == 2) & ~quoted, (kind == 3) & ~quoted, quoted, crowd & ~quoted)):
+        out[:, k] = np.log1p(np.bincount(d[chosen], minlength=len(part)))
+    every = np.bincount(d[~quoted], minlength=len(part))
+    out[:, 5] = every > 0
+    out[:, 6] = 10 * every / np.maximum(words, 10)
     return out
 
 
@@ -190,50 +182,106 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.bias, -30, 30)))
 
 
-def _terms(automaton: Automaton):
-    """Of every word its beginnings of four letters and more and the closed word, each with the words on both sides."""
+#: Shortest and longest beginning of a word that can become a stem.
+STEM = (4, 12)
+_TERM = T.ArrayType(T.StructType([T.StructField("term", T.LongType()), T.StructField("place", T.LongType()), T.StructField("first", T.LongType())]))
 
-    def start():
-        def work(column):
-            out = []
-            for text in texts(column):
-                low = text.lower()
-                points = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
-                s, e, _ = automaton.match(points)
-                words = [low[a:b] for a, b in zip(s.tolist(), e.tolist())]
-                found: set[tuple[str, str]] = set()
-                for before, w, after in set(zip(["", *words], words, [*words[1:], ""])):
-                    if len(w) >= 4:
-                        beside = f"{before} {after}"
-                        found.add((w + END, beside))
-                        found.update((w[:k], beside) for k in range(4, min(len(w), 12) + 1))
-                out.append([{"term": t, "beside": b} for t, b in sorted(found)])
-            return {"terms": pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("beside", pa.string())])))}
+
+def _spans(column: pa.Array, automaton: Automaton) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased texts of a slice, their code points, and text number, start and end of every word."""
+    source = [t.lower() for t in texts(column)]
+    points = np.frombuffer("\n".join(source).encode("utf-32-le", "replace"), np.uint32)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in source])
+    start, end, _ = automaton.match(points)
+    return source, points, np.searchsorted(bounds, start, "right") - 1, start, end
+
+
+def _term_spans(start: np.ndarray, end: np.ndarray, hasher: SpanHasher):
+    """(words, ends, hashes) of every word's beginnings, one length after another, and of the closed words."""
+    size = end - start
+    for k in range(STEM[0], STEM[1] + 1):
+        words = np.flatnonzero(size >= k)
+        yield words, start[words] + k, hasher(start[words], start[words] + k)
+    words = np.flatnonzero(size >= STEM[0])
+    yield words, end[words], mix64(hasher(start[words], end[words]) ^ np.uint64(ord(END)))
+
+
+def _terms():
+    """Of every text the distinct (hash of a term, hash of the term and the words on both sides, 1 once a term)."""
+    automaton = Automaton.build([])
+
+    def work(column: pa.Array) -> dict[str, pa.Array]:
+        _, points, doc, start, end = _spans(column, automaton)
+        hasher = SpanHasher(points)
+        word = hasher(start, end)
+        same = doc[1:] == doc[:-1]
+        before, after = np.zeros_like(word), np.zeros_like(word)
+        before[1:][same], after[:-1][same] = word[:-1][same], word[1:][same]
+        beside = mix64(before * np.uint64(BASE) + after)
+        docs, terms, places, firsts = [], [], [], []
+        for words, _, term in _term_spans(start, end, hasher):
+            place = mix64(term * np.uint64(BASE) ^ beside[words])
+            _, first = np.unique(mix64(place ^ mix64(doc[words].astype(np.uint64))), return_index=True)
+            docs.append(doc[words][first])
+            terms.append(term[first])
+            places.append(place[first])
+            fresh = np.zeros(len(first), np.int64)
+            fresh[np.unique(mix64(term[first] ^ mix64(doc[words][first].astype(np.uint64))), return_index=True)[1]] = 1
+            firsts.append(fresh)
+        doc_of, term, place, fresh = (np.concatenate(x) for x in (docs, terms, places, firsts))
+        order = np.argsort(doc_of, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(doc_of, minlength=len(column))))).astype(np.int32)
+        pair = pa.StructArray.from_arrays([pa.array(x[order].view(np.int64)) for x in (term, place, fresh)], ["term", "place", "first"])
+        return {"terms": pa.ListArray.from_arrays(pa.array(ends), pair)}
+
+    return work
+
+
+def _spelled(wanted: np.ndarray):
+    """Of every text the terms with a hash among wanted (sorted), as (hash, spelling)."""
+
+    def start_():
+        automaton = Automaton.build([])
+
+        def work(column: pa.Array) -> dict[str, pa.Array]:
+            source, points, doc, start, end = _spans(column, automaton)
+            base = np.cumsum([0] + [len(t) + 1 for t in source])
+            out: list[dict[int, str]] = [{} for _ in source]
+            for k, (words, stop, term) in enumerate(_term_spans(start, end, SpanHasher(points))):
+                at = np.minimum(np.searchsorted(wanted, term), len(wanted) - 1)
+                _, first = np.unique(np.where(wanted[at] == term, term, np.uint64(0)), return_index=True)
+                for i in first[wanted[at[first]] == term[first]].tolist():
+                    w, d = words[i], int(doc[words[i]])
+                    closed = END if k == STEM[1] - STEM[0] + 1 else ""
+                    out[d][int(term[i].view(np.int64))] = source[d][start[w] - base[d] : stop[i] - base[d]] + closed
+            rows = [[{"term": a, "spelling": b} for a, b in sorted(x.items())] for x in out]
+            return {"spelled": pa.array(rows, pa.list_(pa.struct([("term", pa.int64()), ("spelling", pa.string())])))}
 
         return work
 
-    return start
+    return start_
 
 
 def choose_terms(found: dict[str, int]) -> list[str]:
     """Of terms with their counts of contexts: the longest that say the same, then the shortest of those."""
     kept = set(found)
-    for t in sorted(found, key=len):
-        longer = [u for u in found if len(u) == len(t) + 1 and u.startswith(t)]
-        if any(found[u] >= 0.95 * found[t] for u in longer):
-            kept.discard(t)
+    for u, n in found.items():
+        if n >= 0.95 * found.get(u[:-1], np.inf):
+            kept.discard(u[:-1])
     return sorted(t for t in kept if not any(t[:k] in kept for k in range(1, len(t))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000, most_terms: int = 2000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000) -> ToxicityModel:
     """Learn lexicon and weights from at most about per_class labelled texts of each class.
 
     labels has doc_id and toxic (0 or 1; other values and nulls are left out, of
     several labels the highest counts). The texts are those of least hash of
-    doc_id. A term goes into the lexicon if it stands between enough different
-    words in toxic texts and hardly any in others, so that a text with many
-    copies counts about once; weights come from logistic regression, where a drawn text
-    stands for all of its class. At most most_terms terms reach the driver.
+    doc_id. A term goes into the lexicon if it stands in enough toxic texts,
+    between enough different words, and in hardly any others, so that neither one text nor
+    its copies make a term; weights come from logistic regression, where a drawn text
+    stands for all of its class. Terms are counted by their hashes and spelled
+    out once they are chosen; a term needs a hundredth of the drawn toxic texts
+    in contexts, so the drawn texts bound how many reach the driver.
     Without toxic labels every score is near 0.
     """
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -245,8 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
     picked = own.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(4 * per_class)
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
-    pair = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("beside", T.StringType())]))
-    terms = map_text(sample, _terms(Automaton.build([])), [T.StructField("terms", pair)], ("toxic",))
+    terms = map_text(sample, _terms, [T.StructField("terms", _TERM)], ("toxic",))
     drawn = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not drawn.get(1) or not drawn.get(0):
         return ToxicityModel()
@@ -255,16 +302,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000
     ratio = drawn[1] / drawn[0]
     found = (
         terms.select("toxic", F.explode("terms").alias("t"))
-        .select("toxic", "t.term", "t.beside")
-        .distinct()
+        .groupBy("toxic", "t.term", "t.place")
+        .agg(F.sum("t.first").alias("texts"))
         .groupBy("term")
-        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-        .where((F.col("bad") >= enough) & (F.col("bad") >= 12.0 * ratio * F.col("good")))
-        .orderBy(F.desc("bad"), "term")
-        .limit(most_terms)
+        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.sum(F.col("toxic") * F.col("texts")).alias("texts"))
+        .where((F.col("bad") >= enough) & (F.col("texts") >= enough) & (F.col("bad") >= 12.0 * ratio * F.col("good")))
         .collect()
     )
-    model = ToxicityModel(choose_terms({r["term"]: int(r["bad"]) for r in found}))
+    bad = {r["term"]: int(r["bad"]) for r in found}
+    wanted = np.sort(np.array(list(bad), np.int64).view(np.uint64))
+    spelling: dict[int, str] = {}
+    if bad:
+        kind = T.ArrayType(T.StructType([T.StructField("term", T.LongType()), T.StructField("spelling", T.StringType())]))
+        spelled = map_text(sample.where("toxic = 1"), _spelled(wanted), [T.StructField("spelled", kind)], ("doc_id",))
+        spelled = spelled.select(F.explode("spelled").alias("s")).groupBy("s.term").agg(F.min("s.spelling").alias("spelling"))
+        spelling = {r["term"]: r["spelling"] for r in spelled.collect()}
+    model = ToxicityModel(choose_terms({spelling[t]: n for t, n in bad.items()}))
     automaton = Automaton.build(model.terms)
 
     def start():

@@ -1,7 +1,7 @@
 """Lossless WebP for batches of small images: writing, and reading in lockstep.
 
 Images are rows of 0xAARRGGBB pixels. decode() reads any lossless still; all
-images of a call advance one pixel at a time together, so the per-pixel work is
+images of a call advance one symbol at a time together, so the work of a symbol is
 numpy over images. encode() writes prefix codes, back-references, a colour
 cache and, where they make the pixels cheaper, a predictor, a cross-colour or a
 palette transform. Both are functions of the single image alone.
@@ -86,7 +86,7 @@ class Codes:
             raise ValueError("a prefix code is not complete")
         before = np.concatenate(([0], np.cumsum(sums)[:-1])).astype(np.int64)
         first = ends - room - before[alphabet]
-        table = np.zeros((count, 1 << ROOT), np.int64)
+        table = np.zeros((count, 1 << ROOT), np.uint16)
         short = length <= ROOT
         entry = symbol * 16 + length
         entry[~short] = 15
@@ -100,7 +100,7 @@ class Codes:
 
     def decode(self, alphabet: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and lengths at every lane's window, of which the lowest 15 bits count."""
-        entry = self.table.take((alphabet << ROOT) + (window & ((1 << ROOT) - 1)))
+        entry = self.table.take((alphabet << ROOT) + (window & ((1 << ROOT) - 1))).astype(np.int64)
         symbol, length = entry >> 4, entry & 15
         long = length == 15
         if long.any():
@@ -210,13 +210,14 @@ def _small(bits: Bits, width: int, height: int) -> np.ndarray:
 
 
 def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pixels of all images, one step of every image at a time, and where each ended."""
+    """Pixels of all images, one symbol of every image at a time, and where each ended."""
     n = len(streams)
     sizes = np.array([p.width * p.height for p in plans], np.int64)
     begin = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint32)
     padded = [len(s) + (-len(s)) % 4 + 12 for s in streams]
-    flat = np.frombuffer(b"".join(s + bytes(p - len(s)) for s, p in zip(streams, padded)), "<u4").astype(np.uint64)
+    flat = np.frombuffer(b"".join([*(s + bytes(p - len(s)) for s, p in zip(streams, padded)), bytes(4)]), "<u4").astype(np.uint64)
+    flat = flat[:-1] | (flat[1:] << np.uint64(32))  # at every word the 64 bits from there
     word0 = (np.cumsum(padded) - padded) * 8
     code0 = np.cumsum([0] + [len(p.codes) for p in plans])
     alphabet, symbol, length = [], [], []
@@ -236,12 +237,10 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
     lane = np.flatnonzero(sizes > 0)
     bit = word0 + np.array([p.at for p in plans], np.int64)
     ends = bit.copy()
-    pos, remain, dist = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     widths = np.array([p.width for p in plans], np.int64)
 
     def window(at: np.ndarray) -> np.ndarray:
-        w = at >> 5
-        return ((flat[w] | (flat[w + 1] << np.uint64(32))) >> (at & 31).astype(np.uint64)).astype(np.int64)
+        return (flat.take(at >> 5) >> (at & 31).view(np.uint64)).view(np.int64)
 
     def value(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number behind a length or distance prefix, and its extra bits."""
@@ -249,76 +248,70 @@ def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarra
         base = np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + 1)
         return base + (window(at) & ((1 << extra) - 1)), extra
 
-    # The state of the images still at work, kept together while none finishes.
-    b, p, r, d, own, c0, sh, wide, base = (x[lane] for x in (bit, pos, remain, dist, begin, code0[:-1], shift, widths, begin))
-    total = sizes[lane]
+    # The state of the images still at work, kept together while none finishes. Every
+    # step takes one symbol of each: a literal, a cache entry or a whole back-reference.
+    b, p, c0, sh, wide, base, total = (x[lane] for x in (bit, np.zeros(n, np.int64), code0[:-1], shift, widths, begin, sizes))
     caching = most > 0
     while len(lane):
-        argb = np.empty(len(lane), np.uint32)
-        at = np.flatnonzero(r == 0)
-        if len(at):
-            full = len(at) == len(lane)
-            bb, cc = (b, c0) if full else (b[at], c0[at])
-            if meta:
-                cc = cc + np.array([0 if plans[k].group_of is None else 5 * int(plans[k].group_of[(q // w) >> plans[k].group_bits, (q % w) >> plans[k].group_bits]) for k, q, w in zip(lane[at].tolist(), p[at].tolist(), wide[at].tolist())], np.int64)
-            view = window(bb)
-            g, m = codes.decode(cc, view )
-            bb = bb + m
-            literal = g < GREEN
-            if literal.all():
-                pick, lb, lc, lg, view = slice(None), bb, cc, g, view >> m
-            else:
-                pick = np.flatnonzero(literal)
-                lb, lc, lg, view = bb[pick], cc[pick], g[pick], view[pick] >> m[pick]
-            if len(lb):
-                red, m1 = codes.decode(lc + 1, view)
-                lb = lb + m1
-                view = window(lb)
-                blue, m2 = codes.decode(lc + 2, view)
-                lb = lb + m2
-                if plain:
-                    alpha = only[lc + 3]
-                else:
-                    alpha, m3 = codes.decode(lc + 3, view >> m2)
-                    lb = lb + m3
-                bb[pick] = lb
-                argb[at[pick]] = (alpha << 24 | red << 16 | lg << 8 | blue).astype(np.uint32)
-            if not isinstance(pick, slice):
-                back = np.flatnonzero((g >= GREEN) & (g < GREEN + LENGTHS))
-                if len(back):
-                    tb = bb[back]
-                    run, extra = value(g[back] - GREEN, tb)
-                    tb = tb + extra
-                    dp, m = codes.decode(cc[back] + 4, window(tb))
-                    tb = tb + m
-                    far, extra = value(dp, tb)
-                    bb[back] = tb + extra
-                    short = np.minimum(far, 120) - 1
-                    plane = np.maximum(NEAR[short, 1] * wide[at[back]] + NEAR[short, 0], 1)
-                    step = np.where(far > 120, far - 120, plane)
-                    if (step > p[at[back]]).any():
-                        raise ValueError("a back-reference points before the image")
-                    r[at[back]], d[at[back]] = np.minimum(run, total[at[back]] - p[at[back]]), step
-                hit = np.flatnonzero(g >= GREEN + LENGTHS)
-                if len(hit):
-                    argb[at[hit]] = cache[lane[at[hit]], g[hit] - GREEN - LENGTHS]
-            if full:
-                b = bb
-            else:
-                b[at] = bb
-        copy = np.flatnonzero(r > 0)
-        if len(copy):
-            argb[copy] = out[base[copy] + p[copy] - d[copy]]
-            r[copy] -= 1
-        out[base + p] = argb
+        cc = c0
+        if meta:
+            cc = c0 + np.array([0 if plans[k].group_of is None else 5 * int(plans[k].group_of[(q // w) >> plans[k].group_bits, (q % w) >> plans[k].group_bits]) for k, q, w in zip(lane.tolist(), p.tolist(), wide.tolist())], np.int64)
+        view = window(b)
+        green, m = codes.decode(cc, view)
+        # Red, blue and alpha are looked up for all; what is no literal passes over them.
+        red, m1 = codes.decode(cc + 1, view >> m)
+        view = window(b + m + m1)
+        blue, m2 = codes.decode(cc + 2, view)
+        width = m + m1 + m2
+        if plain:
+            alpha = only.take(cc + 3)
+        else:
+            alpha, m3 = codes.decode(cc + 3, view >> m2)
+            width += m3
+        argb = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
+        step = 1
+        other = np.flatnonzero(green >= GREEN)
+        if len(other):
+            width[other] = m[other]
+            symbol = green[other] - GREEN
+            hit = other[symbol >= LENGTHS]
+            if len(hit):
+                argb[hit] = cache[lane[hit], green[hit] - GREEN - LENGTHS]
+            back = other[symbol < LENGTHS]
+            if len(back):
+                tb = b[back] + m[back]
+                run, extra = value(green[back] - GREEN, tb)
+                tb = tb + extra
+                dp, md = codes.decode(cc[back] + 4, window(tb))
+                tb = tb + md
+                far, extra = value(dp, tb)
+                width[back] = tb + extra - b[back]
+                short = np.minimum(far, 120) - 1
+                plane = np.maximum(NEAR[short, 1] * wide[back] + NEAR[short, 0], 1)
+                away = np.where(far > 120, far - 120, plane)
+                if (away > p[back]).any():
+                    raise ValueError("a back-reference points before the image")
+                run = np.minimum(run, total[back] - p[back])
+                # A run longer than its distance repeats what it copies.
+                k = np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
+                to = np.repeat(base[back] + p[back], run)
+                copied = out[to - np.repeat(away, run) + k % np.repeat(away, run)]
+                out[to + k] = copied
+                if caching:
+                    cache[np.repeat(lane[back], run), (CACHE_MUL * copied) >> np.repeat(sh[back], run)] = copied
+                argb[back] = copied[np.cumsum(run) - 1]
+                step = np.ones(len(lane), np.int64)
+                step[back] = run
+        b = b + width
+        p = p + step
+        out[base + p - 1] = argb
         if caching:
             cache[lane, (CACHE_MUL * argb) >> sh] = argb
-        p += 1
         done = p >= total
         if done.any():
             ends[lane[done]] = b[done] - word0[lane[done]]
             go = ~done
-            lane, b, p, r, d, c0, sh, wide, base, total = (x[go] for x in (lane, b, p, r, d, c0, sh, wide, base, total))
+            lane, b, p, c0, sh, wide, base, total = (x[go] for x in (lane, b, p, c0, sh, wide, base, total))
     return [out[a : a + s] for a, s in zip(begin.tolist(), sizes.tolist())], ends
 
 
@@ -604,6 +597,21 @@ def _put_code(w: Writer, counts: np.ndarray, length: np.ndarray) -> None:
 
 def _put_flat(w: Writer, pixels: np.ndarray) -> None:
     """A sub-image of literals only."""
+    if pixels.size == 1:
+        w.put(*_one_pixel(int(pixels.ravel()[0])))
+    else:
+        _put_pixels(w, pixels)
+
+
+@lru_cache(maxsize=256)
+def _one_pixel(pixel: int) -> tuple[int, int]:
+    """The bits of a sub-image of one pixel."""
+    w = Writer()
+    _put_pixels(w, np.array([pixel], np.uint32))
+    return w.value, w.size
+
+
+def _put_pixels(w: Writer, pixels: np.ndarray) -> None:
     w.put(0, 1)
     c = _channels(pixels.ravel())[:, [2, 1, 3, 0]]
     counts = [np.bincount(c[:, k], minlength=GREEN + LENGTHS if k == 0 else 256) for k in range(4)] + [np.zeros(DISTANCES, np.int64)]

@@ -46,3 +46,17 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert fit(df, F.lit(True)).langs == []
     assert identify(df, fit(df, F.lit(True))).first()["lang_pred"] == UNKNOWN
+    more = df.union(spark.createDataFrame([(2, "12", None)], df.schema))
+    assert [r["doc_id"] for r in keep_identified(more, fit(df, F.lit(True))).collect()] == [1]
+
+
+def test_mixed_texts_are_ambiguous_and_clean_ones_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(docs, ~held_out())
+    one = {lang: docs.where(F.col("lang") == lang).orderBy("doc_id").first()["text"] for lang in ("de", "en", "fr")}
+    # Shares of both languages at which the two codewords are about equally near.
+    half = [(i, one["de"][: 40 * i] + " " + one["fr"][: 40 * (20 - i)]) for i in range(21)]
+    got = identify(spark.createDataFrame(half, "doc_id long, text string"), model).collect()
+    assert any(r["ambiguous"] for r in got)
+    assert identify(docs, model).where("ambiguous").count() <= 0.05 * docs.count()
+    assert keep_identified(docs, model).count() == docs.count()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import lm
 from tessera.llm.lm import LogBilinear, op5_lm, score
 
 
@@ -57,3 +58,77 @@ def test_base_and_gain_on_the_table(spark, sf):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
+
+
+def bigram(docs, learn):
+    """log10 of held-out texts under a Witten-Bell bigram over the add-one unigram."""
+    one, two, follows, seen = Counter(), Counter(), Counter(), Counter()
+    for i, t in docs:
+        if learn(i):
+            words = tokens(t)
+            one.update(words)
+            for a, b in zip(["<s>", *words], words):
+                follows[a] += (a, b) not in two
+                two[a, b] += 1
+                seen[a] += 1
+    n, v = sum(one.values()), len(one)
+    total = 0.0
+    for i, t in docs:
+        if not learn(i):
+            words = tokens(t)
+            for a, b in zip(["<s>", *words], words):
+                p = (one[b] + 1) / (n + v + 1)
+                total += np.log10((two[a, b] + follows[a] * p) / (seen[a] + follows[a]) if seen[a] else p)
+    return total
+
+
+def test_half_of_a_bigrams_gain(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    best = bigram([(r["doc_id"], r["text"]) for r in rows], lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
+    base, own = op5_lm(spark, sf).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert own - base > 0.5 * (best - base)
+
+
+def test_the_model_does_not_depend_on_how_files_are_split(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one = score(docs.coalesce(1), F.col("doc_id") % 3 > 0).toPandas().set_index("doc_id").score
+    many = score(docs.repartition(9), F.col("doc_id") % 3 > 0).toPandas().set_index("doc_id").score
+    assert np.allclose(one.sort_index(), many.sort_index(), rtol=1e-3)
+
+
+def test_scores_by_plain_softmax(spark, monkeypatch):
+    """Every token's probability worked out one by one from the model's parameters."""
+    kept = {}
+
+    def fixed(docs, lexicon, noise, *rest):
+        kept["m"] = LogBilinear(noise, seed=5)
+        kept["m"].params["T"] *= 20
+        return kept["m"]
+
+    monkeypatch.setattr(lm, "train", fixed)
+    docs = [(1, "the cat sat on the mat"), (2, "a cat ate the rat"), (3, "the bat é"), (4, "unseen cat"), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in score(df, F.col("doc_id") < 4, model_words=2, head_words=4, buckets=3).collect()}
+    c = Counter(w for i, t in docs if i < 4 for w in tokens(t))
+    top = sorted((w for w in c if w), key=lambda w: (-c[w], w))[:2]
+
+    def bucket(w):
+        raw = w.encode()
+        return (((raw[-2] if len(raw) > 1 else 0) * 256 + raw[-1]) * 40_503 % 65_536 * 3) >> 16
+
+    def name(w):
+        return 1 if w is None else 2 + top.index(w) if w in top else 4 + bucket(w)
+
+    p = kept["m"].params
+    for i, t in docs:
+        total, before = 0.0, [0, 0]
+        for w in tokens(t):
+            q = sum(p["R"][before[k]] @ p["C"][k] for k in range(2))
+            s = np.exp((p["T"] @ q + p["b"]).astype(float))
+            total += np.log10(s[name(w)] / s.sum())
+            if name(w) >= 4:
+                own = [x for x in c if x and name(x) == name(w)]
+                total += np.log10((c[w] + 1) / (sum(c[x] for x in own) + len(own) + 1))
+            before = [name(w), before[0]]
+        assert got[i] == pytest.approx(total, rel=1e-5)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -27,6 +29,22 @@ def test_odd_texts(encoder, reference):
         assert encoder.decode(ids) == reference.decode(reference.encode(text))
 
 
+def test_long_runs_without_a_space(encoder, reference):
+    import random
+
+    draw = random.Random(3)
+    for text in ("a" * 3000, "ab" * 2000, "".join(draw.choices("etaoins", k=4000)), "".join(draw.choices("etaoinß日", k=3000)), "=" * 50_000):
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == reference.encode(text)
+
+
+def test_memory_of_words_is_bounded(reference):
+    small = Encoder(PieceModel.load(PATH), cache_bytes=2000)
+    for k in range(30):
+        text = " ".join(f"w{k}x{j}" for j in range(20))
+        assert np.frombuffer(small.encode([text])[0], "<u4").tolist() == reference.encode(text)
+        assert small.held < 20_000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abrtls \néß.,1") | st.characters(), max_size=30), max_size=5))
 def test_any_text(texts):
@@ -64,7 +82,11 @@ def test_null_and_clashing_columns(spark):
     assert encode_documents(df.limit(0)).count() == 0
 
 
-def test_whole_table(spark, sf):
+def test_whole_table(spark, sf, reference):
     got = op10_pieces(spark, sf)
+    want = {r["doc_id"]: reference.encode(r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in got.collect():
+        ids = np.array(want[r["doc_id"]], "<u4").tobytes()
+        assert (r["n_ids"], r["ids_crc32"]) == (len(ids) // 4, zlib.crc32(ids))
     assert got.where("not round_trip").count() == 0
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
