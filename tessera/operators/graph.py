@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that a loop's lineage stays short."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # one machine, as in unit tests
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tessera.sources.scratch import saved
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -39,34 +26,57 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return entry_points(nodes, edges).join(edges.where("src <> dst").select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
-def reach(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(src, dst) of every path; the length covered doubles each round."""
-    paths = saved(edges.where("src <> dst").select("src", "dst").distinct())
-    known = paths.count()
-    for _ in range(rounds):
-        longer = paths.select("src", F.col("dst").alias("via")).join(paths.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
-        paths = saved(paths.union(longer).distinct())
-        now = paths.count()
-        if now == known:
-            break
-        known = now
-    return paths
-
-
-def trimmed(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Edges without those at nodes that cannot lie on a cycle, found by peeling."""
-    for _ in range(rounds):
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those at nodes that cannot lie on a cycle, peeled until nothing falls."""
+    edges = saved(edges)
+    left = edges.count()
+    while left:
         has_in, has_out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = edges.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi").select("src", "dst")
-    return saved(edges)
+        edges = saved(edges.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi").select("src", "dst"))
+        before, left = left, edges.count()
+        if left == before:
+            break
+    return edges
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(node, component): nodes on cycles, with the least node that is mutually reachable."""
-    paths = reach(trimmed(edges.where("src <> dst").select("src", "dst").distinct()))
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = paths.join(back, ["src", "dst"], "left_semi")
-    return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component"))
+    """(node, component): nodes on cycles, with the least node that is mutually reachable.
+
+    Every node takes the least label that reaches it; nodes of one label from
+    which the label's own node is reached again are one component. Components
+    found go, what cannot lie on a cycle is trimmed, and the rest goes on. No
+    table grows beyond the edges.
+    """
+    edges, parts = edges.where("src <> dst").select("src", "dst").distinct(), []
+    kind = edges.schema["src"].dataType.simpleString()
+    while True:
+        edges = trimmed(edges)
+        if edges.isEmpty():
+            break
+        label = edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")).withColumn("moved", F.lit(True))
+        while True:
+            step = edges.join(label.where("moved").select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("least"))
+            better = F.coalesce(F.col("least") < F.col("label"), F.lit(False))
+            label = saved(label.join(step, "node", "left").select("node", F.when(better, F.col("least")).otherwise(F.col("label")).alias("label"), better.alias("moved")))
+            if label.where("moved").isEmpty():
+                break
+        of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        inner = saved(edges.join(of("src"), "src").join(of("dst"), "dst").where("label_src = label_dst").select("src", "dst"))
+        found = front = saved(label.where("node = label").select("node", F.col("label").alias("component")))
+        while not front.isEmpty():
+            back = inner.join(front.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component").distinct()
+            front = saved(back.join(found, "node", "left_anti"))
+            found = found.union(front)
+        found = saved(found)
+        parts.append(found)
+        edges = edges.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    if not parts:
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    several = every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return every.join(several, "component", "left_semi").select("node", "component")
 
 
 def layer_edges(edges: DataFrame, layer: DataFrame) -> DataFrame:
@@ -98,10 +108,10 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return near
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) by peeling nodes without predecessors; nodes on or behind cycles have none."""
     left, e, done, at = saved(nodes), saved(edges.where("src <> dst").select("src", "dst").distinct()), None, 0
-    while at < most:
+    while True:
         free = saved(left.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(at)))
         if free.isEmpty():
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,42 +33,56 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     return a.join(b, ["query_id", "id"], "full_outer").withColumn("score", F.round(part("lexical_rank") + part("semantic_rank"), 6))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, block: int = 512) -> DataFrame:
-    """The top most similar vectors of every query: (query_id, id, similarity, rank).
+def _blocks(rows: DataFrame, per_block: int, number: str) -> tuple[DataFrame, int]:
+    """Unit vectors (g, id, v) as matrices: (g, number, ids, matrix, dim), and how many numbers there are."""
+    count = max(1, math.ceil(rows.count() / per_block))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy().astype(np.int64)
+        v = np.array(table.column("v").to_pylist(), float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        columns = [[key[0].as_py()], [key[1].as_py()], [ids.tobytes()], [v.tobytes()], [v.shape[1]]]
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["g", number, "ids", "matrix", "dim"])
+
+    dealt = rows.withColumn(number, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    return dealt.groupBy("g", number).applyInArrow(pack, f"g string, {number} int, ids binary, matrix binary, dim int"), count
+
 
-    Queries travel in blocks, each a row of one matrix; a partition of vectors
-    keeps its own best of every block, so what is shuffled is top rows a query
-    and partition, never a row a pair. vectors and queries are (id, v).
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, group: str | None = None, least: float = -2.0, block: int = 2048) -> DataFrame:
+    """The top most similar other vectors of every query: (query_id, id, similarity, rank).
+
+    vectors and queries are (id, v), with a column group where only rows of one
+    group are compared. Both sides are packed into matrices; every pair of blocks
+    is one product that keeps the top rows of each query, so what is shuffled is
+    blocks and top rows, never a row a pair. Rows with a null id, vector or group
+    are left out; similarities below least too.
     """
-    packed = (
-        queries.withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.lit(queries.count() / block)), F.lit(1))))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    )
+    side = lambda df: df.select((F.col(group).cast("string") if group else F.lit("")).alias("g"), "id", "v").dropna()
+    right, n_right = _blocks(side(vectors), block, "i")
+    left, n_left = _blocks(side(queries), block // 4, "j")
+    right = right.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).select("g", "i", "j", F.col("ids").alias("asked"), F.col("matrix").alias("q"))
+    pairs = left.join(right, ["g", "i", "j"]).select("asked", "q", "ids", "matrix", "dim")
 
     def best(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            own = np.stack([np.asarray(x, float) for x in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, 1))
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-            blocks = batch.column(2).to_pylist()
-            groups: dict[int, list[int]] = {}
-            for i, b in enumerate(batch.column(3).to_pylist()):
-                groups.setdefault(b, []).append(i)
-            for at in groups.values():
-                asked = blocks[at[0]]
-                q = np.stack([np.asarray(a["v"], float) for a in asked])
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                s = q @ own[at].T
-                for row, a in zip(s, asked):
-                    order = np.lexsort((ids[at], -np.round(row, 9)))
-                    order = [o for o in order[: top + 1].tolist() if ids[at][o] != a["id"]][:top]
-                    if order:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([a["id"]] * len(order)), pa.array(ids[at][order]), pa.array(row[order])], ["query_id", "id", "similarity"]
-                        )
-
-    pairs = vectors.select("id", "v").crossJoin(packed).select("id", "v", "asked", "block")
+            for asked, q, ids, matrix, dim in zip(*[c.to_pylist() for c in batch.columns]):
+                asked, ids = np.frombuffer(asked, np.int64), np.frombuffer(ids, np.int64)
+                exact = np.frombuffer(q).reshape(-1, dim) @ np.frombuffer(matrix).reshape(-1, dim).T
+                s = np.round(exact, 9)
+                s[asked[:, None] == ids[None, :]] = -np.inf
+                keep = min(top, len(ids))
+                bar = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
+                row, col = np.nonzero((s >= bar[:, None]) & (s >= least))
+                # Ties at the bar are cut by id.
+                order = np.lexsort((ids[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < keep], col[place < keep]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(exact[row, col])], ["query_id", "id", "similarity"])
+
     found = pairs.mapInArrow(best, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fnv1a32, ngrams, tokens
-from tessera.operators.graph import saved
+from tessera.sources.scratch import saved
 
 #: Limits beyond which a measure is a finding.
 LIMITS = {"density": 0.2, "density_floor": 40, "function_complexity": 20, "function_lines": 120, "file_lines": 600, "nesting": 5, "parameters": 6, "fan_out": 20, "fan_in": 25}

@@ -5,51 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import exploded_tokens
+from tessera.sources.scratch import saved
 
 K1, B, TITLE = 1.5, 0.75, 2.5
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(id, term, tf, in_title, length) of a corpus of (id, title, body)."""
-    both = corpus.select("id", tokens(F.coalesce("title", F.lit(""))).alias("t"), tokens(F.coalesce("body", F.lit(""))).alias("b"))
-    both = both.select("id", "t", F.concat("t", "b").alias("every"))
-    terms = both.select("id", F.size("every").alias("length"), "t", F.explode("every").alias("term"))
-    return terms.groupBy("id", "term").agg(
-        F.count("*").alias("tf"), F.max(F.array_contains(F.col("t"), F.col("term"))).alias("in_title"), F.max("length").alias("length")
-    )
+    """The inverted index of a corpus of (id, title, body), written once: (id, term, tf, in_title).
+
+    Titles and bodies are taken apart in one pass; everything else reads the index.
+    """
+    both = corpus.select("id", F.explode(F.array(F.struct(F.lit(True).alias("titled"), F.col("title").alias("text")), F.struct(F.lit(False).alias("titled"), F.col("body").alias("text")))).alias("p"))
+    terms = exploded_tokens(both.select("id", "p.titled", F.coalesce("p.text", F.lit("")).alias("text")), "text", "id", "titled")
+    return saved(terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("titled").alias("in_title")), "postings")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times); a repeated term weighs as often as it is there."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return exploded_tokens(queries, "query", "query_id").groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """The top hits of every query: (query_id, id, score, matched, rank).
 
     Only the postings of the queries' terms are weighed: terms are few beside
-    the index, and a term in very many documents is split by the skew join. Sizes
-    of the corpus come from one aggregate over it.
+    the index, and a term in very many documents is split by the skew join. The
+    corpus gives its number of rows alone; lengths are sums over the index.
     """
-    stats = corpus.select(F.size(F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("body", F.lit(""))))).alias("n")).agg(
-        F.count("*").alias("docs"), F.avg("n").alias("mean")
-    )
-    asked = query_terms(queries)
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
+    lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
+    docs = corpus.count()
+    mean = (index.agg(F.sum("tf")).first()[0] or 0) / max(docs, 1)
+    asked = saved(query_terms(queries), "asked")
+    hit = saved(index.join(asked.select("term").distinct(), "term", "left_semi").join(lengths, "id"), "hits")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
+    idf = df.select("term", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = (
-        F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(F.lit(1.0), F.col("mean"))))
+        F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / max(1.0, mean)))
     ) * F.when(F.col("in_title"), TITLE).otherwise(1.0)
-    scored = (
-        hit.join(idf, "term")
-        .join(asked, "term")
-        .groupBy("query_id", "id")
-        .agg(F.sum(weight * F.col("times")).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
-    )
+    pairs = hit.join(idf, "term").join(asked, "term")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    scored = pairs.groupBy("query_id", "id").agg(F.round(F.sum(weight * F.col("times")), 6).alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # The matched terms are gathered for the top hits alone.
+    terms = asked.join(best.select("query_id", "id"), "query_id").join(hit.select("id", "term"), ["id", "term"])
+    matched = terms.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("term")).alias("matched"))
+    return best.join(matched, ["query_id", "id"]).select("query_id", "id", "score", "matched", "rank")
 
 
 def excerpt(body: Column, terms: Column, width: int = 180) -> Column:

@@ -123,7 +123,7 @@ def _secret_sql() -> str:
             low = f" AND list_sum(list_transform({chars}, lambda c: -(length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v)))) >= {r.least_entropy}"
         parts.append(
             f"SELECT doc_id, line_no, '{r.name}' AS rule, '{r.severity}' AS severity, substr(v, 1, 4) || '....' AS preview "
-            f"FROM (SELECT doc_id, line_no, regexp_extract(line, '{p}', 1) AS v FROM ls) WHERE v <> '' AND NOT regexp_matches(v, '{R.PLACEHOLDER}'){low}"
+            f"FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{p}', 1)) AS v FROM ls) WHERE v <> '' AND NOT regexp_matches(v, '{R.PLACEHOLDER}'){low}"
         )
     return " UNION ALL ".join(parts)
 

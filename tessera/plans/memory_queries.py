@@ -56,16 +56,23 @@ def conversation_titles(spark, sf_dir):
 
 
 def hybrid_rrf(spark, sf_dir):
-    """BM25 ranks fused with a second ranking of the same candidates, shorter texts first."""
-    docs = corpus(spark, sf_dir)
-    hits = search.bm25(search.postings(docs), docs, asked(spark, sf_dir), top=40)
-    kinds = docs.select("id", F.length("body").alias("n"))
-    second = hits.join(kinds, "id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("n", "id"))).where("rank <= 20")
-    fused = M.fuse(hits.where("rank <= 20"), second)
+    """BM25 ranks fused with the ranks of vectors; a document's vector has its id, a query's that of its item."""
+    docs, queries, v = corpus(spark, sf_dir), asked(spark, sf_dir), _vectors(spark, sf_dir)
+    hits = search.bm25(search.postings(docs), docs, queries, top=20)
+    of_docs = v.join(docs.select("id"), "id", "left_semi")
+    second = M.nearest(of_docs, v.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi"), top=20)
+    fused = M.fuse(hits, second)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return fused.withColumn("place", F.row_number().over(w)).where("place <= 8").select("query_id", F.col("id").alias("doc_id"), "lexical_rank", "semantic_rank", "score", "place")
 
 
+def related_items(spark, sf_dir):
+    """Up to five vectors of the same label that are similar by more than 0.2, for every vector."""
+    v = read(spark, sf_dir, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    got = M.nearest(v, v, top=5, group="label", least=0.2).where("similarity > 0.2")
+    return got.select(F.col("query_id").alias("vec_id"), F.col("id").alias("other_id"), "similarity", "rank")
+
+
 def entity_mentions(spark, sf_dir):
     found = M.entities(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.groupBy("name", "kind").agg(F.count("*").alias("mentions"), F.min("doc_id").alias("first_doc"))
@@ -93,7 +100,7 @@ def latest_question(spark, sf_dir):
     return last.select("conv_id", "asked", F.coalesce(F.col("answered") > F.col("asked"), F.lit(False)).alias("done"))
 
 
-QUERIES = {f.__name__: f for f in (knn, importance_decay, pack_budget, message_tokens, token_cost, conversation_titles, hybrid_rrf, entity_mentions, cooccurrence, centrality, chunks, latest_question)}
+QUERIES = {f.__name__: f for f in (knn, importance_decay, pack_budget, message_tokens, token_cost, conversation_titles, hybrid_rrf, related_items, entity_mentions, cooccurrence, centrality, chunks, latest_question)}
 
 _TOK = "CAST(greatest(ceil(length(text) / 3.6 + 0.15 * len(regexp_extract_all(text, '[^A-Za-z0-9_\\s]')) + 0.05 * len(regexp_extract_all(text, '\\S+'))), 1) AS BIGINT)"
 _PAIR = """b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -115,9 +122,12 @@ ORACLES = {
         f AS (SELECT conv_id, trim(regexp_replace(regexp_replace(text, '[#*_>`]', '', 'g'), '\\s+', ' ', 'g')) AS flat FROM u),
         e AS (SELECT *, regexp_extract(flat, '^(.+?[.!?])(?:\\s|$)', 1) AS f1 FROM f), g AS (SELECT conv_id, CASE WHEN f1 = '' THEN flat ELSE f1 END AS s FROM e)
         SELECT conv_id, CASE WHEN length(s) <= 60 THEN s ELSE rtrim(substr(s, 1, 59)) || '…' END AS title FROM g""",
-    "hybrid_rrf": f"""WITH {_INDEX}, a AS (SELECT query_id, id, rank FROM ranked WHERE rank <= 40),
-        b AS (SELECT * FROM (SELECT query_id, a.id, row_number() OVER (PARTITION BY query_id ORDER BY length(body), a.id) AS rank FROM a JOIN c ON a.id = c.id) WHERE rank <= 20),
-        l AS (SELECT * FROM a WHERE rank <= 20),
+    "related_items": f"""WITH s AS (SELECT q.vec_id, d.vec_id AS other_id, round({_DOT}, 6) AS similarity FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id AND q.label = d.label)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other_id) AS rank FROM s WHERE similarity > 0.2) WHERE rank <= 5""",
+    "hybrid_rrf": f"""WITH {_INDEX}, l AS (SELECT query_id, id, rank FROM ranked WHERE rank <= 20),
+        sv AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round({_DOT}, 6) AS similarity FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id
+               WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents)),
+        b AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sv) WHERE rank <= 20),
         f AS (SELECT coalesce(l.query_id, b.query_id) AS query_id, coalesce(l.id, b.id) AS doc_id, l.rank AS lexical_rank, b.rank AS semantic_rank,
               round(coalesce(1.0 / (60 + l.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0), 6) AS score FROM l FULL OUTER JOIN b ON l.query_id = b.query_id AND l.id = b.id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 8""",

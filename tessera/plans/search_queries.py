@@ -33,12 +33,12 @@ def corpus(spark, sf_dir) -> DataFrame:
 
 def asked(spark, sf_dir) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 6).alias("query"))
+    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def token_df(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    each = docs.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    each = X.exploded_tokens(docs, "text", "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -49,7 +49,7 @@ ev AS (SELECT id, t, list_concat(t, b) AS every FROM tk),
 st AS (SELECT count(*) AS docs, avg(len(every)) AS mean FROM ev),
 ix AS (SELECT id, term, count(*) AS tf, bool_or(list_contains(t, term)) AS in_title, max(len(every)) AS length
        FROM (SELECT id, t, every, unnest(every) AS term FROM ev) GROUP BY id, term),
-q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({tokens_sql("query")}) AS term FROM q) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM ix WHERE term IN (SELECT term FROM qt) GROUP BY term),
 hits AS (
@@ -83,11 +83,10 @@ def hits_by_kind(spark, sf_dir):
 
 
 def edit_distance_pairs(spark, sf_dir):
-    a = read(spark, sf_dir, "part", "p_brand", "p_type").distinct().select("p_brand", F.split("p_type", " ")[0].alias("kind"))
-    n = read(spark, sf_dir, "nation", "n_name")
-    words = a.select(F.lower("kind").alias("word")).distinct()
-    near = X.edit_distance(F.col("word"), F.lower("n_name"), 6)
-    return words.crossJoin(F.broadcast(n)).select("word", "n_name", near.alias("distance"))
+    """How far the first word of each part's name is from the last word of its type."""
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
+    a, b = F.lower(F.substring_index("p_name", " ", 1)), F.lower(F.substring_index("p_type", " ", -1))
+    return parts.select("p_partkey", X.edit_distance(a, b, 6).alias("distance"))
 
 
 def fuzzy_titles(spark, sf_dir):
@@ -146,20 +145,26 @@ ORACLES = {
         FROM s""",
     "hits_by_kind": f"""WITH {_INDEX} SELECT query_id, source AS kind, max(score) AS best, count(*) AS n
         FROM ranked JOIN documents ON id = doc_id WHERE rank <= 10 GROUP BY ALL""",
-    "edit_distance_pairs": """SELECT word, n_name, CAST(least(levenshtein(word, lower(n_name)), 7) AS INTEGER) AS distance
-        FROM (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS word FROM part), nation""",
+    "edit_distance_pairs": """SELECT p_partkey, CAST(least(levenshtein(lower(string_split(p_name, ' ')[1]), lower(string_split(p_type, ' ')[-1])), 7) AS INTEGER) AS distance FROM part""",
+    "fuzzy_titles": """WITH n AS (SELECT p_partkey, lower(p_name) AS t FROM part), a AS (SELECT *, instr(t, 'r') AS x FROM n),
+        b AS (SELECT *, x + instr(substr(t, x + 1), 'd') AS y FROM a WHERE x > 0), c AS (SELECT *, y + instr(substr(t, y + 1), 't') AS z FROM b WHERE y > x),
+        s AS (SELECT *, CASE WHEN x = 1 OR substr(t, x - 1, 1) IN (' ', '/', '-', '_') THEN 3 ELSE 0 END + CASE WHEN substr(t, y - 1, 1) IN (' ', '/', '-', '_') THEN 3 ELSE 0 END
+          + CASE WHEN substr(t, z - 1, 1) IN (' ', '/', '-', '_') THEN 3 ELSE 0 END + CASE WHEN y = x + 1 THEN 4 ELSE 0 END + CASE WHEN z = y + 1 THEN 4 ELSE 0 END + 3 AS g FROM c WHERE z > y)
+        SELECT p_partkey, round(g - least(length(t) - 3, 20) * CAST(0.1 AS DOUBLE), 6) AS score FROM s""",
+    "fnv_hash": """SELECT c_custkey, list_reduce(list_prepend(2166136261, list_transform(string_split(c_name, ''), lambda c: CAST(unicode(c) AS BIGINT))),
+        lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM customer""",
     "text_facts": """WITH d AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[#*_>`]', '', 'g'), '\\s+', ' ', 'g')) AS flat,
-          translate(lower(substr(text, 1, 60)), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS plain, strlen(text) AS n FROM documents),
+          translate(lower(text), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS plain, strlen(text) AS n FROM documents),
         e AS (SELECT *, regexp_extract(flat, '^(.+?[.!?])(?:\\s|$)', 1) AS f1 FROM d),
         g AS (SELECT *, CASE WHEN f1 = '' THEN flat ELSE f1 END AS s, regexp_replace(regexp_replace(plain, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS sl FROM e)
         SELECT doc_id, CASE WHEN length(s) <= 220 THEN s ELSE rtrim(substr(s, 1, 219)) || '…' END AS first_sentence,
           CASE WHEN sl = '' THEN 'untitled' ELSE sl END AS slug,
           CASE WHEN n < 1024 THEN n || ' B' WHEN n >= 1048576 THEN printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10)
                WHEN n / 1024.0 >= 100 THEN printf('%.0f KB', floor(n / 1024.0 + 0.5)) ELSE printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) END AS size,
-          CAST(greatest(length(trim(substr(text, 1, 40))) + 2 - 3 + 1, 1) AS INTEGER) AS ngrams,
+          CAST(greatest(length(trim(text)) + 2 - 3 + 1, 1) AS INTEGER) AS ngrams,
           CAST(greatest(ceil(length(text) / 3.6 + 0.15 * len(regexp_extract_all(text, '[^A-Za-z0-9_\\s]')) + 0.05 * len(regexp_extract_all(text, '\\S+'))), 1) AS BIGINT) AS tokens
         FROM g""",
-    "entropy_by_doc": """WITH c AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), '')) AS ch FROM documents WHERE text <> ''),
+    "entropy_by_doc": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''),
         n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL), t AS (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS total FROM n)
         SELECT doc_id, round(-sum(k / total * log2(k / total)), 6) AS bits FROM t GROUP BY doc_id""",
     "intent_classes": """SELECT CASE WHEN regexp_matches(lower(text), '\\b(fix|bug|error)\\b') THEN 'fix' WHEN regexp_matches(lower(text), '\\b(how|why|what)\\b') THEN 'explain'

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import saved
-from tessera.operators.tables import shared_path
+from tessera.sources.scratch import shared_path
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,4 +43,4 @@ def large_on_arrival(events: DataFrame, least: float) -> DataFrame:
     return events.where(F.col("value") > least).select("event_id", "user_id", "value")
 
 
-__all__ = ["drain", "events_stream", "large_on_arrival", "rate_windows", "saved", "status_counts"]
+__all__ = ["drain", "events_stream", "large_on_arrival", "rate_windows", "status_counts"]
