@@ -32,6 +32,16 @@ def release_kind(parsed: DataFrame, release: str) -> DataFrame:
     return parsed.groupBy(release).agg(kind.alias("release"), F.count("*").alias("commits"))
 
 
+def release_entries(parsed: DataFrame, release: str, most: int = 15) -> DataFrame:
+    """The first features and fixes of every release, beside its counts and how many people had a part in it."""
+    facts = parsed.groupBy(release).agg(
+        F.count_if(F.col("kind") == "feat").alias("features"), F.count_if(F.col("kind") == "fix").alias("fixes"), F.count_if("breaking").alias("breaking"), F.countDistinct("author").alias("contributors")
+    )
+    w = Window.partitionBy(release, "kind").orderBy("sha")
+    entries = parsed.where(F.col("kind").isin("feat", "fix")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return entries.select(release, "kind", "place", "description").join(facts, release)
+
+
 def lint(parsed: DataFrame, key: str) -> DataFrame:
     """(key, issue) for every rule that a commit breaks."""
     rules = {

@@ -35,6 +35,77 @@ def with_language(files: DataFrame) -> DataFrame:
     return out.select(*files.columns, F.coalesce("__nl", "__el").alias("language"), F.coalesce("__nc", "__ec").alias("category"))
 
 
+def manifest_kind(path: Column) -> Column:
+    """The ecosystem whose manifest a path is; null where it is none."""
+    out = F.when(path.rlike("(?i)\\.(csproj|fsproj)$"), "nuget")
+    for name, ecosystem in MANIFESTS:
+        out = F.when(basename(path) == name, ecosystem).otherwise(out)
+    return out
+
+
+def included(path: Column, patterns: list[str]) -> Column:
+    """Whether a path fits one of the patterns; without patterns every path does."""
+    out = F.lit(not patterns)
+    for regex, _ in ignore_rules(patterns):
+        out |= path.rlike(regex)
+    return out
+
+
+def find_files(files: DataFrame, name: str) -> DataFrame:
+    """Files of a base name in any case."""
+    return files.where(basename(F.col("path")) == name.lower())
+
+
+def text_files(files: DataFrame) -> DataFrame:
+    """Files whose text was read."""
+    return files.where(F.col("text").isNotNull())
+
+
+def file_route(path: Column) -> Column:
+    """The URL of a route file below app/ or pages/; null for other files.
+
+    Groups in parentheses fall out, [name] and [...name] become parameters, the
+    file's own name falls out where it is route, page or index.
+    """
+    below = F.regexp_extract(path, "^(?:.*/)?(?:src/)?(?:app|pages)/(.*)\\.(?:ts|tsx|js|jsx)$", 1)
+    kept = F.filter(F.split(below, "/"), lambda s: ~s.rlike("^\\(.*\\)$") & (s != ""))
+    last = F.element_at(kept, -1)
+    kept = F.when(last.isin("route", "page", "index"), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    parts = F.transform(kept, lambda s: F.regexp_replace(F.regexp_replace(s, "^\\[\\[?\\.\\.\\.([A-Za-z0-9_]+)\\]\\]?$", ":$1*"), "^\\[([A-Za-z0-9_]+)\\]$", ":$1"))
+    return F.when(below != "", F.concat(F.lit("/"), F.array_join(parts, "/")))
+
+
+#: Signatures of a stack: name, what kind of evidence, the value that is evidence.
+STACK = (
+    ("react", "package", "react"), ("vue", "package", "vue"), ("django", "package", "django"), ("flask", "package", "flask"), ("express", "package", "express"),
+    ("next", "package", "next"), ("next", "file", "next.config.js"), ("docker", "file", "dockerfile"), ("kubernetes", "path", "k8s/"), ("terraform", "path", "terraform/"),
+    ("github-actions", "path", ".github/workflows/"), ("typescript", "package", "typescript"), ("typescript", "file", "tsconfig.json"), ("postgres", "package", "pg"),
+)
+CONFIDENCE = {"package": 0.95, "file": 0.75, "path": 0.70}
+
+
+def detect_stack(dependencies: DataFrame, files: DataFrame, signatures: tuple = STACK) -> DataFrame:
+    """(project, technology, confidence, evidence) of projects' dependencies (project, name) and files (project, path).
+
+    Confidence is that of the best kind of evidence and 0.02 more for every
+    further piece, 1 at most. Evidence meets the few signatures by equality; a
+    path is taken by every folder it lies in.
+    """
+    known = dependencies.sparkSession.createDataFrame(signatures, "technology string, kind string, value string")
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"), F.lit("/")))
+    seen = (
+        dependencies.select("project", F.lit("package").alias("kind"), F.lower("name").alias("value"))
+        .union(files.select("project", F.lit("file"), basename(F.col("path"))))
+        .union(files.where(F.col("path").contains("/")).select("project", F.lit("path").alias("kind"), F.explode(folders).alias("value")))
+    )
+    met = seen.join(F.broadcast(known), ["kind", "value"]).select("project", "technology", "kind", "value").distinct()
+    base = F.lit(0.0)
+    for kind, share in CONFIDENCE.items():
+        base = F.when(F.col("kind") == kind, share).otherwise(base)
+    out = met.groupBy("project", "technology").agg(F.max(base).alias("best"), F.count("*").alias("n"), F.array_sort(F.collect_set(F.concat_ws(":", "kind", "value"))).alias("evidence"))
+    return out.select("project", "technology", F.round(F.least(F.col("best") + 0.02 * (F.col("n") - 1), F.lit(1.0)), 4).alias("confidence"), F.array_join("evidence", " ").alias("evidence"))
+
+
 def without_comments(code: Column, style: str = "c") -> Column:
     """Code with comments blanked but their line ends kept; quoted text is passed over whole."""
     quoted = "\"(?:[^\"\\\\\n]|\\\\.)*+\"|'(?:[^'\\\\\n]|\\\\.)*+'"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import change_queries, code_queries, findings_queries, graph_queries, line_queries, memory_queries, search_queries, table_queries
+from tessera.plans import audit_queries, change_queries, code_queries, findings_queries, graph_queries, line_queries, memory_queries, search_queries, table_queries
 
-_MODULES = (search_queries, line_queries, findings_queries, memory_queries, graph_queries, change_queries, table_queries, code_queries)
+_MODULES = (search_queries, line_queries, findings_queries, memory_queries, graph_queries, change_queries, table_queries, code_queries, audit_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

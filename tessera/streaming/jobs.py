@@ -43,4 +43,9 @@ def large_on_arrival(events: DataFrame, least: float) -> DataFrame:
     return events.where(F.col("value") > least).select("event_id", "user_id", "value")
 
 
-__all__ = ["drain", "events_stream", "large_on_arrival", "rate_windows", "status_counts"]
+def feed(events: DataFrame) -> DataFrame:
+    """What a feed shows of an event; appended as it comes."""
+    return events.select("event_id", "user_id", "event_type", "ts")
+
+
+__all__ = ["drain", "events_stream", "feed", "large_on_arrival", "rate_windows", "status_counts"]
