@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SpanHasher, by_size, id_crc, materialise, runs, table, utf8_parts
 
 #: Commonest words that are classes of their own, and the classes that all others share by their last two bytes.
-MODEL_WORDS, BUCKETS = 500, 500
+MODEL_WORDS, BUCKETS = 250, 400
 #: Commonest words whose counts go to every task; the counts of rarer ones are joined.
 HEAD_WORDS = 32_768
-DIM, CONTEXT, NOISE, BATCH, RATE = 16, 2, 128, 512, 0.4
+DIM, CONTEXT, NOISE, BATCH, RATE = 16, 2, 64, 512, 0.4
 #: Tokens of a training shard, and the disjoint parts of the texts that are learnt from one after another.
 SHARD_TOKENS, ROUNDS = 2_000_000, 2
 START, STOP = 0, 1  # ids of the model; words follow, the shared classes are last
@@ -223,12 +223,17 @@ class LogBilinear:
         order = np.argsort(which, kind="stable")
         bounds = np.searchsorted(which[order], np.arange(0, len(one) + 4096, 4096))
         out = np.empty(len(target))
+        classes = np.hstack([self.params["T"], self.params["b"][:, None]]).T.copy()
+        reach = np.linalg.norm(self.params["T"], axis=1).max()
         for lo, a, b in zip(range(0, len(one), 4096), bounds[:-1], bounds[1:]):
-            s = self.query(before[:, one[lo : lo + 4096]]) @ self.params["T"].T + self.params["b"]
-            s -= s.max(axis=1, keepdims=True)
-            norm = np.log(np.exp(s).sum(axis=1, dtype=np.float64))
+            q = self.query(before[:, one[lo : lo + 4096]])
+            s = np.hstack([q, np.ones((len(q), 1), np.float32)]) @ classes
+            if np.linalg.norm(q, axis=1).max() * reach + np.abs(self.params["b"]).max() > 60:  # exp could run over
+                s -= s.max(axis=1, keepdims=True)
             at = order[a:b]
-            out[at] = s[which[at] - lo, target[at]] - norm[which[at] - lo]
+            own = s[which[at] - lo, target[at]].astype(np.float64)
+            np.exp(s, out=s)
+            out[at] = own - np.log(s.sum(axis=1).astype(np.float64))[which[at] - lo]
         return out
 
 
