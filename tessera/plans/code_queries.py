@@ -129,6 +129,12 @@ ORACLES = {
     "env_vars": """WITH u AS (SELECT name, count(*) AS used FROM (SELECT unnest(regexp_extract_all(text, '([A-Z]{6,})', 1)) AS name FROM documents) GROUP BY name),
         k AS (SELECT name, count(*) AS known FROM (SELECT unnest(regexp_extract_all(text, '([A-Z]{6,})', 1)) AS name FROM conversations) GROUP BY name)
         SELECT name, used IS NOT NULL AS in_code, known IS NOT NULL AS documented, coalesce(used, 0) AS uses FROM u FULL OUTER JOIN k USING (name)""",
+    "route_match": """WITH p AS (SELECT page_id AS request_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages), q AS (SELECT * FROM p WHERE path <> ''),
+        t AS (SELECT DISTINCT array_to_string(list_transform(string_split(regexp_replace(path, '\\{([^}]+)\\}|<(?:[a-z]+:)?([^>]+)>|\\[(?:\\.\\.\\.)?([^\\]]+)\\]', ':id', 'g'), '/'),
+          lambda s: CASE WHEN regexp_full_match(s, '[0-9]+|[0-9a-f]{16,}') THEN ':id' ELSE s END), '/') AS template FROM q),
+        m AS (SELECT request_id, template, row_number() OVER (PARTITION BY request_id ORDER BY len(regexp_extract_all(template, ':[a-z]+')), -length(template), template) AS n
+          FROM q JOIN t ON regexp_full_match(path, regexp_replace(template, ':[a-z]+', '[^/]+', 'g')))
+        SELECT request_id, path, template FROM q LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (request_id)""",
     "ddl_catalog": """WITH c AS (SELECT 'c' || c_custkey AS e FROM customer), r("column", "type", role, refers_to) AS (VALUES ('id', 'bigint', 'PK', NULL), ('nation', 'int', 'FK', 'nation'), ('name', 'varchar', 'UK', NULL), ('balance', 'decimal', NULL, NULL))
         SELECT "column", "type", role, refers_to, count(*) AS tables, max(e) AS last_entity FROM c, r GROUP BY ALL""",
     "diff_summary": f"WITH {_DIFF} SELECT doc_id, 'doc.txt' AS file, count(*) FILTER (kind = 'add') AS add, count(*) FILTER (kind = 'remove') AS remove, count(*) FILTER (kind = 'context') AS context, max(CASE WHEN kind <> 'remove' THEN new_line END) AS last_line FROM d GROUP BY doc_id",

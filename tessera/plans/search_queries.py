@@ -108,8 +108,12 @@ def text_facts(spark, sf_dir):
 
 
 def entropy_by_doc(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("bits"))
+    """Bits a character of whole texts: characters are counted, so a text is passed over once."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    each = docs.select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("doc_id", "c").agg(F.count("*").alias("n"))
+    n = F.sum("n")
+    per = each.groupBy("doc_id").agg(F.round(F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n, 6).alias("bits"))
+    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("bits", F.lit(0.0)).alias("bits"))
 
 
 def fnv_hash(spark, sf_dir):
@@ -166,7 +170,8 @@ ORACLES = {
         FROM g""",
     "entropy_by_doc": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''),
         n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL), t AS (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS total FROM n)
-        SELECT doc_id, round(-sum(k / total * log2(k / total)), 6) AS bits FROM t GROUP BY doc_id""",
+        SELECT doc_id, round(-sum(k / total * log2(k / total)), 6) AS bits FROM t GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0.0 FROM documents WHERE text = ''""",
     "intent_classes": """SELECT CASE WHEN regexp_matches(lower(text), '\\b(fix|bug|error)\\b') THEN 'fix' WHEN regexp_matches(lower(text), '\\b(how|why|what)\\b') THEN 'explain'
           WHEN regexp_matches(lower(text), '\\b(is|are|was)\\b') THEN 'check' WHEN regexp_matches(lower(text), '\\b(der|die|das)\\b') THEN 'german' ELSE 'other' END AS intent,
         count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1""",
