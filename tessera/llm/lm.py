@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SpanHasher, by_size, id_crc, materialise, runs, table, utf8_parts
@@ -322,8 +322,11 @@ def score(
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     stops = training.count()
     n, v = int(sums[0]) + stops, int(sums[1]) + bool(stops)
-    top = counts.orderBy(F.desc("c"), "word").limit(head_words)
-    top = [(r["word"], int(r["c"])) for r in top.collect()]
+    # The head is cut between two counts, so that no more than head_words rows reach the driver;
+    # a number of occurrences has one row, so few rows are summed up in order.
+    above = F.sum("words").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+    cut = counts.groupBy("c").agg(F.count("*").alias("words")).withColumn("above", above).where(F.col("above") <= head_words).agg(F.min("c")).first()[0]
+    top = [(r["word"], int(r["c"])) for r in counts.where(F.col("c") >= (n + 1 if cut is None else cut)).collect()]
     top.sort(key=lambda x: (-x[1], x[0]))
     lexicon = Lexicon.build(top, model_words, buckets)
     inner = top[:model_words]
