@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 as Parquet under the shared folder and reads it back for the next. All stages
-but the last return the columns of documents.
+but the last return the columns of documents, whatever else these are named.
+
+Null and empty texts are never toxic, have no language and so go at the second
+stage; rows with a null doc_id keep their text and are never duplicates. Repeated
+rows are judged each on its own until the fourth stage, where one doc_id is one
+document: rows that repeat it stay or go together. Ties fall to the least doc_id.
+An empty table passes through all stages and gives no rows; without labels
+nothing is toxic, and without languages every text with letters stays.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language."""
+    """Documents with letters that are not far from every learned language."""
     model = language.fit(docs, F.lit(True))
     return language.keep_identified(docs, model)
 
