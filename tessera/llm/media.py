@@ -18,7 +18,7 @@ ROW = 192
 #: Rows of one still. Longer payloads are several stills, one file after another.
 TILE_ROWS = 64
 #: Bytes and rows of text in one slice: many stills are read in lockstep.
-SLICE_BYTES, SLICE_ROWS = 16_000_000, 6000
+SLICE_BYTES, SLICE_ROWS = 8_000_000, 6000
 #: Pixels worked on in one call.
 BATCH_PIXELS = 500_000
 

@@ -52,7 +52,7 @@ class Bits:
 
     def read(self, n: int) -> int:
         byte = self.at >> 3
-        value = int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7)
+        value = int.from_bytes(self.data[byte : byte + (n + 14 >> 3)], "little") >> (self.at & 7)
         self.at += n
         return value & ((1 << n) - 1)
 
@@ -111,8 +111,11 @@ class Codes:
 
 
 @lru_cache(maxsize=4096)
-def _length_table(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
-    """(symbol, length) for every value of the next 7 bits."""
+def _length_table(count: int, fields: int) -> list[tuple[int, int]]:
+    """(symbol, length) for every value of the next 7 bits, from count lengths of three bits each."""
+    lengths = [0] * 19
+    for i in range(count):
+        lengths[LENGTH_ORDER[i]] = fields >> 3 * i & 7
     some = [i for i in range(19) if lengths[i]]
     if len(some) == 1:
         return [(some[0], 0)] * 128
@@ -136,10 +139,8 @@ def _read_lengths(bits: Bits, size: int) -> tuple[list[int], list[int]]:
         if two:
             symbols.append(bits.read(8))
         return sorted(symbols), [len(symbols) - 1] * len(symbols)
-    lengths = [0] * 19
-    for i in range(4 + bits.read(4)):
-        lengths[LENGTH_ORDER[i]] = bits.read(3)
-    table = _length_table(tuple(lengths))
+    count = 4 + bits.read(4)
+    table = _length_table(count, bits.read(3 * count))
     most = size
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
@@ -198,15 +199,13 @@ def _read_codes(bits: Bits, plan: Plan) -> Plan:
     return plan
 
 
-def _small(bits: Bits, width: int, height: int) -> np.ndarray:
-    """A sub-image: transform data, palette or groups of codes."""
+def _small(bits: Bits, width: int, height: int):
+    """A sub-image: transform data, palette or groups of codes. Yields its plan and is sent its pixels and their end."""
     plan = Plan(width, height)
     if bits.read(1):
         plan.cache_bits = bits.read(4)
-    _read_codes(bits, plan)
-    pixels, ends = read_pixels([bits.data], [plan])
-    bits.at = int(ends[0])
-    return pixels[0].reshape(height, width)
+    pixels, bits.at = yield _read_codes(bits, plan)
+    return pixels.reshape(height, width)
 
 
 def read_pixels(streams: list[bytes], plans: list[Plan]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -444,43 +443,64 @@ def chunk_of(file: bytes) -> bytes:
     return file[20 : 20 + int.from_bytes(file[16:20], "little")]
 
 
+def _head(data: bytes):
+    """What stands before an image's pixels: its plan and transforms. Yields a plan where it needs a sub-image."""
+    bits = Bits(data)
+    if bits.read(8) != 0x2F:
+        raise ValueError("no lossless signature")
+    width, height = bits.read(14) + 1, bits.read(14) + 1
+    bits.read(4)
+    transforms, wide = [], width
+    while bits.read(1):
+        kind = bits.read(2)
+        if kind in (PREDICTOR, CROSS):
+            size = bits.read(3) + 2
+            part = yield from _small(bits, (wide + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size)
+            transforms.append((kind, size, part, wide))
+        elif kind == SUBTRACT:
+            transforms.append((kind, 0, None, wide))
+        else:
+            colours = bits.read(8) + 1
+            steps = _channels((yield from _small(bits, colours, 1))[0])
+            transforms.append((kind, 0, _joined(np.cumsum(steps, axis=0)), wide))
+            pack = _packing(colours)
+            wide = (wide + (1 << pack) - 1) >> pack
+    plan = Plan(wide, height)
+    if bits.read(1):
+        plan.cache_bits = bits.read(4)
+    if bits.read(1):
+        plan.group_bits = bits.read(3) + 2
+        side = 1 << plan.group_bits
+        groups = yield from _small(bits, (wide + side - 1) // side, (height + side - 1) // side)
+        plan.group_of = (groups >> np.uint32(8)) & np.uint32(0xFFFF)
+        plan.groups = int(plan.group_of.max()) + 1
+    return _read_codes(bits, plan), transforms
+
+
+def _heads(streams: list[bytes]) -> list[tuple[Plan, list]]:
+    """Every image's head; the sub-images that the heads wait for are read together, round by round."""
+    done: list = [None] * len(streams)
+    heads = [_head(data) for data in streams]
+    answers: list[tuple[int, tuple | None]] = [(k, None) for k in range(len(streams))]
+    while answers:
+        waiting, plans = [], []
+        for k, answer in answers:
+            try:
+                plans.append(heads[k].send(answer))
+                waiting.append(k)
+            except StopIteration as end:
+                done[k] = end.value
+        pixels, ends = read_pixels([streams[k] for k in waiting], plans) if waiting else ([], np.zeros(0, np.int64))
+        answers = list(zip(waiting, zip(pixels, ends.tolist())))
+    return done
+
+
 def decode(files: list[bytes]) -> list[np.ndarray]:
     """Pixels (height, width) of every file."""
-    streams, plans, jobs = [], [], []
-    for data in map(chunk_of, files):
-        bits = Bits(data)
-        if bits.read(8) != 0x2F:
-            raise ValueError("no lossless signature")
-        width, height = bits.read(14) + 1, bits.read(14) + 1
-        bits.read(4)
-        transforms, wide = [], width
-        while bits.read(1):
-            kind = bits.read(2)
-            if kind in (PREDICTOR, CROSS):
-                size = bits.read(3) + 2
-                transforms.append((kind, size, _small(bits, (wide + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size), wide))
-            elif kind == SUBTRACT:
-                transforms.append((kind, 0, None, wide))
-            else:
-                colours = bits.read(8) + 1
-                steps = _channels(_small(bits, colours, 1)[0])
-                transforms.append((kind, 0, _joined(np.cumsum(steps, axis=0)), wide))
-                pack = _packing(colours)
-                wide = (wide + (1 << pack) - 1) >> pack
-        plan = Plan(wide, height)
-        if bits.read(1):
-            plan.cache_bits = bits.read(4)
-        if bits.read(1):
-            plan.group_bits = bits.read(3) + 2
-            side = 1 << plan.group_bits
-            groups = _small(bits, (wide + side - 1) // side, (height + side - 1) // side)
-            plan.group_of = (groups >> np.uint32(8)) & np.uint32(0xFFFF)
-            plan.groups = int(plan.group_of.max()) + 1
-        plans.append(_read_codes(bits, plan))
-        streams.append(data)
-        jobs.append(transforms)
+    streams = [chunk_of(f) for f in files]
+    heads = _heads(streams)
     out = []
-    for plan, pixels, transforms in zip(plans, read_pixels(streams, plans)[0] if files else [], jobs):
+    for (plan, transforms), pixels in zip(heads, read_pixels(streams, [p for p, _ in heads])[0] if files else []):
         image = pixels.reshape(plan.height, plan.width)
         for kind, size, data, wide in reversed(transforms):
             if kind == PREDICTOR:
@@ -557,6 +577,8 @@ def canonical(length: np.ndarray) -> np.ndarray:
 
 _STATIC_CODE = canonical(_STATIC[None, :])[0].tolist()
 _STATIC_LENGTH = _STATIC.tolist()
+#: What a code begins with: no short form, all 19 lengths of lengths, three bits each, no limit.
+_STATIC_HEAD = (15 << 1 | sum(_STATIC_LENGTH[s] << 5 + 3 * i for i, s in enumerate(LENGTH_ORDER)), 1 + 4 + 3 * 19 + 1)
 
 
 def _put_code(w: Writer, counts: np.ndarray, length: np.ndarray) -> None:
@@ -566,12 +588,7 @@ def _put_code(w: Writer, counts: np.ndarray, length: np.ndarray) -> None:
         w.put(1 | (s > 1) << 2, 3)
         w.put(s, 8 if s > 1 else 1)
         return
-    w.put(0, 1)
-    w.put(15, 4)
-    for s in LENGTH_ORDER:
-        w.put(_STATIC_LENGTH[s], 3)
-    w.put(0, 1)
-    value, size, last = 0, 0, -1
+    value, size, last = *_STATIC_HEAD, -1
     full = symbols + [len(length)]
     lengths = length.tolist()
     for s in full:
@@ -614,12 +631,12 @@ def _one_pixel(pixel: int) -> tuple[int, int]:
 def _put_pixels(w: Writer, pixels: np.ndarray) -> None:
     w.put(0, 1)
     c = _channels(pixels.ravel())[:, [2, 1, 3, 0]]
-    counts = [np.bincount(c[:, k], minlength=GREEN + LENGTHS if k == 0 else 256) for k in range(4)] + [np.zeros(DISTANCES, np.int64)]
-    codes = []
-    for n in counts:
-        length = code_lengths(n[None, :])
-        _put_code(w, n, length[0])
-        codes.append((canonical(length)[0].tolist(), length[0].tolist()))
+    sizes = (GREEN + LENGTHS, 256, 256, 256, DISTANCES)
+    counts = np.array([np.bincount(c[:, k], minlength=sizes[0]) for k in range(4)] + [np.zeros(sizes[0], np.int64)])
+    lengths = code_lengths(counts)
+    for n, length, size in zip(counts, lengths, sizes):
+        _put_code(w, n[:size], length[:size])
+    codes = list(zip(canonical(lengths).tolist(), lengths.tolist()))
     for px in c.tolist():
         for s, (code, length) in zip(px, codes):
             w.put(code[s], length[s])
@@ -772,7 +789,8 @@ def _write(heads: list[Writer], bodies: list[np.ndarray], widths: np.ndarray, ca
     most = int(caches.max())
     # The colour cache holds for every slot the last pixel that fell there.
     slot = (CACHE_MUL * pixels) >> (32 - np.maximum(caches, 1))[image].astype(np.uint32)
-    order = np.argsort(image << most | slot.astype(np.int64), kind="stable")
+    place = len(pixels).bit_length()
+    order = np.sort((image << most | slot.astype(np.int64)) << place | np.arange(len(pixels))) & ((1 << place) - 1)
     same = np.concatenate(([False], (image[order][1:] == image[order][:-1]) & (pixels[order][1:] == pixels[order][:-1]) & (slot[order][1:] == slot[order][:-1])))
     hit = np.zeros(len(pixels), bool)
     hit[order] = same
