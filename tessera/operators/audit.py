@@ -23,6 +23,8 @@ class CodeRule:
 
 
 _JS, _PY = ("typescript", "javascript"), ("python",)
+#: A call by which text is made safe for a page.
+CLEANERS = "(?i)\\b\\w*(?:sanit|purif|escape)\\w*\\s*[.(]"
 CODE_RULES = (
     CodeRule("sql-built-from-text", "injection", "critical", "(?i)\\b(?:select|insert|update|delete)\\b[^\\n]{0,120}(?:\\$\\{|[\"'] *\\+ *[a-z]|\\{[a-z_]+\\})"),
     CodeRule("shell-from-text", "injection", "critical", "(?:execSync|exec|os\\.system|subprocess\\.[a-zA-Z]+)\\([^\\n)]*(?:\\$\\{|\\+ *[a-z]|shell *= *True)"),
@@ -32,19 +34,19 @@ CODE_RULES = (
     CodeRule("yaml-any-object", "deserialisation", "high", "\\byaml\\.load\\(", _PY, "Safe"),
     CodeRule("weak-hash", "crypto", "medium", "(?i)\\b(?:md5|sha1)\\b[^\\n]*(?:password|secret|token)"),
     CodeRule("guessable-token", "crypto", "high", "(?i)(?:token|secret|nonce|session)[^\\n]*(?:Math\\.random|random\\.rand)"),
-    CodeRule("tls-not-verified", "transport", "critical", "rejectUnauthorized: *false|verify *= *False"),
-    CodeRule("plain-http", "transport", "low", "[\"']http://[a-z0-9.-]+", (), "localhost|127\\.0\\.0\\.1|example\\."),
+    CodeRule("tls-not-verified", "transport", "critical", "(?i)\\b(?:reject_?unauthorized|verify(?:_ssl|_certs)?|ssl_?verify|check_hostname)[\"']?\\s*[:=]\\s*(?:false|0|no)\\b"),
+    CodeRule("plain-http", "transport", "low", "\\bhttp:/{2}(?!localhost|127\\.|0\\.0\\.0\\.0|example\\.)\\w"),
     CodeRule("any-origin", "access", "medium", "(?i)allow-origin[\"']?[,:] *[\"']\\*"),
-    CodeRule("debug-on", "configuration", "medium", "\\bDEBUG *= *True\\b", _PY),
+    CodeRule("debug-on", "configuration", "medium", "(?i)\\b(?:app_?)?debug\\s*=\\s*(?:true|1|on)\\b", _PY),
     CodeRule("open-cookie", "access", "medium", "(?i)(?:httpOnly|secure): *false", _JS),
     CodeRule("unsigned-jwt", "access", "critical", "(?i)algorithms?[\"']?[:=] *\\[?[\"']none"),
-    CodeRule("raw-html-prop", "cross-site", "high", "dangerouslySetInnerHTML", _JS, "(?i)sanitize|purify"),
-    CodeRule("raw-html-write", "cross-site", "high", "\\.innerHTML *=", _JS, "(?i)sanitize|purify"),
+    CodeRule("raw-html-prop", "cross-site", "high", "\\bdangerouslySetInnerHTML\\b", _JS, CLEANERS),
+    CodeRule("raw-html-write", "cross-site", "high", "\\.(?:inner|outer)HTML\\s*\\+?=(?!=)", _JS, CLEANERS),
     CodeRule("path-from-request", "files", "high", "(?:readFile|sendFile|open)\\([^\\n)]*(?:req\\.|request\\.|params)"),
     CodeRule("prompt-from-input", "model", "medium", "(?i)prompt *[:=][^\\n]*\\{[^\\n]*(?:input|user|request)"),
     CodeRule("model-output-run", "model", "critical", "(?:eval|exec|query)\\( *(?:completion|answer|reply)"),
     CodeRule("endless-tools", "model", "medium", "while *\\(?(?:true|True)\\)?[^\\n]*\\n[^\\n]*(?:tool|agent)\\("),
-    CodeRule("key-in-browser", "secrets", "critical", "\\b(?:NEXT_PUBLIC|VITE|PUBLIC)_[A-Z_]*(?:API_KEY|SECRET)"),
+    CodeRule("key-in-browser", "secrets", "critical", "\\b(?:[A-Z]+_)?(?:PUBLIC|VITE|EXPO|GATSBY)_\\w*(?:KEY|SECRET|TOKEN|PASSWORD)\\b"),
 )
 
 

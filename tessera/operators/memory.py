@@ -88,19 +88,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, group: str | N
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+# Kinds of names, the most specific first; verbs that announce a decision; words that begin no concept.
+ENTITY_KINDS = ("file", "symbol", "package", "decision", "concept")
+DECIDING = ("decided", "chose", "agreed", "standardised", "standardized")
+NO_CONCEPT = (
+    "The This That These Those There When Where What Which While After Before Because However Also Note TODO And But For With "
+    "From Into Once Then They Their Should Would Could Will Must"
+).split()
+
+
+def _files(text: Column) -> Column:
+    """Tokens of path characters with two to seven parts, the last of which has an extension."""
+    runs = F.transform(F.split(text, "[^A-Za-z0-9_./-]+"), lambda t: F.regexp_replace(t, "^[./-]+|[./-]+$", ""))
+    parts = lambda t: F.split(t, "/")
+    return F.filter(runs, lambda t: F.size(parts(t)).between(2, 7) & ~F.array_contains(parts(t), "") & F.element_at(parts(t), -1).rlike("^.+\\.[a-z]{1,5}$"))
+
+
+def _symbols(text: Column) -> Column:
+    """Identifiers of three characters and more that stand between backticks."""
+    quoted = F.split(text, "`")
+    return F.filter(F.slice(quoted, 2, F.greatest(F.size(quoted) - 2, F.lit(0))), lambda t: (F.length(t) > 2) & t.rlike("^[A-Za-z_$]") & ~t.rlike("[^A-Za-z0-9_$]"))
+
+
+def _packages(text: Column) -> Column:
+    """Names with a dash from their first part in lower case on, and names within a scope."""
+    dashed = F.transform(F.split(text, "[^A-Za-z0-9_-]+"), lambda t: F.filter(F.split(t, "-"), lambda p: p != ""))
+    at = lambda ps: F.array_position(F.transform(ps, lambda p: p.rlike("^[a-z]")), True)
+    long = F.filter(dashed, lambda ps: (at(ps) > 0) & (at(ps) < F.size(ps)))
+    names = F.transform(long, lambda ps: F.array_join(F.slice(ps, at(ps).cast("int"), F.size(ps)), "-"))
+    scoped = F.filter(F.split(text, "[^A-Za-z0-9_@/-]+"), lambda t: t.startswith("@") & (F.size(F.split(t, "/")) == 2) & ~t.endswith("/") & (F.locate("@", t, 2) == 0) & (F.locate("/", t) > 2))
+    return F.concat(names, scoped)
+
+
+def _decisions(text: Column) -> Column:
+    """What follows the first deciding verb of a clause, up to seventy characters."""
+    clauses = F.transform(F.split(text, "[.;\n]"), lambda c: F.split(c, " "))
+    verb = lambda ws: F.array_position(F.transform(ws, lambda w: F.lower(w).isin(*DECIDING)), True).cast("int")
+    behind = F.transform(F.filter(clauses, lambda ws: verb(ws) > 0), lambda ws: F.slice(ws, verb(ws) + 1, F.size(ws)))
+    plain = F.transform(behind, lambda ws: F.when(F.lower(F.get(ws, F.lit(0))).isin("to", "on"), F.slice(ws, 2, F.size(ws))).otherwise(ws))
+    return F.filter(F.transform(plain, lambda ws: F.trim(F.substring(F.array_join(ws, " "), 1, 70))), lambda t: F.length(t) >= 6)
+
+
+def _concepts(text: Column) -> Column:
+    """Up to three capitalised words in a row, a space apart, that no stop word begins."""
+    apart = F.split(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_ ]+", " | "), "  ", " | "), " ")
+    marked = F.transform(apart, lambda w: F.when((F.length(w) > 2) & w.rlike("^[A-Z]") & ~w.rlike("[^A-Za-z]"), w).otherwise("|"))
+    rows = F.filter(F.transform(F.split(F.array_join(marked, " "), "\\|"), lambda r: F.split(F.trim(r), " ")), lambda r: r[0] != "")
+    threes = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(3)), lambda i: F.slice(r, i, 3))))
+    return F.filter(F.transform(F.filter(threes, lambda r: ~r[0].isin(*NO_CONCEPT)), lambda r: F.array_join(r, " ")), lambda t: F.length(t) >= 4)
+
+
 def entities(texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, name, kind): names in a text, each with the most specific kind that fits."""
-    kinds = (
-        ("file", "(?:^|[^A-Za-z0-9_./-])((?:[A-Za-z0-9_.-]+/){1,6}[A-Za-z0-9_.-]+\\.[a-z]{1,5})"),
-        ("package", "(?:^|[^A-Za-z0-9_])([a-z][a-z0-9_]*-[A-Za-z0-9_-]+)"),
-        ("concept", "(?:^|[^A-Za-z0-9_])([A-Z][a-zA-Z]{3,})"),
-    )
-    each = [
-        texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("name"), F.lit(i).alias("order"), F.lit(k).alias("kind"))
-        for i, (k, p) in enumerate(kinds)
-    ]
-    found = each[0].unionByName(each[1]).unionByName(each[2]).select(key, F.lower("name").alias("name"), "order", "kind")
-    return found.groupBy(key, "name").agg(F.min_by("kind", "order").alias("kind"))
+    """(key, name, kind): names in a text, each with the most specific kind that fits.
+
+    Tokens are classified by their shape; a text is read once and gives its names
+    of all kinds in one array.
+    """
+    finders = (_files, _symbols, _packages, _decisions, _concepts)
+    tag = lambda i: lambda t: F.struct(F.lower(t).alias("name"), F.lit(i).alias("order"))
+    tagged = [F.transform(find(F.col("text")), tag(i)) for i, find in enumerate(finders)]
+    found = texts.where("text is not null").select(key, F.explode(F.concat(*tagged)).alias("e")).select(key, "e.*")
+    kinds = F.array(*[F.lit(k) for k in ENTITY_KINDS])
+    return found.groupBy(key, "name").agg(F.min("order").alias("order")).select(key, "name", kinds[F.col("order")].alias("kind"))
 
 
 def co_occurrence(mentions: DataFrame, key: str, name: str) -> DataFrame:

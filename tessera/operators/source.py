@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,41 +268,83 @@ def xml_dependencies(files: DataFrame, key: str = "path") -> DataFrame:
     return maven.unionByName(nuget).unionByName(gradle)
 
 
-_VERBS = "get|post|put|patch|delete|head|options"
-_EXPRESS = ("express", "fastify", "hono", "koa")
-#: Framework, pattern of (verb, path), languages it is met in, packages of which one must be declared or imported.
-REGISTRATIONS = (
-    ("express", f"\\b(?:app|router|server|api|fastify|hono)\\s*\\.\\s*({_VERBS}|all)\\s*\\(\\s*['\"`]([^'\"`]+)['\"`]", (), _EXPRESS),
-    ("fastapi", f"@\\w+\\.({_VERBS})\\s*\\(\\s*['\"]([^'\"]+)['\"]", (), ("fastapi",)),
-    ("flask", "@\\w+\\.(route)\\s*\\(\\s*['\"]([^'\"]+)['\"]", (), ("flask",)),
-    ("go-http", f"\\b\\w+\\.({_VERBS.upper()})\\s*\\(\\s*\"([^\"]+)\"", ("go",), ()),
-    ("spring", "@(Get|Post|Put|Patch|Delete)Mapping\\s*\\(\\s*(?:value\\s*=\\s*)?\"([^\"]+)\"", ("java", "kotlin"), ()),
-    ("rails", "(?m)^\\s*(get|post|put|patch|delete)\\s+['\"]([^'\"]+)['\"]", ("ruby",), ()),
-)
+# Request methods, and names that route objects usually have.
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+ROUTE_OBJECTS = ("app", "router", "server", "api", "fastify", "hono")
+
+
+@dataclass(frozen=True)
+class Framework:
+    """How a framework registers routes: what stands before the path, and which files it is looked for in."""
+
+    name: str
+    form: str  # call: object.get(..); decorator: @object.get(..); annotation: @GetMapping(..); statement: get ".."
+    functions: tuple[str, ...]
+    packages: tuple[str, ...] = ()
+    languages: tuple[str, ...] = ()
+    objects: tuple[str, ...] = ()
+    files: str = ""
+
+
+_LOWER = tuple(m.lower() for m in METHODS)
+FRAMEWORKS = (
+    Framework("express", "call", (*_LOWER, "all"), ("express", "fastify", "hono", "koa"), objects=ROUTE_OBJECTS),
+    Framework("fastapi", "decorator", _LOWER, ("fastapi",)),
+    Framework("flask", "decorator", ("route",), ("flask",)),
+    Framework("go-http", "call", METHODS, languages=("go",)),
+    Framework("spring", "annotation", tuple(f"{m.title()}Mapping" for m in METHODS[:5]), languages=("java", "kotlin")),
+    Framework("rails", "statement", _LOWER[:5], languages=("ruby",), files="routes.rb"),
+)
+
+#: One reader for all: at sign, object, function, how its arguments open, the first literal, and what follows it.
+_CALL = (
+    "(@?)(?<![\\w.])(?:(\\w+)[ \t]*\\.[ \t]*)?(\\w+)([ \t]*\\(\\s*|[ \t]+)"
+    "(?:\\w+[ \t]*=[ \t]*)?[\"'`]([^\"'`\n]+)[\"'`](?=([^)]*))"
+)
+
+
+def _calls(code: DataFrame) -> DataFrame:
+    """Calls, decorators and statements of code (path, code, met) whose first argument is a literal."""
+    names = ("at", "object", "function", "open", "literal", "rest")
+    parts = [F.regexp_extract_all("code", F.lit(_CALL), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    return code.select("path", "met", *parts).select("path", "met", F.explode(F.arrays_zip(*names)).alias("c")).select("path", "met", "c.*")
+
+
+def _is_met(f: Framework, declared: tuple[str, ...]) -> Column:
+    """Whether a file is one of a framework: by its language, or a package declared or imported."""
+    met = F.col("language").isin(*f.languages) if f.languages else F.lit(bool(set(f.packages) & set(declared)))
+    for p in f.packages:
+        quoted = reduce(Column.__or__, [F.col("code").contains(f"{q}{p}{q}") for q in ("'", '"')])
+        met |= (quoted & F.col("code").rlike("\\b(?:import|require)\\b")) | F.col("code").rlike(f"\\b(?:from|import)[ \t]+{p}\\b")
+    return met & F.col("path").endswith(f.files)
+
+
+def _fits(f: Framework) -> Column:
+    """Whether a call has a framework's form."""
+    bracket = F.col("open").contains("(")
+    form = {
+        "call": (F.col("at") == "") & (F.col("object") != "") & bracket,
+        "decorator": (F.col("at") == "@") & (F.col("object") != "") & bracket,
+        "annotation": (F.col("at") == "@") & (F.col("object") == "") & bracket,
+        "statement": (F.col("at") == "") & (F.col("object") == "") & ~bracket,
+    }[f.form]
+    return form & F.col("function").isin(*f.functions) & (F.col("object").isin(*f.objects) if f.objects else F.lit(True))
 
 
 def registered_routes(files: DataFrame, declared: tuple[str, ...] = ()) -> DataFrame:
     """(path, framework, method, route) that files (path, text) register.
 
-    A framework's rule runs where its language is met, or where one of its packages
+    A framework is looked for where its language is met, or where one of its packages
     is declared or imported by the file itself. A route with a list of methods gives
-    one row for each, GET without one; 'all' is ANY.
+    one row for each, GET without one; 'all' is ANY. Files are read once for all frameworks.
     """
     known = with_language(files.select("path", "text"))
     code = known.select("path", "language", stripped(F.coalesce("text", F.lit("")), F.col("language")).alias("code"))
-    methods = F.filter(F.regexp_extract_all(F.upper(F.regexp_extract("hit", "methods\\s*=\\s*\\[([^\\]]*)\\]", 1)), F.lit("([A-Z]+)"), F.lit(1)), lambda m: m.isin(*_VERBS.upper().split("|")))
-    out = None
-    for framework, pattern, languages, packages in REGISTRATIONS:
-        gate = F.col("language").isin(*languages) if languages else F.lit(bool(set(packages) & set(declared)))
-        if framework == "rails":
-            gate &= F.col("path").rlike("routes\\.rb$")
-        for p in packages:
-            gate |= F.col("code").rlike(f"(?:from\\s+|require\\(\\s*)['\"]{p}['\"]|\\bfrom\\s+{p}\\b")
-        rest = "(?:[^)]*methods\\s*=\\s*\\[[^\\]]*\\])?" if framework == "flask" else ""
-        hits = code.where(gate).select("path", F.explode(F.regexp_extract_all("code", F.lit(f"({pattern}{rest})".replace("((?m)", "(?m)(")), F.lit(1))).alias("hit"))
-        verb = F.upper(F.regexp_extract("hit", pattern, 1))
-        each = F.when(verb == "ROUTE", F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("GET")))).otherwise(F.array(F.when(verb == "ALL", "ANY").otherwise(verb)))
-        route = F.concat(F.lit("/"), folded(F.regexp_extract("hit", pattern, 2)))
-        rows = hits.select("path", F.lit(framework).alias("framework"), F.explode(each).alias("method"), route.alias("route"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    code = code.withColumn("met", F.array(*[_is_met(f, declared) for f in FRAMEWORKS])).where(F.array_contains("met", True))
+    owner = F.array_compact(F.array(*[F.when(F.col("met")[i] & _fits(f), F.lit(f.name)) for i, f in enumerate(FRAMEWORKS)]))
+    found = _calls(code).select("path", F.explode(owner).alias("framework"), "function", "literal", "rest")
+    listed = F.upper(F.regexp_extract("rest", "\\bmethods[ \t]*=[ \t]*[\\[({]([^\\])}]*)", 1))
+    methods = F.filter(F.split(listed, "[^A-Z]+"), lambda m: m.isin(*METHODS))
+    own = F.regexp_replace(F.upper("function"), "MAPPING$", "")
+    each = F.when(own == "ROUTE", F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("GET")))).otherwise(F.array(F.when(own == "ALL", "ANY").otherwise(own)))
+    return found.select("path", "framework", F.explode(each).alias("method"), F.concat(F.lit("/"), folded(F.col("literal"))).alias("route"))

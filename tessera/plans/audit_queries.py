@@ -158,14 +158,23 @@ def feed_stream(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (code_patterns, env_audit, architecture_rules, change_review, workflow_check, version_ranges, advisory_ranges, tenant_rows, citations_first, model_picker, stack_detection, file_routes, manifest_kinds, release_notes, feed_stream)}
 
 
+#: What each line holds: number of the line, rule, category, severity, and the languages it counts in.
+_JS, _PY = "typescript javascript", "python"
+LINE_HOLDS = (
+    (0, "sql-built-from-text", "injection", "critical", ""), (1, "shell-from-text", "injection", "critical", ""), (2, "dynamic-eval", "injection", "high", _JS), (2, "python-exec", "injection", "high", _PY),
+    (3, "unpickled-input", "deserialisation", "high", _PY), (4, "yaml-any-object", "deserialisation", "high", _PY), (6, "weak-hash", "crypto", "medium", ""), (7, "guessable-token", "crypto", "high", ""),
+    (8, "tls-not-verified", "transport", "critical", ""), (9, "plain-http", "transport", "low", ""), (11, "any-origin", "access", "medium", ""), (12, "debug-on", "configuration", "medium", _PY),
+    (13, "open-cookie", "access", "medium", _JS), (14, "unsigned-jwt", "access", "critical", ""), (15, "raw-html-write", "cross-site", "high", _JS), (17, "path-from-request", "files", "high", ""),
+    (18, "prompt-from-input", "model", "medium", ""), (19, "model-output-run", "model", "critical", ""), (19, "python-exec", "injection", "high", _PY), (22, "key-in-browser", "secrets", "critical", ""),
+)
+
+
 def _pattern_sql() -> str:
-    parts = []
-    for r in A.CODE_RULES:
-        quoted = r.pattern.replace("'", "''")
-        langs = " AND language IN (" + ", ".join(f"'{x}'" for x in r.languages) + ")" if r.languages else ""
-        lifted = f" AND NOT regexp_matches(line, '{r.unless}')" if r.unless else ""
-        parts.append(f"SELECT path, '{r.name}' AS rule, '{r.category}' AS category, '{r.severity}' AS severity, min(line_no) AS line_no FROM w WHERE regexp_matches(t, '^[^\\n]*?(?:{quoted})'){langs}{lifted} GROUP BY path")
-    return " UNION ALL ".join(parts)
+    """The first line of each rule in a file, and an endless loop where the next line calls a tool."""
+    rows = ", ".join(str(r) for r in LINE_HOLDS)
+    return f"""SELECT path, rule, category, severity, min(line_no) AS line_no FROM (
+        SELECT path, rule, category, severity, line_no FROM w JOIN (VALUES {rows}) AS h(k, rule, category, severity, languages) USING (k) WHERE languages = '' OR contains(languages, language)
+        UNION ALL SELECT path, 'endless-tools', 'model', 'medium', line_no FROM w WHERE k = 20 AND next = 21) GROUP BY ALL"""
 
 
 _VERSION = "SELECT l_linenumber AS a, CAST(l_quantity AS INTEGER) AS b, l_suppkey % 10 AS c, l_partkey % " + str(len(RANGES)) + " AS k FROM lineitem"
@@ -173,8 +182,8 @@ _PC = f"""c AS (SELECT o_orderkey AS sha, {_SUBJECT} AS subject, {_BODY} AS body
     k AS (SELECT *, lower(regexp_extract(subject, '{C.HEADER}', 1)) AS kind, regexp_extract(subject, '{C.HEADER}', 4) AS description,
       regexp_extract(subject, '{C.HEADER}', 3) = '!' OR starts_with(coalesce(body, ''), 'BREAKING CHANGE') AS breaking FROM c)"""
 ORACLES = {
-    "code_patterns": f"""WITH s AS (SELECT {_CODE_PATH} AS path, {_CODE_LANG} AS language, o_orderkey AS line_no, {_LINE} AS line FROM orders WHERE o_custkey % 5 <> 0),
-        w AS (SELECT *, concat_ws(chr(10), line, lead(line, 1) OVER x, lead(line, 2) OVER x, lead(line, 3) OVER x) AS t FROM s WINDOW x AS (PARTITION BY path ORDER BY line_no)) {_pattern_sql()}""",
+    "code_patterns": f"""WITH s AS (SELECT {_CODE_PATH} AS path, {_CODE_LANG} AS language, o_orderkey AS line_no, o_orderkey % {len(SNIPPETS)} AS k FROM orders WHERE o_custkey % 5 <> 0),
+        w AS (SELECT *, lead(k) OVER (PARTITION BY path ORDER BY line_no) AS next FROM s) {_pattern_sql()}""",
     "env_audit": f"WITH f AS (SELECT source, {_ENV_PATH} AS path FROM documents WHERE doc_id % 5 < 2) SELECT path, starts_with(source, 'src1') AS ignored, count(*) AS n FROM f GROUP BY ALL",
     "architecture_rules": f"""WITH RECURSIVE {GQ._T}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
         l AS (SELECT c_custkey AS node, n_regionkey AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey)

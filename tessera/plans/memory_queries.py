@@ -106,6 +106,19 @@ _TOK = "CAST(greatest(ceil(length(text) / 3.6 + 0.15 * len(regexp_extract_all(te
 _PAIR = """b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
     e AS (SELECT x.p_brand AS a, y.p_brand AS b, count(*) AS weight FROM b x JOIN b y USING (l_orderkey) WHERE x.p_brand < y.p_brand GROUP BY ALL)"""
 _DOT = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * list_inner_product(CAST(d.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])))"
+# Tokens by shape, as lists; the engine's own lists of words are parameters of both sides.
+_FILES = "list_filter(list_transform(string_split_regex(text, '[^A-Za-z0-9_./-]+'), lambda t: regexp_replace(t, '^[./-]+|[./-]+$', '', 'g')), lambda t: len(string_split(t, '/')) BETWEEN 2 AND 7 AND NOT list_contains(string_split(t, '/'), '') AND regexp_matches(string_split(t, '/')[-1], '^.+\\.[a-z]{1,5}$'))"
+_SYMBOLS = "list_filter(string_split(text, '`')[2:len(string_split(text, '`')) - 1], lambda t: length(t) > 2 AND regexp_full_match(t, '[A-Za-z_$][A-Za-z0-9_$]*'))"
+_DASHED = "list_transform(string_split_regex(text, '[^A-Za-z0-9_-]+'), lambda t: list_filter(string_split(t, '-'), lambda p: p <> ''))"
+_LOW = "list_position(list_transform(ps, lambda p: regexp_matches(p, '^[a-z]')), true)"
+_SCOPED = "list_filter(string_split_regex(text, '[^A-Za-z0-9_@/-]+'), lambda t: starts_with(t, '@') AND len(string_split(t, '/')) = 2 AND NOT ends_with(t, '/') AND NOT contains(t[2:], '@') AND instr(t, '/') > 2)"
+_PACKAGES = f"list_concat(list_transform(list_filter({_DASHED}, lambda ps: {_LOW} > 0 AND {_LOW} < len(ps)), lambda ps: array_to_string(ps[{_LOW}:], '-')), {_SCOPED})"
+_VERB = f"list_position(list_transform(ws, lambda w: list_contains({list(M.DECIDING)}, lower(w))), true)"
+_BEHIND = f"list_transform(list_filter(list_transform(string_split_regex(text, '[.;\\n]'), lambda c: string_split(c, ' ')), lambda ws: {_VERB} > 0), lambda ws: ws[{_VERB} + 1:])"
+_DECISIONS = f"list_filter(list_transform({_BEHIND}, lambda ws: trim(substr(array_to_string(CASE WHEN lower(ws[1]) IN ('to', 'on') THEN ws[2:] ELSE ws END, ' '), 1, 70))), lambda t: length(t) >= 6)"
+_MARKED = "list_transform(string_split(replace(regexp_replace(text, '[^A-Za-z0-9_ ]+', ' | ', 'g'), '  ', ' | '), ' '), lambda w: CASE WHEN regexp_full_match(w, '[A-Z][A-Za-z]{2,}') THEN w ELSE '|' END)"
+_ROWS = f"list_filter(list_transform(string_split(array_to_string({_MARKED}, ' '), '|'), lambda r: string_split(trim(r), ' ')), lambda r: r[1] <> '')"
+_CONCEPTS = f"list_filter(list_transform(list_filter(flatten(list_transform({_ROWS}, lambda r: list_transform(range(1, len(r) + 1, 3), lambda i: r[i:i + 2]))), lambda r: NOT list_contains({list(M.NO_CONCEPT)}, r[1])), lambda r: array_to_string(r, ' ')), lambda t: length(t) >= 4)"
 ORACLES = {
     "knn": f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, round({_DOT}, 6) AS similarity FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
@@ -131,10 +144,10 @@ ORACLES = {
         f AS (SELECT coalesce(l.query_id, b.query_id) AS query_id, coalesce(l.id, b.id) AS doc_id, l.rank AS lexical_rank, b.rank AS semantic_rank,
               round(coalesce(1.0 / (60 + l.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0), 6) AS score FROM l FULL OUTER JOIN b ON l.query_id = b.query_id AND l.id = b.id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f) WHERE place <= 8""",
-    "entity_mentions": """WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_./-])((?:[A-Za-z0-9_.-]+/){1,6}[A-Za-z0-9_.-]+\\.[a-z]{1,5})', 1))) AS name, 0 AS o, 'file' AS kind FROM documents
-          UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([a-z][a-z0-9_]*-[A-Za-z0-9_-]+)', 1))), 1, 'package' FROM documents
-          UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][a-zA-Z]{3,})', 1))), 2, 'concept' FROM documents),
-        k AS (SELECT doc_id, name, arg_min(kind, o) AS kind FROM e GROUP BY ALL) SELECT name, kind, count(*) AS mentions, min(doc_id) AS first_doc FROM k GROUP BY ALL""",
+    "entity_mentions": f"""WITH e AS (SELECT doc_id, lower(unnest({_FILES})) AS name, 0 AS o FROM documents UNION ALL SELECT doc_id, lower(unnest({_SYMBOLS})), 1 FROM documents
+          UNION ALL SELECT doc_id, lower(unnest({_PACKAGES})), 2 FROM documents UNION ALL SELECT doc_id, lower(unnest({_DECISIONS})), 3 FROM documents UNION ALL SELECT doc_id, lower(unnest({_CONCEPTS})), 4 FROM documents),
+        k AS (SELECT doc_id, name, min(o) AS o FROM e GROUP BY ALL)
+        SELECT name, {list(M.ENTITY_KINDS)}[o + 1] AS kind, count(*) AS mentions, min(doc_id) AS first_doc FROM k GROUP BY ALL""",
     "cooccurrence": f"WITH {_PAIR} SELECT * FROM e",
     "centrality": f"WITH {_PAIR} SELECT name, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT a AS name, weight FROM e UNION ALL SELECT b, weight FROM e) GROUP BY name",
     "latest_question": """WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS asked, max(turn) FILTER (role = 'assistant') AS answered FROM conversations GROUP BY conv_id)
