@@ -55,6 +55,24 @@ def is_test_file(path: Column) -> Column:
     return path.rlike("(?i)(^|/)(__tests__|tests?|spec|e2e)/|(^|/)test_[^/]*$|[._-](test|spec)\\.[a-z]+$")
 
 
+def _begins(r: CodeRule) -> str:
+    return f"^[^\\n]*?(?:{r.pattern})"
+
+
+def rule_hits(text: Column, line: Column, language: Column, rules: tuple[CodeRule, ...] = CODE_RULES) -> Column:
+    """(rule, category, severity) of the rules that match a line, given with the lines after it as text."""
+
+    def hit(r: CodeRule) -> Column:
+        ok = text.rlike(_begins(r))
+        if r.languages:
+            ok &= language.isin(*r.languages)
+        if r.unless:
+            ok &= ~line.rlike(r.unless)
+        return F.when(ok, F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")))
+
+    return F.array_compact(F.array(*map(hit, rules)))
+
+
 def code_patterns(ls: DataFrame, rules: tuple[CodeRule, ...] = CODE_RULES, lines: int = 4) -> DataFrame:
     """(path, rule, category, severity, line_no): each rule's first line in every file.
 
@@ -65,18 +83,8 @@ def code_patterns(ls: DataFrame, rules: tuple[CodeRule, ...] = CODE_RULES, lines
     w = Window.partitionBy("path").orderBy("line_no")
     code = ls.where(~is_test_file(F.col("path")))
     seen = code.withColumn("text", F.concat_ws("\n", "line", *[F.lead("line", i).over(w) for i in range(1, lines)]))
-    begins = lambda r: f"^[^\\n]*?(?:{r.pattern})"
-    seen = seen.where(F.col("text").rlike("|".join(begins(r) for r in rules)))
-
-    def hit(r: CodeRule) -> Column:
-        ok = F.col("text").rlike(begins(r))
-        if r.languages:
-            ok &= F.col("language").isin(*r.languages)
-        if r.unless:
-            ok &= ~F.col("line").rlike(r.unless)
-        return F.when(ok, F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")))
-
-    each = seen.select("path", "line_no", F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("r"))
+    seen = seen.where(F.col("text").rlike("|".join(_begins(r) for r in rules)))
+    each = seen.select("path", "line_no", F.explode(rule_hits(F.col("text"), F.col("line"), F.col("language"), rules)).alias("r"))
     return each.groupBy("path", "r.rule", "r.category", "r.severity").agg(F.min("line_no").alias("line_no"))
 
 

@@ -45,8 +45,8 @@ def by_weight(severity: Column, weights: dict[str, int]) -> Column:
     return out
 
 
-def secrets(ls: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = SECRETS) -> DataFrame:
-    """(key, line_no, rule, severity, preview): a row for every match of a line; one pass, patterns as constants.
+def secret_hits(line: Column, rules: tuple[Rule, ...] = SECRETS) -> Column:
+    """(rule, severity, preview) of every match of a line.
 
     Values that look like placeholders or fall below a rule's entropy are left
     out, each on its own; a preview is the first four characters and dots.
@@ -57,10 +57,20 @@ def secrets(ls: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = SECRET
             ok = (value != "") & ~value.rlike(PLACEHOLDER)
             return ok & (entropy(value) >= r.least_entropy) if r.least_entropy else ok
 
-        values = F.filter(F.regexp_extract_all("line", F.lit(r.pattern), F.lit(1)), fits)
+        values = F.filter(F.regexp_extract_all(line, F.lit(r.pattern), F.lit(1)), fits)
         return F.transform(values, lambda v: F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.concat(F.substring(v, 1, 4), F.lit("....")).alias("preview")))
 
-    return ls.select(key, "line_no", F.explode(F.concat(*[hits(r) for r in rules])).alias("f")).select(key, "line_no", "f.*")
+    return F.concat(*[hits(r) for r in rules])
+
+
+#: Pieces of which one at least is in every line that a rule can match.
+SECRET_HINT = "(?i)token|AKIA|ASIA|password|passwd|secret|api_key|://|@"
+
+
+def secrets(ls: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = SECRETS) -> DataFrame:
+    """(key, line_no, rule, severity, preview): a row for every match of a line; one pass, lines without a hint are left first."""
+    some = ls.where(F.col("line").rlike(SECRET_HINT)) if rules is SECRETS else ls
+    return some.select(key, "line_no", F.explode(secret_hits(F.col("line"), rules)).alias("f")).select(key, "line_no", "f.*")
 
 
 def window_patterns(ls: DataFrame, rules: dict[str, str], key: str = "doc_id", lines: int = 4) -> DataFrame:

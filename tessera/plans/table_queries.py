@@ -101,15 +101,18 @@ def rate_windows(spark, sf_dir):
 
 
 def rate_windows_stream(spark, sf_dir):
-    return jobs.drain(jobs.rate_windows(jobs.events_stream(spark, sf_dir), 2), "complete", "rates")
+    clock = jobs.Clock(jobs.events_stream(spark, sf_dir), "ts", "user_id")
+    return jobs.drain(jobs.rate_windows(clock.stream, 2), "append", "rates", clock=clock)
 
 
 def status_stream(spark, sf_dir):
-    return jobs.drain(jobs.status_counts(jobs.events_stream(spark, sf_dir)), "complete", "status")
+    return jobs.drain(jobs.status_counts(jobs.events_stream(spark, sf_dir)), "update", "status", keys=("event_type",))
 
 
-def arrival_stream(spark, sf_dir):
-    return jobs.drain(jobs.large_on_arrival(jobs.events_stream(spark, sf_dir), 50.0), "append", "arrivals", partial=True)
+def first_event_stream(spark, sf_dir):
+    """Windows that begin with each user's first event, as a stream gives them out."""
+    clock = jobs.Clock(jobs.events_stream(spark, sf_dir), "ts", "user_id")
+    return jobs.drain(jobs.first_event_windows(clock.stream, 2, 21600), "append", "first-events", clock=clock)
 
 
 def first_event_windows(spark, sf_dir):
@@ -130,10 +133,13 @@ def row_problems(spark, sf_dir):
     return events.select("event_id", F.explode(found).alias("problem"))
 
 
-QUERIES = {f.__name__: f for f in (upsert_latest, latest_per_key, newest_page, version_history, membership, cascade_delete, retention, partial_update, name_lookup, threaded_listing, listing_enriched, run_summary, reached_after_error, rate_windows, rate_windows_stream, status_stream, arrival_stream, first_event_windows, tenant_pages, row_problems)}
+QUERIES = {f.__name__: f for f in (upsert_latest, latest_per_key, newest_page, version_history, membership, cascade_delete, retention, partial_update, name_lookup, threaded_listing, listing_enriched, run_summary, reached_after_error, rate_windows, rate_windows_stream, status_stream, first_event_stream, first_event_windows, tenant_pages, row_problems)}
 
 _RATE = "SELECT user_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY ALL"
 _LAST = "m AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey)"
+_FIRST = """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS start FROM events GROUP BY user_id
+    UNION ALL SELECT w.user_id, n.ts FROM w, LATERAL (SELECT min(e.ts) AS ts FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 6 HOUR) n WHERE n.ts IS NOT NULL)"""
+_FIRST_FROM = " FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 6 HOUR GROUP BY ALL"
 ORACLES = {
     "upsert_latest": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version FROM orders",
     "latest_per_key": f"WITH {_LAST} SELECT o_custkey, o_orderkey, o_orderstatus FROM m",
@@ -151,10 +157,8 @@ ORACLES = {
     "rate_windows": _RATE,
     "rate_windows_stream": _RATE,
     "status_stream": "SELECT event_type, count(*) AS n, round(max(value), 4) AS most FROM events GROUP BY event_type",
-    "arrival_stream": "SELECT event_id, user_id, value FROM events WHERE value > 50.0",
-    "first_event_windows": """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS start FROM events GROUP BY user_id
-          UNION ALL SELECT w.user_id, n.ts FROM w, LATERAL (SELECT min(e.ts) AS ts FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 6 HOUR) n WHERE n.ts IS NOT NULL)
-        SELECT w.user_id, w.start, count(*) AS n FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 6 HOUR GROUP BY ALL""",
+    "first_event_stream": f"{_FIRST} SELECT w.user_id, w.start, count(*) AS n, count(*) > 2 AS limited{_FIRST_FROM}",
+    "first_event_windows": f"{_FIRST} SELECT w.user_id, w.start, count(*) AS n{_FIRST_FROM}",
     "tenant_pages": "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1",
     "row_problems": """WITH k AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
         SELECT event_id, unnest(list_filter([CASE WHEN k IS NULL THEN 'props.k missing' END, CASE WHEN k > 90 THEN 'props.k above 90' END, CASE WHEN value < 1 THEN 'value below 1' END,
