@@ -37,14 +37,14 @@ def exploded_tokens(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     As tokens(), but words become rows first, so that a word is looked at by
     plain expressions and only one with parts is taken apart.
     """
-    words = rows.select(*keep, F.explode(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_$]+)"), F.lit(1))).alias("w"))
+    words = rows.select(*keep, F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_$]+"), F.lit(0))).alias("w"))
     w = F.col("w")
     apart = F.regexp_replace(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     parts = F.filter(F.split(apart, "[ _$]+"), lambda p: p != "")
     more = F.when(F.size(parts) > 1, F.filter(F.transform(parts, F.lower), lambda p: p != F.lower(w))).otherwise(F.array().cast("array<string>"))
-    whole = words.select(*keep, F.lower(w).alias("term"))
-    inner = words.where(w.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[_$]")).select(*keep, F.explode(more).alias("term"))
-    return whole.union(inner).where((F.length("term") > 1) & ~F.col("term").isin(STOP_WORDS))
+    each = F.when(w.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[_$]"), F.concat(F.array(F.lower(w)), more)).otherwise(F.array(F.lower(w)))
+    terms = words.select(*keep, F.explode(each).alias("term"))
+    return terms.where((F.length("term") > 1) & ~F.col("term").isin(STOP_WORDS))
 
 
 def ngrams(text: Column, n: int = 3) -> Column:

@@ -58,7 +58,7 @@ def conversation_titles(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     """BM25 ranks fused with the ranks of vectors; a document's vector has its id, a query's that of its item."""
     docs, queries, v = corpus(spark, sf_dir), asked(spark, sf_dir), _vectors(spark, sf_dir)
-    hits = search.bm25(search.postings(docs), docs, queries, top=20)
+    hits = search.bm25(search.build(docs), queries, top=20)
     of_docs = v.join(docs.select("id"), "id", "left_semi")
     second = M.nearest(of_docs, v.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi"), top=20)
     fused = M.fuse(hits, second)

@@ -42,34 +42,39 @@ def token_df(spark, sf_dir):
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
-_INDEX = f"""
-c AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, text AS body FROM documents),
+def index_sql(corpus: str, queries: str) -> str:
+    """DuckDB views from an index of a corpus (id, title, body) to BM25 hits (query_id, id, raw, score, matched) and their ranks."""
+    return f"""
+c AS ({corpus}),
 tk AS (SELECT id, {tokens_sql("title")} AS t, {tokens_sql("body")} AS b FROM c),
-ev AS (SELECT id, t, list_concat(t, b) AS every FROM tk),
+ev AS (SELECT id, t, list_concat(coalesce(t, []), coalesce(b, [])) AS every FROM tk),
 st AS (SELECT count(*) AS docs, avg(len(every)) AS mean FROM ev),
 ix AS (SELECT id, term, count(*) AS tf, bool_or(list_contains(t, term)) AS in_title, max(len(every)) AS length
        FROM (SELECT id, t, every, unnest(every) AS term FROM ev) GROUP BY id, term),
-q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+q AS ({queries}),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({tokens_sql("query")}) AS term FROM q) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM ix WHERE term IN (SELECT term FROM qt) GROUP BY term),
 hits AS (
-  SELECT query_id, id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5
-           / (tf + 1.5 * (0.25 + 0.75 * length / greatest(1.0, mean))) * CASE WHEN in_title THEN 2.5 ELSE 1.0 END), 6) AS score,
+  SELECT query_id, id, sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5
+           / (tf + 1.5 * (0.25 + 0.75 * length / greatest(1.0, mean))) * CASE WHEN in_title THEN 2.5 ELSE 1.0 END) AS raw,
          list_sort(list(DISTINCT term)) AS matched
   FROM ix JOIN qt USING (term) JOIN dfs USING (term), st GROUP BY query_id, id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits)
+ranked AS (SELECT query_id, id, round(raw, 6) AS score, matched, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 6) DESC, id) AS rank FROM hits)
 """
 
 
+_INDEX = index_sql("SELECT doc_id AS id, substr(text, 1, 80) AS title, text AS body FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark")
+
+
 def bm25_topk(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    hits = search.bm25(search.postings(docs), docs, asked(spark, sf_dir))
+    hits = search.bm25(search.build(docs), asked(spark, sf_dir))
     return hits.select("query_id", F.col("id").alias("doc_id"), "score", F.array_join("matched", " ").alias("matched"), "rank")
 
 
 def search_excerpts(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    hits = search.bm25(search.postings(docs), docs, asked(spark, sf_dir), top=3)
+    hits = search.bm25(search.build(docs), asked(spark, sf_dir), top=3)
     shown = hits.join(docs, "id").select("query_id", F.col("id").alias("doc_id"), search.excerpt(F.col("body"), F.col("matched")).alias("excerpt"))
     return shown
 
@@ -77,7 +82,7 @@ def search_excerpts(spark, sf_dir):
 def hits_by_kind(spark, sf_dir):
     """Best score and number of hits of each query by the documents' source."""
     docs = corpus(spark, sf_dir)
-    hits = search.bm25(search.postings(docs), docs, asked(spark, sf_dir))
+    hits = search.bm25(search.build(docs), asked(spark, sf_dir))
     kinds = read(spark, sf_dir, "documents", F.col("doc_id").alias("id"), F.col("source").alias("kind"))
     return hits.join(kinds, "id").groupBy("query_id", "kind").agg(F.max("score").alias("best"), F.count("*").alias("n"))
 
