@@ -105,27 +105,36 @@ def map_text(
     """
     names = [f.name for f in fields] if where is None else []
     kept = [c for c in keep if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])])
-    source = source.withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([source.schema[c] for c in kept] + ([] if where else list(fields)))
+    # Inside, columns have neutral names: Arrow maps do not quote a name with a dot.
+    columns = list(dict.fromkeys([*kept, "text"]))
+    at = columns.index("text")
+    source = docs.select(*[(quoted(c).cast("string") if c == "text" else quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    added = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)] if where is None else []
+    schema = T.StructType([source.schema[f"c{i}"] for i in range(len(kept))] + added)
+    inner = schema.fieldNames()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
         for batch in batches:
-            old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            old = batch.columns[: len(kept)]
             lo = 0
-            for part in by_size(batch.column(batch.schema.get_field_index("text")), most, rows):
+            for part in by_size(batch.column(at), most, rows):
                 new = work(part)
                 here = [c.slice(lo, len(part)) for c in old]
                 lo += len(part)
                 if where is not None:
-                    out = pa.RecordBatch.from_arrays(here, kept).filter(where(new))
+                    out = pa.RecordBatch.from_arrays(here, inner).filter(where(new))
                     if out.num_rows:
                         yield out
                 else:
-                    yield pa.RecordBatch.from_arrays(here + [new[n] for n in names], kept + names)
+                    yield pa.RecordBatch.from_arrays(here + [new[n] for n in names], inner)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *names)
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_text, materialise, mix64, table, texts
+from tessera.llm.common import map_text, materialise, mix64, quoted, table, texts
 
 #: Lines in the rolling window, and one in how many windows ends a chunk.
 WINDOW, SPACING = 2, 3
@@ -138,10 +138,11 @@ def _runs():
     return work
 
 
-def _without(batches, kept: list[str]):
-    """Texts without their removed chunks and runs; lines go with their line ends."""
+def _without(batches, count: int, at: int):
+    """Texts (column at of count) without their removed chunks and runs; lines go with their line ends."""
+    inner = [*[f"c{i}" for i in range(count)], *REMOVED]
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
+        text = batch.column(at)
         gone = batch.column(batch.schema.get_field_index("__gone"))
         runs = batch.column(batch.schema.get_field_index("__runs"))
         cleaned, chunks, lines_out, bytes_out = [], [], [], []
@@ -170,14 +171,9 @@ def _without(batches, kept: list[str]):
             chunks.append(dropped)
             lines_out.append(int(away.sum()))
             bytes_out.append(len((t or "").encode()) - len((cleaned[-1] or "").encode()))
-        new = {
-            "text": pa.array(cleaned, pa.string()),
-            "removed_chunks": pa.array(chunks, pa.int64()),
-            "removed_lines": pa.array(lines_out, pa.int64()),
-            "removed_bytes": pa.array(bytes_out, pa.int64()),
-        }
-        columns = [new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in kept]
-        yield pa.RecordBatch.from_arrays(columns, kept)
+        columns = batch.columns[:count]
+        columns[at] = pa.array(cleaned, pa.string())
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(n, pa.int64()) for n in (chunks, lines_out, bytes_out)]], inner)
 
 
 REMOVED = ["removed_chunks", "removed_lines", "removed_bytes"]
@@ -221,17 +217,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def _clean(docs: DataFrame, runs: bool) -> DataFrame:
     gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "digest")).alias("__gone"))
     names = [c for c in docs.columns if c not in REMOVED]
-    quoted = [F.col(f"`{c}`") for c in names]
-    source = docs.select(quoted).withColumn("text", F.col("text").cast("string"))
+    # Inside, columns have neutral names: Arrow maps do not quote a name with a dot.
+    at, key = names.index("text"), names.index("doc_id")
+    source = docs.select(*[(quoted(c).cast("string") if c == "text" else quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
     if runs:
         long = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "digest")).alias("__runs"))
         gone = gone.hint("merge").join(long, "doc_id", "full_outer")
     else:
         gone = gone.withColumn("__runs", F.lit(None).cast(RUN))
-    source = source.join(gone.hint("merge"), "doc_id", "left").select(*quoted, "__gone", "__runs")
-    kept = names + REMOVED
-    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(c, T.LongType()) for c in REMOVED])
-    return source.mapInArrow(lambda batches: _without(batches, kept), schema)
+    inner = source.columns
+    source = source.join(gone.withColumnRenamed("doc_id", f"c{key}").hint("merge"), f"c{key}", "left").select(*inner, "__gone", "__runs")
+    schema = T.StructType([source.schema[c] for c in inner] + [T.StructField(c, T.LongType()) for c in REMOVED])
+    return source.mapInArrow(lambda batches: _without(batches, len(inner), at), schema).toDF(*names, *REMOVED)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SpanHasher, components, map_text, materialise, mix64, runs, table, utf8_parts
+from tessera.llm.common import components, map_text, materialise, mix64, quoted, runs, SpanHasher, table, utf8_parts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -324,7 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay.
     """
     gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op4_near_dup(spark, sf_dir: str) -> DataFrame:

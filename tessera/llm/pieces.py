@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -341,6 +342,12 @@ FIELDS = [
 ]
 
 
+@functools.lru_cache(maxsize=2)
+def _loaded(path: str) -> Encoder:
+    """The encoder of a model file, kept by a worker process for all tasks it runs, with its bounded memory of words."""
+    return Encoder(PieceModel.load(path))
+
+
 def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Ids (little-endian unsigned 32-bit), their count, the decoded text and whether it equals the text.
 
@@ -357,7 +364,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
 
     def start():
-        encoder = Encoder(PieceModel.load(path))
+        encoder = _loaded(path)
 
         def work(column: pa.Array) -> dict[str, pa.Array]:
             source = texts(column)
