@@ -3,9 +3,9 @@
 Every window of words names one anchor, the run of SEED words with the least hash
 in it (winnowing), so equal windows name equal anchors at the same place. Documents are
 joined on their anchors. A seed is extended word by word to both sides against the anchor's
-first document; extensions that leave what that one has meet again by the words of each
-window they reach, so no pair is made twice and none is missed. Windows found either
-way merge into maximal repeats.
+first document; where the extension ends short of what a window needs, occurrences that
+go on alike meet again, under the first of them. After ROUNDS of that the windows still open
+meet by all their words. Windows found either way merge into maximal repeats.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from tessera.llm.common import BASE, SpanHasher, map_text, materialise, mix64, r
 
 #: Words of a window that counts as a repeat, and of an anchor.
 WINDOW, SEED = 50, 20
+#: Extensions against a first occurrence before windows meet by all their words: near copies differ each elsewhere,
+#: so a few first ones decide most windows, and the number of jobs does not depend on the data.
+ROUNDS = 5
 #: A longer word is compared by its digest.
 _LONG = 32
 _WHITE = np.zeros(256, bool)
@@ -116,14 +119,26 @@ def _common(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def extend(own: tuple[list, list], first: tuple[list, list], window: int) -> tuple[int, int]:
-    """Extend a seed word by word to both sides against another occurrence of it: the windows that both have.
+def _branch(key: int, side: bytes, words: list[bytes]) -> int:
+    return int.from_bytes(blake2b(b" ".join(words), digest_size=8, key=key.to_bytes(8, "little", signed=True), person=side).digest(), "little", signed=True)
+
+
+def extend(key: int, lo: int, hi: int, own: tuple[list, list], first: tuple[list, list], window: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """Extend a seed against the first occurrence: the windows both have, and where the others go on.
 
     own and first are the words to the left, nearest first, and those from the seed's
-    first on. A window is named by how many words it has to the left of the seed;
-    returned are the least and largest that both have, none if the least is above the largest.
+    first on. A window is named by how many words it has to the left of the seed,
+    lo to hi of them are to be decided. Returned are the least and largest both
+    have, and (key, lo, hi) of the rest: windows that reach a word on the left, or
+    else on the right, in which the two differ, under a key of the words up to that one.
     """
-    return window - _common(own[1], first[1]), _common(own[0], first[0])
+    left, right = _common(own[0], first[0]), _common(own[1], first[1])
+    rest = []
+    if hi > left:
+        rest.append((_branch(key, b"left", own[0][: left + 1]), max(lo, left + 1), hi))
+    if (top := min(hi, left, window - 1 - right)) >= lo:
+        rest.append((_branch(key, b"right", own[1][: right + 1]), lo, top))
+    return max(lo, window - right), min(hi, left), rest
 
 
 def _contexts(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
@@ -157,49 +172,68 @@ def _contexts(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     return source.mapInArrow(run, f"key long, doc_id {id_kind}, h long, pos int, lo int, hi int, left binary, right binary")
 
 
-def _extended(rows: DataFrame, window: int) -> DataFrame:
-    """Every occurrence extended against the first of its anchor, in windows lo to hi.
-
-    Windows that both have have a null digest and are given where the first document is an
-    earlier one. The others, which reach a word in which the two differ, come each
-    with the digest of its words.
-    """
+def _round(rows: DataFrame, window: int) -> DataFrame:
+    """Every occurrence extended against the first of its key: found windows (key null), and the rest under new keys."""
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     firsts = rows.groupBy("key").agg(F.min(F.struct("doc_id", "h", "pos", "left", "right")).alias("m"), F.max("doc_id").alias("last"))
     firsts = firsts.where("m.doc_id < last").select("key", F.col("m.doc_id").alias("first_id"), F.col("m.left").alias("first_left"), F.col("m.right").alias("first_right"))
     pairs = rows.join(firsts.hint("merge"), "key")
-    names = ["digest", "doc_id", "h", "pos", "lo", "hi"]
+    names = ["key", "doc_id", "h", "pos", "lo", "hi", "left", "right"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo, hi, left, right, first_left, first_right = (batch.column(c).to_pylist() for c in ("lo", "hi", "left", "right", "first_left", "first_right"))
-            later = [a != b for a, b in zip(batch.column("doc_id").to_pylist(), batch.column("first_id").to_pylist())]
+            key, lo, hi, left, right, first_left, first_right = (batch.column(c).to_pylist() for c in ("key", "lo", "hi", "left", "right", "first_left", "first_right"))
+            later = np.array([a != b for a, b in zip(batch.column("doc_id").to_pylist(), batch.column("first_id").to_pylist())])
             at: list[int] = []
             new: list[tuple] = []
             for k in range(batch.num_rows):
-                own = left[k].split(), right[k].split()
-                least, most = extend(own, (first_left[k].split(), first_right[k].split()), window)
-                least, most = max(least, lo[k]), min(most, hi[k])
+                own, first = (left[k].split(), right[k].split()), (first_left[k].split(), first_right[k].split())
+                least, most, rest = extend(key[k], lo[k], hi[k], own, first, window)
                 if later[k] and least <= most:
                     at.append(k)
-                    new.append((None, least, most))
-                rest = [a for a in range(lo[k], hi[k] + 1) if not least <= a <= most]
-                if rest:
-                    words = own[0][::-1] + own[1]
-                    line = b" ".join(words)
-                    place = [0]
-                    for w in words:
-                        place.append(place[-1] + len(w) + 1)
-                    before = len(own[0])
-                    for a in rest:
-                        at.append(k)
-                        new.append((blake2b(line[place[before - a] : place[before - a + window] - 1], digest_size=16).digest(), a, a))
+                    new.append((None, least, most, None, None))
+                for name, a, b in rest:
+                    at.append(k)
+                    new.append((name, a, b, left[k], right[k]))
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in new], pa.int64()),
+                    *[batch.column(c).take(where) for c in ("doc_id", "h", "pos")],
+                    *[pa.array([x[c] for x in new], pa.int32()) for c in (1, 2)],
+                    *[pa.array([x[c] for x in new], pa.binary()) for c in (3, 4)],
+                ],
+                names,
+            )
+
+    return pairs.mapInArrow(run, f"key long, doc_id {id_kind}, h long, pos int, lo int, hi int, left binary, right binary")
+
+
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """(digest, doc_id, h, pos, lo, hi): each open window of an occurrence with the digest of its words; lo is hi."""
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    rows = rows.join(shared.hint("merge"), "key")
+    names = ["digest", "doc_id", "h", "pos", "lo", "hi"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            new: list[tuple[bytes, int]] = []
+            for k, (lo, hi, left, right) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("lo", "hi", "left", "right")])):
+                before = left.split()[::-1]
+                words = before + right.split()
+                place = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).tolist()
+                line = b" ".join(words)
+                for a in range(lo, hi + 1):
+                    start = len(before) - a
+                    at.append(k)
+                    new.append((blake2b(line[place[start] : place[start + window] - 1], digest_size=16).digest(), a))
             where = pa.array(at, pa.int64())
-            kinds = (pa.binary(), pa.int32(), pa.int32())
-            digest, least_, most_ = (pa.array([x[c] for x in new], kind) for c, kind in enumerate(kinds))
-            yield pa.RecordBatch.from_arrays([digest, *[batch.column(c).take(where) for c in ("doc_id", "h", "pos")], least_, most_], names)
+            spot = pa.array([x[1] for x in new], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.binary()), *[batch.column(c).take(where) for c in ("doc_id", "h", "pos")], spot, spot], names)
 
-    return pairs.mapInArrow(run, f"digest binary, doc_id {id_kind}, h long, pos int, lo int, hi int")
+    return rows.mapInArrow(run, f"digest binary, doc_id {id_kind}, h long, pos int, lo int, hi int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -220,12 +254,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
         .select("anchor", "doc_id", "h", "pos", "lo", "hi", (F.col("doc_id") > F.col("first")).alias("settled"))
     )
     columns = ["doc_id", "h", "pos", "lo", "hi"]
-    step = materialise(_extended(_contexts(docs, met.where("not settled"), window), window))
-    # Windows beyond what the first document shares meet among themselves by all their words.
-    open_ = step.where("digest is not null")
-    earlier = open_.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    others = open_.join(earlier.hint("merge"), "digest").where("doc_id > first")
-    spans = met.where("settled").select(columns).union(step.where("digest is null").select(columns)).union(others.select(columns))
+    spans = met.where("settled").select(columns)
+    rows = materialise(_contexts(docs, met.where("not settled"), window))
+    for _ in range(ROUNDS):
+        step = materialise(_round(rows, window))
+        spans = spans.union(step.where("key is null").select(columns))
+        rows = step.where("key is not null")
+    open_ = materialise(_windows(rows, window))
+    firsts = open_.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    spans = spans.union(open_.join(firsts.hint("merge"), "digest").where("doc_id > first").select(columns))
     return spans.select("doc_id", "h", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + window).alias("end"))
 
 
@@ -255,14 +292,18 @@ def remove_passages_between(docs: DataFrame, window: int = WINDOW, seed: int = S
                 kept, n_words, n_removed, removed = [], [], [], []
                 for text, gone in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                     words = (text or "").encode().split()
+                    n_words.append(len(words))
+                    if not gone:
+                        kept.append(b" ".join(words))
+                        n_removed.append(0)
+                        removed.append([])
+                        continue
                     edge = np.zeros(len(words) + 1, np.int64)
-                    if gone:
-                        np.add.at(edge, [g["start"] for g in gone], 1)
-                        np.add.at(edge, [g["end"] for g in gone], -1)
+                    np.add.at(edge, [g["start"] for g in gone], 1)
+                    np.add.at(edge, [g["end"] for g in gone], -1)
                     away = np.cumsum(edge[:-1]) > 0
                     starts, ends = runs(away)
-                    kept.append(b" ".join(w for w, off in zip(words, away.tolist()) if not off) if len(starts) else b" ".join(words))
-                    n_words.append(len(words))
+                    kept.append(b" ".join(w for w, off in zip(words, away.tolist()) if not off))
                     n_removed.append(int(away.sum()))
                     removed.append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist())])
                 yield pa.RecordBatch.from_arrays(

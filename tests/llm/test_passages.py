@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tests.test_queries import canon
+from tessera.llm import passages
 from tessera.llm.oracles import PASSAGES
 from tessera.llm.passages import _first_least, extend, op11_passages, remove_passages_between
 
@@ -49,15 +50,18 @@ def test_first_least_is_the_leftmost():
         assert _first_least(x, width).tolist() == want
 
 
-def test_extend_goes_both_ways():
+def test_extend_splits_what_the_first_does_not_decide():
     own = ([b"c", b"b", b"x"], [b"s", b"t", b"u", b"v"])
     first = ([b"c", b"b", b"a"], [b"s", b"t", b"u", b"w"])
-    assert extend(own, first, 6) == (3, 2)  # no window of six words is in both: two to the left, three to the right
-    assert extend(own, first, 5) == (2, 2) and extend(own, first, 4) == (1, 2) and extend(own, own, 6) == (2, 3)
+    least, most, rest = extend(5, 2, 3, own, first, 6)
+    assert (least, most) == (3, 2)  # no window of six words is in both: two to the left, three to the right
+    assert [(a, b) for _, a, b in rest] == [(3, 3), (2, 2)] and len({k for k, _, _ in rest}) == 2
+    assert extend(5, 2, 3, own, own, 6) == (2, 3, [])
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_every_window(spark, seed):
+@pytest.mark.parametrize("seed, rounds", [(0, 5), (1, 0), (2, 1)])
+def test_equals_every_window(spark, seed, rounds, monkeypatch):
+    monkeypatch.setattr(passages, "ROUNDS", rounds)
     rng = random.Random(seed)
     words = lambda n, v: [f"w{rng.randrange(v)}" for _ in range(n)]
     shared = [words(rng.randrange(8, 40), 50) for _ in range(5)]
