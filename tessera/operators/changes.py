@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import version_key
+
 HEADER = "^([a-zA-Z]+)(?:\\(([^)]*)\\))?(!)?: (.+)$"
 KINDS = ("feat", "fix", "docs", "perf", "refactor", "test", "build", "chore")
 
@@ -54,17 +56,10 @@ def lint(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("issue"))
 
 
-def version(text: Column) -> Column:
-    """A struct that orders as versions do; a prerelease is before its release."""
-    part = lambda k: F.coalesce(F.try_to_number(F.regexp_extract(text, "^v?([0-9]+)(?:\\.([0-9]+))?(?:\\.([0-9]+))?", k), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
-    pre = F.regexp_extract(text, "-([0-9A-Za-z.-]+)$", 1)
-    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (pre == "").alias("final"), pre.alias("pre"))
-
-
 def vulnerable(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies (ecosystem, name, version) inside an advisory's [low, high): an equi-join, then the range."""
-    d = dependencies.withColumn("v", version(F.col("version"))).withColumn("package", F.lower("name"))
-    a = advisories.select("ecosystem", F.lower("package").alias("package"), "advisory", "severity", version(F.col("low")).alias("lo"), version(F.col("high")).alias("hi"))
+    d = dependencies.withColumn("v", version_key(F.col("version"))).withColumn("package", F.lower("name"))
+    a = advisories.select("ecosystem", F.lower("package").alias("package"), "advisory", "severity", version_key(F.col("low")).alias("lo"), version_key(F.col("high")).alias("hi"))
     return d.join(a, ["ecosystem", "package"]).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))).drop("v", "lo", "hi", "package")
 
 

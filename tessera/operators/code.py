@@ -117,16 +117,23 @@ def without_comments(code: Column, style: str = "c") -> Column:
 
 
 def parameter_count(header: Column) -> Column:
-    """Top-level commas and one in the first parentheses; 0 where they are empty."""
-    inner = F.regexp_extract(header, "\\(((?:[^()]|\\([^()]*\\))*)\\)", 1)
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"))
+    """Parameters between the first parenthesis of a header and the one that closes it; a trailing comma adds none.
+
+    Commas inside brackets of any depth do not part parameters; the arrow => closes nothing.
+    """
+    chars = F.split(F.regexp_replace(F.substring(header, F.greatest(F.locate("(", header), F.lit(1)), F.length(header)), "=>", "  "), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("count"), F.lit(False).alias("some"), F.lit(False).alias("closed"))
 
     def step(s: Column, c: Column) -> Column:
         depth = s.depth + F.when(c.isin("(", "[", "{", "<"), 1).when(c.isin(")", "]", "}", ">"), -1).otherwise(0)
-        return F.struct(depth.alias("depth"), (s.commas + F.when((c == ",") & (s.depth == 0), 1).otherwise(0)).alias("commas"))
-
-    commas = F.aggregate(F.split(inner, ""), start, step, lambda s: s.commas)
-    return F.when(F.trim(inner) == "", 0).otherwise(commas + 1)
+        ends = (c == ",") & (s.depth == 1)
+        closed = (depth == 0) & (s.depth == 1)
+        count = s.count + F.when((ends | closed) & s.some, 1).otherwise(0)
+        some = F.when(ends, F.lit(False)).otherwise(s.some | ((s.depth > 0) & ~c.rlike("^\\s?$")))
+        fresh = F.struct(depth.alias("depth"), count.alias("count"), some.alias("some"), closed.alias("closed"))
+        return F.when(s.closed, s).otherwise(fresh)
+
+    return F.when(header.contains("("), F.aggregate(chars, start, step, lambda s: s.count)).otherwise(0)
 
 
 def brace_functions(ls: DataFrame, key: str = "path", header: str = "\\bfunction\\s+([A-Za-z_$][A-Za-z0-9_$]*)\\s*\\(|\\bfunc\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(") -> DataFrame:

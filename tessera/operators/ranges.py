@@ -13,7 +13,17 @@ _COMPARATOR = f"(\\^|~|>=|<=|>|<|=)?v?{_NUMBER}(?:\\.{_NUMBER})?(?:\\.{_NUMBER})
 def _key(major: Column, minor: Column, patch: Column, final: Column, pre: Column, edge: int) -> Column:
     """A bound or version; edge puts a bound behind (1) or before (0) the versions equal to it."""
     long = lambda c: c.cast("long")
-    return F.struct(long(major).alias("major"), long(minor).alias("minor"), long(patch).alias("patch"), final.alias("final"), pre.alias("pre"), F.lit(edge).alias("edge"))
+    return F.struct(long(major).alias("major"), long(minor).alias("minor"), long(patch).alias("patch"), final.alias("final"), prerelease_key(pre).alias("pre"), F.lit(edge).alias("edge"))
+
+
+_PART = "array<struct<worded: boolean, number: decimal(38,0), text: string>>"
+
+
+def prerelease_key(pre: Column) -> Column:
+    """The parts of a prerelease as they order: numbers by value and before words, fewer parts before more."""
+    number = lambda p: p.rlike("^[0-9]{1,38}$")
+    parts = F.transform(F.split(pre, "\\."), lambda p: F.struct((~number(p)).alias("worded"), F.when(number(p), p.try_cast("decimal(38,0)")).otherwise(0).alias("number"), F.when(number(p), "").otherwise(p).alias("text")))
+    return F.when(pre == "", F.array().cast(_PART)).otherwise(parts.cast(_PART))
 
 
 def version_key(version: Column) -> Column:

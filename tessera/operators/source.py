@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.code import basename, with_language
+from tessera.operators.code import basename, parameter_count, with_language
 from tessera.operators.graph import folded
 from tessera.operators.lines import nesting
 
@@ -99,64 +99,92 @@ def depth(code: Column, language: Column) -> Column:
     return F.when(language == "python", F.coalesce(F.array_max(steps), F.lit(0))).otherwise(nesting(code))
 
 
+_FLAT = "[^(){}]"
+#: Parameters in parentheses, three levels deep; in those of a named header braces may stand as well.
+_ARGS = f"\\((?:{_FLAT}|\\((?:{_FLAT}|\\({_FLAT}*+\\))*+\\))*+\\)"
+_WIDE = "\\((?:[^()]|\\((?:[^()]|\\([^()]*+\\))*+\\))*+\\)"
+#: A header up to its body, over any number of lines.
+_HEAD = f"\\b(?:(?:function\\b|def\\b|fn\\b|func\\b)[^\\n(]*+{_WIDE}|[\\w$]++[ \\t]*+{_ARGS})(?:[^\\n(){{}};=]*+\\n\\s*+(?=\\{{))?"
+#: Words before a parenthesis that name no function.
+_CONTROL = "(?!(?:if|for|while|switch|catch|return|with|do|else|elif|new|throw|function|super|typeof|await|sizeof|case)\\b)"
+_BODY = "\\s*(?::[^{};=]+)?\\{"
 HEADERS = {
-    "python": "^\\s*(?:async\\s+)?def\\s+(\\w+)\\s*\\(", "ruby": "^\\s*def\\s+([\\w.]+[?!=]?)", "go": "^\\s*func\\s+(?:\\([^)]*\\)\\s*)?(\\w+)\\s*[\\[(]",
-    "rust": "\\bfn\\s+(\\w+)\\s*[<(]", "typescript": "\\bfunction\\s*\\*?\\s*([\\w$]+)\\s*[<(]|\\b(?:const|let|var)\\s+([\\w$]+)\\s*=\\s*(?:async\\s*)?\\([^)]*\\)[^=]*=>",
-    "java": "^\\s*(?:[\\w<>\\[\\],]+\\s+)+(\\w+)\\s*\\([^;]*\\{\\s*$",
+    "python": ("^\\s*(?:async\\s+)?def\\s+(\\w+)\\s*\\(",),
+    "ruby": ("^\\s*def\\s+([\\w.]+[?!=]?)",),
+    "go": ("^\\s*func\\s+(?:\\([^)]*\\)\\s*)?(\\w+)\\s*[\\[(]",),
+    "rust": ("\\bfn\\s+(\\w+)\\s*[<(]",),
+    "typescript": (
+        "\\bfunction\\s*\\*?\\s*([\\w$]+)\\s*[<(]",
+        "\\b(?:const|let|var)\\s+([\\w$]+)\\s*(?::[^=]+)?=\\s*(?:async\\s*)?(?:function\\b|\\([^)]*\\)[^=]*=>)",
+        f"^\\s*(?:(?:public|private|protected|static|async|override|readonly|get|set)\\s+)*[*#]?{_CONTROL}([\\w$]+)\\s*(?:<[^>]*>)?{_WIDE}{_BODY}",
+    ),
+    "java": (f"^\\s*(?:{_CONTROL}[\\w<>\\[\\],.&*:~]+\\s+)+[*&]*{_CONTROL}(\\w+)\\s*{_ARGS}\\s*(?:\\b(?:const|noexcept|override|throws\\s+[\\w.,\\s]+))*\\{{",),
 }
 _LIKE = {"javascript": "typescript", "c": "java"}
+#: Stands for a line end inside a header.
+_INNER = "\x1f"
+
+
+def whole_headers(code: Column) -> Column:
+    """Stripped code in which a header that takes several lines is one, its line ends kept as marks.
+
+    A header is a name with its balanced parentheses, and a line end after it
+    where the body's brace follows. Calls that hold braces stay as they are.
+    """
+    parts = F.regexp_extract_all(code, F.lit(f"({_HEAD}|[\\w$]++|[^\\w$]++)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[\\w$]") & p.contains("\n"), F.translate(p, "\n", _INNER)).otherwise(p)), "")
 
 
 def function_units(files: DataFrame, key: str = "path") -> DataFrame:
     """(key, language, name, line_no, end_line, lines, parameters, complexity) of the functions of files (key, language, text).
 
-    Spans are of whole lines. In braces a function ends where the running depth is
-    back to that before its header; by indentation, just before the next full line
-    no deeper than the header; else at the file's last line. Each line announces
-    the levels it closes, and the first announcement of a header's level after it
-    is its end, so one sort by file and level finds all; branches come from running
-    sums. Files of other languages give no row.
+    Functions, methods and arrows by their headers, which may take several lines and
+    have their brace on the next. Spans are of whole lines. In braces a function ends
+    where the running depth is back to that before its header; by indentation, just
+    before the next full line no deeper than the header; else at the file's last line.
+    Each line announces the levels it closes, and the first announcement of a header's
+    level after it is its end, so one sort by file and level finds all; branches come from
+    running sums. Files of other languages give no row.
     """
-    from tessera.operators.code import parameter_count
-
     known = [*HEADERS, *_LIKE]
     text = stripped(F.regexp_replace(F.coalesce("text", F.lit("")), "\\n\\z", ""), F.col("language"), literals=False)
-    ls = files.where(F.col("language").isin(*known)).select(key, "language", F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    ls = ls.select(key, "language", (F.col("at") + 1).alias("line_no"), "line")
-    by_indent, order = F.col("language").isin("python", "ruby"), Window.partitionBy(key).orderBy("line_no")
-    full = F.trim("line") != ""
+    ls = files.where(F.col("language").isin(*known)).select(key, "language", F.posexplode(F.split(whole_headers(text), "\n")).alias("at", "line"))
+    by_indent, order = F.col("language").isin("python", "ruby"), Window.partitionBy(key).orderBy("at")
+    ls = ls.withColumn("extra", F.length("line") - F.length(F.replace("line", F.lit(_INNER), F.lit(""))))
+    ls = ls.withColumn("last", (F.col("at") + 1 + F.sum("extra").over(order)).cast("int")).withColumn("line_no", (F.col("last") - F.col("extra")).cast("int"))
+    full = F.trim(F.translate("line", _INNER, " ")) != ""
     braces = F.regexp_count("line", F.lit("\\{")) - F.regexp_count("line", F.lit("\\}"))
     ls = ls.withColumn("sum", F.sum(branches(F.col("line"), F.col("language"))).over(order))
     ls = ls.withColumn("level", F.when(by_indent, F.when(full, _indent(F.col("line")))).otherwise(F.sum(braces).over(order)))
     ls = ls.withColumn("before", F.coalesce(F.last("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ls = ls.withColumn("sum_before", F.coalesce(F.lag("sum").over(order), F.lit(0)))
     whole = Window.partitionBy(key)
-    ls = ls.withColumn("file_end", F.struct(F.max("line_no").over(whole).alias("line"), F.max("sum").over(whole).alias("sum")))
+    ls = ls.withColumn("file_end", F.struct(F.max("last").over(whole).alias("line"), F.max("sum").over(whole).alias("sum")))
 
-    name = F.lit(None).cast("string")
-    for language, pattern in HEADERS.items():
-        group = lambda i, p=pattern: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
-        got = F.coalesce(group(1), group(2)) if "|\\b" in pattern else group(1)
+    name, flat = F.lit(None).cast("string"), F.translate("line", _INNER, " ")
+    for language, patterns in HEADERS.items():
+        got = F.coalesce(*[F.nullif(F.regexp_extract(flat, p, 1), F.lit("")) for p in patterns])
         same = [language, *[k for k, v in _LIKE.items() if v == language]]
         name = F.when(F.col("language").isin(*same), got).otherwise(name)
     head = F.when(full & name.isNotNull(), F.struct(F.when(by_indent, F.col("level")).otherwise(F.col("before")).alias("level"), F.lit(True).alias("head")))
     closes = F.when(by_indent & full, F.sequence("level", F.greatest("level", "before"))).when(
         ~by_indent & (F.col("level") < F.col("before")), F.sequence("level", F.col("before") - 1)
     )
+    none = F.array().cast("array<struct<level:bigint,head:boolean>>")
     marks = F.concat(
-        F.coalesce(F.transform(closes, lambda v: F.struct(v.alias("level"), F.lit(False).alias("head"))), F.array().cast("array<struct<level:bigint,head:boolean>>")),
-        F.when(head.isNotNull(), F.array(head)).otherwise(F.array().cast("array<struct<level:bigint,head:boolean>>")),
+        F.coalesce(F.transform(closes, lambda v: F.struct(v.alias("level"), F.lit(False).alias("head"))), none), F.when(head.isNotNull(), F.array(head)).otherwise(none)
     )
     events = ls.withColumn("name", name).withColumn("mark", F.explode(marks)).select("*", F.col("mark.level").alias("of"), F.col("mark.head").alias("head"))
     # An indented line closes after the line before it and at its own branches' start.
-    close = F.when(~F.col("head"), F.struct((F.col("line_no") - F.when(by_indent, 1).otherwise(0)).alias("line"), F.when(by_indent, F.col("sum_before")).otherwise(F.col("sum")).alias("sum")))
+    close = F.when(~F.col("head"), F.struct(F.when(by_indent, F.col("line_no") - 1).otherwise(F.col("last")).alias("line"), F.when(by_indent, F.col("sum_before")).otherwise(F.col("sum")).alias("sum")))
     later = Window.partitionBy(key, "of").orderBy("line_no").rangeBetween(1, Window.unboundedFollowing)
     ended = events.withColumn("close", close).withColumn("end", F.min("close").over(later)).where("head")
-    own = F.when(~by_indent & (F.col("level") <= F.col("before")), F.struct(F.col("line_no").alias("line"), F.col("sum").alias("sum")))
+    own = F.when(~by_indent & (F.col("level") <= F.col("before")), F.struct(F.col("last").alias("line"), F.col("sum").alias("sum")))
     ended = ended.withColumn("end", F.coalesce(own, "end", "file_end"))
+    bare = F.regexp_replace(flat.substr(F.lit(1), F.length(flat)), "^\\s*func\\s*\\([^)]*\\)", "func")
     return ended.select(
         key, "language", "name", "line_no", F.col("end.line").alias("end_line"), (F.col("end.line") - F.col("line_no") + 1).alias("lines"),
-        parameter_count(F.col("line")).alias("parameters"), (1 + F.col("end.sum") - F.col("sum_before")).alias("complexity"),
+        parameter_count(bare).alias("parameters"), (1 + F.col("end.sum") - F.col("sum_before")).alias("complexity"),
     )
 
 

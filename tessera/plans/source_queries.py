@@ -41,6 +41,23 @@ def function_spans(spark, sf_dir):
     return S.function_units(_sources(spark, sf_dir)).select("path", "name", "line_no", "end_line", "lines", "parameters", "complexity")
 
 
+_SHAPES = """CASE o_orderkey % 6 WHEN 0 THEN concat('function s', o_orderkey, '(\\n  x,\\n  y\\n) {\\n', repeat('  if (x) { y(); }\\n', {k}), '}\\n')
+    WHEN 1 THEN concat('def s', o_orderkey, '(\\n    a,\\n    b,\\n):\\n', repeat('    if a:\\n        b()\\n', {k}), '    return a\\n')
+    WHEN 2 THEN concat('class C {{\\n  public int s', o_orderkey, '(int x, Map<K, V> y)\\n  {{\\n', repeat('    if (x > 0) {{ y(); }}\\n', {k}), '  }}\\n}}\\n')
+    WHEN 3 THEN concat('class C {{\\n  async s', o_orderkey, '(cb = () => 1, b, c) {{\\n', repeat('    if (b) {{ c(); }}\\n', {k}), '  }}\\n}}\\n')
+    WHEN 4 THEN concat('func (r *R) s', o_orderkey, '(a int, b ...string) {{\\n', repeat('\\tfor a > 1 {{\\n\\t}}\\n', {k}), '}}\\n')
+    ELSE concat('def s', o_orderkey, '(a)\\n', repeat('  go(a) unless a\\n', {k}), 'end\\n') END"""
+
+
+def function_shapes(spark, sf_dir):
+    """Functions, methods and receivers whose headers take one line or several, in six shapes of five languages."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    language = F.expr("CASE o_orderkey % 6 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'java' WHEN 3 THEN 'typescript' WHEN 4 THEN 'go' ELSE 'ruby' END")
+    text = F.expr(_SHAPES.replace("{{", "{").replace("}}", "}").replace("{k}", "CAST(o_custkey % 4 AS INT)"))
+    files = rows.select(F.concat(F.lit("f"), "o_orderkey").alias("path"), language.alias("language"), text.alias("text"))
+    return S.function_units(files).select("path", "name", "line_no", "end_line", "lines", "parameters", "complexity")
+
+
 def _links(files):
     found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in ('import x from "([^"]+)"', "(?m)^from (\\S+) import")])
     return files.select("path", found.alias("specifier"))
@@ -168,7 +185,7 @@ def stored_records(spark, sf_dir):
     return G.list_records(spark, path, "BUILDING", "even")
 
 
-QUERIES = {f.__name__: f for f in (source_lines, source_metrics, function_spans, import_targets, alias_targets, layer_rollup, xml_manifests, route_registrations, route_operations, api_operations, api_lint, entity_merge, output_scores, similarity_scores, commit_log_rows, stored_records)}
+QUERIES = {f.__name__: f for f in (source_lines, source_metrics, function_spans, function_shapes, import_targets, alias_targets, layer_rollup, xml_manifests, route_registrations, route_operations, api_operations, api_lint, entity_merge, output_scores, similarity_scores, commit_log_rows, stored_records)}
 
 _F = f"f AS (SELECT o_orderkey AS o, {_SRC_PATH} AS path, o_orderkey % 3 = 0 AS py, CAST({_K} AS INTEGER) AS k, CAST({_N} AS INTEGER) AS n, CAST({_E} AS INTEGER) AS e FROM orders)"
 _LAYER = lambda c: f"CASE WHEN ({c}) % 7 = 0 THEN 'test' ELSE CASE ({c}) % 6 WHEN 0 THEN 'presentation' WHEN 1 THEN 'interface' WHEN 2 THEN 'application' WHEN 3 THEN 'domain' WHEN 4 THEN 'persistence' ELSE 'shared' END END"
@@ -185,6 +202,10 @@ ORACLES = {
     "source_metrics": f"WITH {_F} SELECT path, 1 + CASE WHEN py THEN k ELSE 2 * k END AS complexity, CASE WHEN py THEN CASE WHEN k > 0 THEN 2 ELSE 0 END ELSE CASE WHEN k > 0 THEN 2 ELSE 1 END END AS nesting FROM f",
     "function_spans": f"""WITH {_F}, s AS (SELECT path, 'run' || o AS name, CASE WHEN py THEN 3 ELSE 5 + e END AS line_no, CASE WHEN py THEN 1 + n + 2 * k + e ELSE 2 + n + k END AS lines, CASE WHEN py THEN 3 ELSE 2 END AS parameters,
         1 + CASE WHEN py THEN k ELSE 2 * k END AS complexity FROM f) SELECT path, name, line_no, line_no + lines - 1 AS end_line, lines, parameters, complexity FROM s""",
+    "function_shapes": """WITH o AS (SELECT 'f' || o_orderkey AS path, 's' || o_orderkey AS name, o_orderkey % 6 AS m, o_custkey % 4 AS k FROM orders),
+        s AS (SELECT path, name, CASE WHEN m IN (2, 3) THEN 2 ELSE 1 END AS line_no, CASE m WHEN 0 THEN 5 + k WHEN 1 THEN 5 + 2 * k WHEN 2 THEN 4 + k WHEN 3 THEN 3 + k WHEN 4 THEN 2 + 2 * k ELSE 1 + k END AS end_line,
+          CASE m WHEN 3 THEN 3 WHEN 5 THEN 1 ELSE 2 END AS parameters, 1 + k AS complexity FROM o)
+        SELECT path, name, line_no, end_line, end_line - line_no + 1 AS lines, parameters, complexity FROM s""",
     "import_targets": f"WITH {_F} SELECT a.path, CASE WHEN a.py THEN '.f' ELSE './f' END || (a.o + 50) AS specifier, b.path AS target FROM f a LEFT JOIN f b ON b.o = a.o + 50",
     "alias_targets": f"WITH {_F} SELECT path, path AS target FROM f",
     "layer_rollup": f"""WITH p AS (SELECT o_custkey AS s, o_custkey + o_orderkey % 4 AS d FROM orders), l AS (SELECT {_LAYER("s")} AS layer, {_LAYER("d")} AS "to", s FROM p),

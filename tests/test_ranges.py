@@ -48,3 +48,12 @@ def test_code_patterns_begin_on_the_line_reported(spark):
     rows = [("a.py", "python", 1, "ok"), ("a.py", "python", 2, "eval(x)"), ("a.py", "python", 3, None), ("tests/b.py", "python", 1, "eval(x)"), ("c.md", "markdown", 1, "eval(x)")]
     df = spark.createDataFrame(rows, "path string, language string, line_no int, line string")
     assert [(r["path"], r["rule"], r["line_no"]) for r in A.code_patterns(df).collect()] == [("a.py", "python-exec", 2)]
+
+
+def test_prereleases_order_part_by_part(spark):
+    rising = ["0.9.9", "1.0.0-1", "1.0.0-9", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.9", "1.0.0-alpha.10", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.1-0", "1.0.1"]
+    df = spark.createDataFrame([(v,) for v in rising], "v string")
+    assert [r.v for r in df.orderBy(V.version_key(df.v)).collect()] == rising
+    pairs = [("1.0.0-alpha.10", ">1.0.0-alpha.9", True), ("1.0.0-alpha.9", ">1.0.0-alpha.10", False), ("1.0.0-2", "<1.0.0-10", True), ("1.0.0-rc.1", ">=1.0.0-beta.11 <1.0.0", True)]
+    got = spark.createDataFrame(pairs, "v string, r string, want boolean").select("want", F.exists(V.intervals(F.col("r")), lambda i: (i.lo <= V.version_key(F.col("v"))) & (V.version_key(F.col("v")) < i.hi)).alias("got"))
+    assert all(r.want == r.got for r in got.collect())

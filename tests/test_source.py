@@ -24,10 +24,61 @@ def test_function_spans(spark):
     assert got == {
         ("j", "a"): (1, 6, 1, 3), ("j", "b"): (2, 4, 2, 2), ("j", "c"): (7, 7, 0, 1), ("j", "d"): (8, 9, 0, 1),
         ("p", "one"): (2, 5, 1, 2), ("p", "two"): (6, 9, 2, 1), ("p", "inner"): (7, 8, 0, 1), ("p", "last"): (11, 12, 0, 1),
-        ("g", "Run"): (1, 7, 1, 4), ("r", "go?"): (1, 2, 1, 2),
+        ("g", "Run"): (1, 7, 2, 4), ("r", "go?"): (1, 2, 1, 2),
     }
 
 
+def spans(spark, language, text):
+    df = spark.createDataFrame([("f", language, text)], "path string, language string, text string")
+    return {r.name: (r.line_no, r.end_line, r.parameters, r.complexity) for r in S.function_units(df).collect()}
+
+
+def test_headers_over_lines(spark):
+    assert spans(spark, "typescript", "function a(\n  x,\n  y\n) {\n  if (x) y();\n}\n") == {"a": (1, 6, 2, 2)}
+    assert spans(spark, "python", "def f(\n    a,\n    b,\n):\n    if a:\n        return b\n\nx = 1\n") == {"f": (1, 7, 2, 2)}
+    assert spans(spark, "java", "class A {\n  public int run(int x, Map<K, V> y)\n  {\n    return x > 0 ? 1 : 2;\n  }\n\n  void b() throws E, F {\n  }\n}\n") == {"run": (2, 5, 2, 2), "b": (7, 8, 0, 1)}
+    assert spans(spark, "rust", "pub fn go(\n    a: i32,\n    f: (u8, u8),\n) -> i32\n{\n    a\n}\nfn z() {}\n") == {"go": (1, 7, 2, 1), "z": (8, 8, 0, 1)}
+    assert spans(spark, "go", "func (s *Server) Serve(\n\ta int,\n) error {\n\tif a > 1 {\n\t}\n}\n") == {"Serve": (1, 6, 1, 2)}
+    assert spans(spark, "c", "static int add(int a,\n               int b)\n{\n  return a + b;\n}\n") == {"add": (1, 5, 2, 1)}
+
+
+def test_methods_and_calls(spark):
+    text = """class A {
+  constructor(private x: number) {
+    super(x);
+  }
+  async run({ a, b }, cb = () => 1): Promise<void> {
+    if (a) { b(); } else if (b) {
+      for (const x of a) {
+      }
+    }
+  }
+  get size() { return 1 }
+}
+describe('a', () => {
+  it("b", function () {
+    const inner = async (x) => {
+      return x;
+    };
+  });
+});
+const f = function (a, b) {
+};
+"""
+    got = spans(spark, "typescript", text)
+    assert got == {"constructor": (2, 4, 1, 1), "run": (5, 10, 2, 4), "size": (11, 11, 0, 1), "inner": (15, 17, 1, 1), "f": (20, 21, 2, 1)}
+
+
+def test_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.code import parameter_count
+
+    want = {"f(cb = () => 1, b, c)": 3, "f()": 0, "f( )": 0, "f(a,)": 1, "f(a, (b, c), [d, e], {f, g})": 4, "f(m: Map<K, V>, n)": 2, "f": 0, "f(a, g(h(i, j), k), l) { x(1, 2, 3) }": 3, "f(a": 0}
+    rows = spark.createDataFrame([(k,) for k in want], "h string").select("h", parameter_count(F.col("h")).alias("n")).collect()
+    assert {r.h: r.n for r in rows} == want
+
+
 def test_import_resolution(spark):
     files = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/a.py", "src/lib/index.tsx", "pkg/__init__.py", "pkg/mod.py", "src/b.vue", "src/x.test.ts")], "path string")
     links = [
