@@ -152,10 +152,32 @@ def entities(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.groupBy(key, "name").agg(F.min("order").alias("order")).select(key, "name", kinds[F.col("order")].alias("kind"))
 
 
+#: Names of a basket that meet in one task.
+BASKET = 256
+
+
+def basket_pairs(mentions: DataFrame, key: str, name: str, block: int = BASKET) -> DataFrame:
+    """(a, b, key): every two names a < b of one basket, once, with the basket that supports them.
+
+    A basket is cut by hash into blocks of about block names, and every two blocks of it are a
+    group of their own; so a basket of a third of all names becomes many tasks.
+    """
+    each = mentions.select(F.col(key).alias("g"), F.col(name).alias("n")).dropna().distinct()
+    sizes = each.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = each.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    spread = dealt.withColumn("other", others).select("g", "n", "own", low.alias("i"), high.alias("j"))
+    left = spread.where("own = i").select("g", "i", "j", F.col("n").alias("a"))
+    right = spread.where("own = j").select("g", "i", "j", F.col("n").alias("b"))
+    met = left.join(right, ["g", "i", "j"])
+    # In a group of two blocks each name of one meets each of the other once; within a block both orders meet.
+    return met.where("a < b or (a > b and i < j)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("g").alias(key))
+
+
 def co_occurrence(mentions: DataFrame, key: str, name: str) -> DataFrame:
-    """Undirected edges (a, b, weight) between names of one group."""
-    left, right = mentions.select(key, F.col(name).alias("a")), mentions.select(key, F.col(name).alias("b"))
-    return left.join(right, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    """Undirected edges (a, b, weight) between names of one basket; basket_pairs has what supports each."""
+    return basket_pairs(mentions, key, name).groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def centrality(edges: DataFrame) -> DataFrame:

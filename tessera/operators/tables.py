@@ -92,3 +92,21 @@ def grouped_for_picking(models: DataFrame) -> DataFrame:
     side = models.groupBy("provider").agg(F.bool_or("local").alias("has_local"))
     w = Window.partitionBy("provider").orderBy(F.desc("local"), "price", "model")
     return models.join(side, "provider").withColumn("place", F.row_number().over(w))
+
+
+def running(rows: DataFrame, key: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows with the sum of each of values over the rows before it in its key's order: exclusive prefix sums.
+
+    Rows are range-partitioned by key and order. Each partition is summed as a whole,
+    the sums before it are its offset, and only within a partition's slice of
+    a key is there a window; so a key of any size is never in one task.
+    """
+    kept = rows.columns
+    valued = rows.select("*", *[v.alias(f"__{n}") for n, v in values.items()])
+    ranged = saved(valued.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    whole = ranged.groupBy(key, "__part").agg(*[F.sum(f"__{n}").alias(f"__all_{n}") for n in values])
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.select(key, "__part", *[F.coalesce(F.sum(f"__all_{n}").over(earlier), F.lit(0)).alias(f"__off_{n}") for n in values])
+    inside = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(offsets, [key, "__part"])
+    return joined.select(*kept, *[(F.col(f"__off_{n}") + F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0))).alias(n) for n in values])
