@@ -125,21 +125,7 @@ def fnv_hash(spark, sf_dir):
     return read(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", X.fnv1a32(F.col("c_name")).alias("h"))
 
 
-def intent_classes(spark, sf_dir):
-    """Ordered patterns over what users say; the first that fits names the intent."""
-    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
-    t = F.lower("text")
-    intent = (
-        F.when(t.rlike("\\b(fix|bug|error)\\b"), "fix")
-        .when(t.rlike("\\b(how|why|what)\\b"), "explain")
-        .when(t.rlike("\\b(is|are|was)\\b"), "check")
-        .when(t.rlike("\\b(der|die|das)\\b"), "german")
-        .otherwise("other")
-    )
-    return turns.groupBy(intent.alias("intent")).agg(F.count("*").alias("n"))
-
-
-QUERIES = {f.__name__: f for f in (token_df, bm25_topk, search_excerpts, hits_by_kind, edit_distance_pairs, fuzzy_titles, text_facts, entropy_by_doc, fnv_hash, intent_classes)}
+QUERIES = {f.__name__: f for f in (token_df, bm25_topk, search_excerpts, hits_by_kind, edit_distance_pairs, fuzzy_titles, text_facts, entropy_by_doc, fnv_hash)}
 
 ORACLES = {
     "token_df": f"""SELECT term, count(DISTINCT doc_id) AS df, CAST(count(*) AS BIGINT) AS cf
@@ -177,7 +163,4 @@ ORACLES = {
         n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL), t AS (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS total FROM n)
         SELECT doc_id, round(-sum(k / total * log2(k / total)), 6) AS bits FROM t GROUP BY doc_id
         UNION ALL SELECT doc_id, 0.0 FROM documents WHERE text = ''""",
-    "intent_classes": """SELECT CASE WHEN regexp_matches(lower(text), '\\b(fix|bug|error)\\b') THEN 'fix' WHEN regexp_matches(lower(text), '\\b(how|why|what)\\b') THEN 'explain'
-          WHEN regexp_matches(lower(text), '\\b(is|are|was)\\b') THEN 'check' WHEN regexp_matches(lower(text), '\\b(der|die|das)\\b') THEN 'german' ELSE 'other' END AS intent,
-        count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1""",
 }

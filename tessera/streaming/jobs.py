@@ -173,7 +173,7 @@ def status_counts(events: DataFrame) -> DataFrame:
 
 
 def scan_added(added: DataFrame, *carried: str, key: str = "path") -> DataFrame:
-    """(key, carried, line_no, kind, rule, severity, finding_id) of text that was added: rows (key, language, text).
+    """(key, carried, line_no, kind, rule, category, severity, finding_id) of text that was added: rows (key, language, text).
 
     Secrets, insecure code and orders to a model, on each line with the three after
     it. Only the row itself is looked at, so it runs on a stream as on a table.
@@ -181,10 +181,10 @@ def scan_added(added: DataFrame, *carried: str, key: str = "path") -> DataFrame:
     lines = F.split("text", "\n")
     each = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.struct(i.alias("line_no"), F.get(lines, i - 1).alias("line"), F.array_join(F.slice(lines, i, 4), "\n").alias("block")))
     rows = added.where("text is not null").select(key, *carried, "language", F.explode(each).alias("l")).select(key, *carried, "language", "l.*")
-    finding = lambda kind, rule, severity: F.struct(F.lit(kind).alias("kind"), rule.alias("rule"), severity.alias("severity"))
-    secret = F.transform(findings.secret_hits(F.col("line")), lambda h: finding("secret", h["rule"], h["severity"]))
-    code = F.transform(audit.rule_hits(F.col("block"), F.col("line"), F.col("language")), lambda h: finding("code", h["rule"], h["severity"]))
-    orders = F.transform(findings.injection(F.col("line")), lambda m: finding("injection", F.lit("orders-to-a-model"), F.lit("high")))
+    finding = lambda kind, rule, category, severity: F.struct(F.lit(kind).alias("kind"), rule.alias("rule"), category.alias("category"), severity.alias("severity"))
+    secret = F.transform(findings.secret_hits(F.col("line")), lambda h: finding("secret", h["rule"], F.lit("secrets"), h["severity"]))
+    code = F.transform(audit.rule_hits(F.col("block"), F.col("line"), F.col("language")), lambda h: finding("code", h["rule"], h["category"], h["severity"]))
+    orders = F.transform(findings.injection(F.col("line")), lambda m: finding("injection", F.lit("orders-to-a-model"), F.lit("model"), F.lit("high")))
     found = rows.select(key, *carried, "line_no", F.explode(F.array_distinct(F.concat(secret, code, orders))).alias("f")).select(key, *carried, "line_no", "f.*")
     return found.withColumn("finding_id", F.sha2(F.concat_ws("\x1f", F.col(key), "line_no", "rule"), 256))
 
