@@ -38,15 +38,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, under the session's codec where none is named.
 
     This cuts lineage: an executor that is lost later costs a reread of shared
     files, not a recomputation.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -255,12 +255,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     )
     columns = ["doc_id", "h", "pos", "lo", "hi"]
     spans = met.where("settled").select(columns)
-    rows = materialise(_contexts(docs, met.where("not settled"), window))
+    rows = materialise(_contexts(docs, met.where("not settled"), window), "zstd")
     for _ in range(ROUNDS):
-        step = materialise(_round(rows, window))
+        step = materialise(_round(rows, window), "zstd")
         spans = spans.union(step.where("key is null").select(columns))
         rows = step.where("key is not null")
-    open_ = materialise(_windows(rows, window))
+    open_ = materialise(_windows(rows, window), "zstd")
     firsts = open_.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     spans = spans.union(open_.join(firsts.hint("merge"), "digest").where("doc_id > first").select(columns))
     return spans.select("doc_id", "h", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + window).alias("end"))
