@@ -34,17 +34,21 @@ def tokens(text: Column, stop_words: bool = True) -> Column:
 def exploded_tokens(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, term): the tokens of a column as rows.
 
-    As tokens(), but words become rows first, so that a word is looked at by
-    plain expressions and only one with parts is taken apart.
+    As tokens(), but a text is cut between its words and becomes rows at once; only
+    in texts that have a word of several parts are such words looked for and taken apart.
     """
-    words = rows.select(*keep, F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_$]+"), F.lit(0))).alias("w"))
-    w = F.col("w")
-    apart = F.regexp_replace(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.filter(F.split(apart, "[ _$]+"), lambda p: p != "")
-    more = F.when(F.size(parts) > 1, F.filter(F.transform(parts, F.lower), lambda p: p != F.lower(w))).otherwise(F.array().cast("array<string>"))
-    each = F.when(w.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[_$]"), F.concat(F.array(F.lower(w)), more)).otherwise(F.array(F.lower(w)))
-    terms = words.select(*keep, F.explode(each).alias("term"))
-    return terms.where((F.length("term") > 1) & ~F.col("term").isin(STOP_WORDS))
+    mixed = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[_$]"
+    words = F.split(text, "[^A-Za-z0-9_$]+")
+
+    def smaller(w: Column) -> Column:
+        apart = F.regexp_replace(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+        parts = F.filter(F.split(apart, "[ _$]+"), lambda p: p != "")
+        return F.when(F.size(parts) > 1, F.filter(parts, lambda p: F.lower(p) != F.lower(w))).otherwise(F.array().cast("array<string>"))
+
+    more = F.flatten(F.transform(F.filter(words, lambda w: w.rlike(mixed)), smaller))
+    every = F.when(F.col(text).rlike(mixed), F.concat(words, more)).otherwise(words)
+    terms = rows.select(*keep, F.explode(every).alias("w")).where(F.length("w") > 1)
+    return terms.select(*keep, F.lower("w").alias("term")).where(~F.col("term").isin(STOP_WORDS))
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
