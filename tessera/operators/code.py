@@ -14,6 +14,11 @@ LANGUAGES = (
     ("py", "python", "programming"), ("ts", "typescript", "programming"), ("js", "javascript", "programming"), ("go", "go", "programming"),
     ("rs", "rust", "programming"), ("rb", "ruby", "programming"), ("java", "java", "programming"), ("c", "c", "programming"),
     ("sql", "sql", "programming"), ("html", "html", "markup"), ("md", "markdown", "prose"), ("json", "json", "data"), ("yaml", "yaml", "data"), ("toml", "toml", "data"),
+    ("tsx", "typescript", "programming"), ("mts", "typescript", "programming"), ("cts", "typescript", "programming"), ("jsx", "javascript", "programming"), ("mjs", "javascript", "programming"), ("cjs", "javascript", "programming"),
+    ("pyi", "python", "programming"), ("h", "c", "programming"), ("cpp", "cpp", "programming"), ("cc", "cpp", "programming"), ("hpp", "cpp", "programming"), ("cs", "csharp", "programming"), ("kt", "kotlin", "programming"),
+    ("kts", "kotlin", "programming"), ("swift", "swift", "programming"), ("php", "php", "programming"), ("dart", "dart", "programming"), ("scala", "scala", "programming"), ("lua", "lua", "programming"), ("ex", "elixir", "programming"),
+    ("sh", "shell", "programming"), ("bash", "shell", "programming"), ("vue", "vue", "markup"), ("svelte", "svelte", "markup"), ("xml", "xml", "markup"), ("htm", "html", "markup"), ("css", "css", "style"), ("scss", "scss", "style"),
+    ("less", "less", "style"), ("graphql", "graphql", "data"), ("proto", "protobuf", "data"), ("tf", "terraform", "data"), ("yml", "yaml", "data"), ("mdx", "markdown", "prose"), ("rst", "restructuredtext", "prose"), ("txt", "text", "prose"),
 )
 FILENAMES = (("dockerfile", "dockerfile", "data"), ("makefile", "make", "programming"))
 MANIFESTS = (("package.json", "npm"), ("requirements.txt", "pip"), ("pyproject.toml", "pip"), ("go.mod", "go"), ("cargo.toml", "cargo"), ("pom.xml", "maven"), ("gemfile", "rubygems"), ("composer.json", "composer"))

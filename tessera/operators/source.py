@@ -25,8 +25,8 @@ SYNTAX = {
     "html": ("<!--(?:[^-]|-(?!->))*+(?:-->)?", _TEXT, "^<!--"),
 }
 FAMILIES = {
-    "c": ("typescript", "javascript", "go", "rust", "java", "c"), "python": ("python",), "hash": ("ruby", "yaml", "toml", "make", "dockerfile"),
-    "sql": ("sql",), "html": ("html", "markdown"),
+    "c": ("typescript", "javascript", "go", "rust", "java", "c", "cpp", "csharp", "kotlin", "swift", "php", "dart", "scala", "css", "scss", "less", "protobuf"), "python": ("python",),
+    "hash": ("ruby", "yaml", "toml", "make", "dockerfile", "shell", "terraform", "graphql", "elixir"), "sql": ("sql",), "html": ("html", "markdown", "xml", "vue", "svelte"),
 }
 # The words of each language that add a branch, and the operators that do.
 BRANCH_WORDS = {
@@ -120,7 +120,7 @@ HEADERS = {
     ),
     "java": (f"^\\s*(?:{_CONTROL}[\\w<>\\[\\],.&*:~]+\\s+)+[*&]*{_CONTROL}(\\w+)\\s*{_ARGS}\\s*(?:\\b(?:const|noexcept|override|throws\\s+[\\w.,\\s]+))*\\{{",),
 }
-_LIKE = {"javascript": "typescript", "c": "java"}
+_LIKE = {"javascript": "typescript", "c": "java", "cpp": "java", "csharp": "java"}
 #: Stands for a line end inside a header.
 _INNER = "\x1f"
 
@@ -188,6 +188,56 @@ def function_units(files: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
+#: Statements that may take several lines: lists of names from a module, blocks of modules.
+_STATEMENT = (
+    "\\b(?:import|export)\\b[^;'\"`()=]*?\\bfrom\\s*[\"'][^\"'\\n]+[\"']|\\bfrom[ \\t]+[\\w.]+[ \\t]+import[ \\t]*\\([^)]*+\\)|\\bimport[ \\t]*\\(\\s*+(?:[\\w.]*[ \\t]*\"[^\"\\n]*\"\\s*+)++\\)|\\buse\\s[^;]*+;"
+)
+_QUOTE = "[\"']([^\"'\\n]+)[\"']"
+#: Of each language: kind, where it is looked for in a line, and what in the found part names a module.
+IMPORTS = {
+    "javascript": (
+        ("static", f"^\\s*import\\b[^'\"]*\\bfrom\\s*{_QUOTE}", _QUOTE), ("reexport", f"^\\s*export\\b[^'\"]*\\bfrom\\s*{_QUOTE}", _QUOTE), ("side-effect", f"^\\s*import\\s*{_QUOTE}", _QUOTE),
+        ("require", f"\\brequire\\(\\s*{_QUOTE}\\s*\\)", _QUOTE), ("dynamic", f"\\bimport\\(\\s*{_QUOTE}\\s*\\)", _QUOTE),
+    ),
+    "python": (("static", "^\\s*from\\s+[\\w.]+\\s+import\\b", "from\\s+([\\w.]+)"), ("static", "^\\s*import\\s+[^(]+$", "(?:import|,)\\s+([\\w.]+)")),
+    "go": (("static", "^\\s*import\\b.*", "\"([^\"]+)\""),),
+    "rust": (("static", "^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?use\\s+[\\w:]+", "use\\s+([\\w:]*\\w)"), ("module", "^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?mod\\s+\\w+\\s*;", "mod\\s+(\\w+)")),
+    "java": (("static", "^\\s*import\\s+[\\w.*\\s]+;?", "import\\s+(?:static\\s+)?([\\w.]+(?:\\.\\*)?)"),),
+    "ruby": (("require", f"^\\s*require(?:_relative)?\\s*\\(?\\s*{_QUOTE}", _QUOTE),),
+    "c": (("include", "^\\s*#\\s*include\\s*[<\"][^>\"]+[>\"]", "[<\"]([^>\"]+)[>\"]"),),
+    "css": (("static", "@(?:import|use|forward)\\s+(?:url\\()?[\"']?[^\"')\\s;]+", "(?:@\\w+\\s+)(?:url\\()?[\"']?([^\"')\\s;]+)"),),
+}
+_IMPORTS_LIKE = {"typescript": "javascript", "vue": "javascript", "svelte": "javascript", "kotlin": "java", "scala": "java", "cpp": "c", "scss": "css", "less": "css"}
+
+
+def module_imports(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, language, line_no, specifier, kind) of what files (key, language, text) bring in, once a line.
+
+    Comments are gone before statements are looked for, and a statement over several lines
+    counts where it begins; a list of modules gives one row for each.
+    """
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "\\n\\z", "")
+    known = [*IMPORTS, *_IMPORTS_LIKE]
+    parts = F.regexp_extract_all(stripped(body, F.col("language")), F.lit(f"({_STATEMENT}|[\\w$]++|[^\\w$]++)"), F.lit(1))
+    whole = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^(?:import|export|from|use)\\b") & p.contains("\n"), F.translate(p, "\n", _INNER)).otherwise(p)), "")
+    ls = files.where(F.col("language").isin(*known)).select(key, "language", F.posexplode(F.split(whole, "\n")).alias("at", "line"))
+    extra = F.length("line") - F.length(F.replace("line", F.lit(_INNER), F.lit("")))
+    hint = F.col("line").rlike("\\b(?:import|export|from|require|require_relative|use|mod|include|forward)\\b")
+    before = F.sum(extra).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    ls = ls.withColumn("line_no", (F.col("at") + 1 + F.coalesce(before, F.lit(0))).cast("int")).where(hint)
+    flat = F.translate("line", _INNER, " ")
+    none, found = F.array().cast("array<struct<kind:string,specifier:string>>"), None
+    for language, rules in IMPORTS.items():
+        named = lambda kind, where, what: F.transform(
+            F.flatten(F.transform(F.regexp_extract_all(flat, F.lit(where), F.lit(0)), lambda h: F.regexp_extract_all(h, F.lit(what), F.lit(1)))), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("specifier"))
+        )
+        same = [language, *[k for k, v in _IMPORTS_LIKE.items() if v == language]]
+        mine = F.when(F.col("language").isin(*same), F.concat(*[named(*r) for r in rules]))
+        found = mine if found is None else F.coalesce(found, mine)
+    rows = ls.select(key, "language", "line_no", F.explode(F.coalesce(found, none)).alias("i")).select(key, "language", "line_no", "i.specifier", "i.kind")
+    return rows.groupBy(key, "language", "line_no", "specifier").agg(F.min("kind").alias("kind"))
+
+
 # Extensions tried for a specifier without one, in order, and names that stand for their folder.
 EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "vue", "svelte", "py", "go", "rs", "css", "scss", "json")
 INDEX_NAMES = ("index", "__init__", "mod", "main")

@@ -63,6 +63,24 @@ def _links(files):
     return files.select("path", found.alias("specifier"))
 
 
+_IMPORTS = """CASE o_orderkey % 8 WHEN 0 THEN concat('import {\\n  a,\\n  b,\\n} from "./m', o_custkey, '"\\n// import x from "gone"\\nconst c = require("r"); import("./d")\\nexport * from "e"\\n')
+    WHEN 1 THEN concat('from .m', o_custkey, ' import (\\n    a,\\n    b,\\n)\\nimport os, sys as s\\n# import gone\\n')
+    WHEN 2 THEN concat('package p\\nimport (\\n\\t"fmt"\\n\\tx "m', o_custkey, '"\\n)\\nimport "os"\\n')
+    WHEN 3 THEN concat('use std::io;\\nuse m', o_custkey, '::{\\n  a,\\n  b,\\n};\\nmod inner;\\n/* use gone; */\\n')
+    WHEN 4 THEN concat('package a;\\nimport java.util.*;\\nimport static m', o_custkey, '.X;\\n')
+    WHEN 5 THEN concat('require "set"\\nrequire_relative \\'m', o_custkey, '\\'\\n# require "gone"\\n')
+    WHEN 6 THEN concat('#include <stdio.h>\\n  # include "m', o_custkey, '.h"\\n')
+    ELSE concat('@import url("m', o_custkey, '.css");\\n/* @import "gone"; */\\n@import "b";\\n') END"""
+
+
+def module_imports(spark, sf_dir):
+    """What files of eight languages bring in, over one line or several, comments left out."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    language = F.expr("element_at(array('typescript', 'python', 'go', 'rust', 'java', 'ruby', 'c', 'css'), CAST(o_orderkey % 8 AS INT) + 1)")
+    files = rows.select(F.concat(F.lit("f"), "o_orderkey").alias("path"), language.alias("language"), F.expr(_IMPORTS).alias("text"))
+    return S.module_imports(files)
+
+
 def import_targets(spark, sf_dir):
     """The file that each file's import means, over extensions and both relative forms."""
     files = _sources(spark, sf_dir)
@@ -185,7 +203,7 @@ def stored_records(spark, sf_dir):
     return G.list_records(spark, path, "BUILDING", "even")
 
 
-QUERIES = {f.__name__: f for f in (source_lines, source_metrics, function_spans, function_shapes, import_targets, alias_targets, layer_rollup, xml_manifests, route_registrations, route_operations, api_operations, api_lint, entity_merge, output_scores, similarity_scores, commit_log_rows, stored_records)}
+QUERIES = {f.__name__: f for f in (source_lines, source_metrics, function_spans, function_shapes, module_imports, import_targets, alias_targets, layer_rollup, xml_manifests, route_registrations, route_operations, api_operations, api_lint, entity_merge, output_scores, similarity_scores, commit_log_rows, stored_records)}
 
 _F = f"f AS (SELECT o_orderkey AS o, {_SRC_PATH} AS path, o_orderkey % 3 = 0 AS py, CAST({_K} AS INTEGER) AS k, CAST({_N} AS INTEGER) AS n, CAST({_E} AS INTEGER) AS e FROM orders)"
 _LAYER = lambda c: f"CASE WHEN ({c}) % 7 = 0 THEN 'test' ELSE CASE ({c}) % 6 WHEN 0 THEN 'presentation' WHEN 1 THEN 'interface' WHEN 2 THEN 'application' WHEN 3 THEN 'domain' WHEN 4 THEN 'persistence' ELSE 'shared' END END"
@@ -206,6 +224,11 @@ ORACLES = {
         s AS (SELECT path, name, CASE WHEN m IN (2, 3) THEN 2 ELSE 1 END AS line_no, CASE m WHEN 0 THEN 5 + k WHEN 1 THEN 5 + 2 * k WHEN 2 THEN 4 + k WHEN 3 THEN 3 + k WHEN 4 THEN 2 + 2 * k ELSE 1 + k END AS end_line,
           CASE m WHEN 3 THEN 3 WHEN 5 THEN 1 ELSE 2 END AS parameters, 1 + k AS complexity FROM o)
         SELECT path, name, line_no, end_line, end_line - line_no + 1 AS lines, parameters, complexity FROM s""",
+    "module_imports": """WITH o AS (SELECT 'f' || o_orderkey AS path, o_orderkey % 8 AS k, 'm' || o_custkey AS m, ['typescript', 'python', 'go', 'rust', 'java', 'ruby', 'c', 'css'][CAST(o_orderkey % 8 AS INTEGER) + 1] AS language FROM orders),
+        h(k, line_no, head, tail, kind) AS (VALUES (0, 1, './', '', 'static'), (1, 1, '.', '', 'static'), (2, 2, '', '', 'static'), (3, 2, '', '', 'static'), (4, 3, '', '.X', 'static'), (5, 2, '', '', 'require'), (6, 2, '', '.h', 'include'), (7, 1, '', '.css', 'static')),
+        n(k, line_no, specifier, kind) AS (VALUES (0, 6, 'r', 'require'), (0, 6, './d', 'dynamic'), (0, 7, 'e', 'reexport'), (1, 5, 'os', 'static'), (1, 5, 'sys', 'static'), (2, 2, 'fmt', 'static'), (2, 6, 'os', 'static'), (3, 1, 'std::io', 'static'), (3, 6, 'inner', 'module'),
+          (4, 2, 'java.util.*', 'static'), (5, 1, 'set', 'require'), (6, 1, 'stdio.h', 'include'), (7, 3, 'b', 'static'))
+        SELECT path, language, line_no, head || m || tail AS specifier, kind FROM o JOIN h USING (k) UNION ALL SELECT path, language, line_no, specifier, kind FROM o JOIN n USING (k)""",
     "import_targets": f"WITH {_F} SELECT a.path, CASE WHEN a.py THEN '.f' ELSE './f' END || (a.o + 50) AS specifier, b.path AS target FROM f a LEFT JOIN f b ON b.o = a.o + 50",
     "alias_targets": f"WITH {_F} SELECT path, path AS target FROM f",
     "layer_rollup": f"""WITH p AS (SELECT o_custkey AS s, o_custkey + o_orderkey % 4 AS d FROM orders), l AS (SELECT {_LAYER("s")} AS layer, {_LAYER("d")} AS "to", s FROM p),
