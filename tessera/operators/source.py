@@ -202,7 +202,7 @@ IMPORTS = {
     "python": (("static", "^\\s*from\\s+[\\w.]+\\s+import\\b", "from\\s+([\\w.]+)"), ("static", "^\\s*import\\s+[^(]+$", "(?:import|,)\\s+([\\w.]+)")),
     "go": (("static", "^\\s*import\\b.*", "\"([^\"]+)\""),),
     "rust": (("static", "^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?use\\s+[\\w:]+", "use\\s+([\\w:]*\\w)"), ("module", "^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?mod\\s+\\w+\\s*;", "mod\\s+(\\w+)")),
-    "java": (("static", "^\\s*import\\s+[\\w.*\\s]+;?", "import\\s+(?:static\\s+)?([\\w.]+(?:\\.\\*)?)"),),
+    "java": (("static", "^\\s*import\\s+[\\w.*\\s]+;?", "import\\s+(?:static\\s+)?((?:\\w+\\.)*(?:\\w+|\\*))"),),
     "ruby": (("require", f"^\\s*require(?:_relative)?\\s*\\(?\\s*{_QUOTE}", _QUOTE),),
     "c": (("include", "^\\s*#\\s*include\\s*[<\"][^>\"]+[>\"]", "[<\"]([^>\"]+)[>\"]"),),
     "css": (("static", "@(?:import|use|forward)\\s+(?:url\\()?[\"']?[^\"')\\s;]+", "(?:@\\w+\\s+)(?:url\\()?[\"']?([^\"')\\s;]+)"),),

@@ -69,6 +69,21 @@ const f = function (a, b) {
     assert got == {"constructor": (2, 4, 1, 1), "run": (5, 10, 2, 4), "size": (11, 11, 0, 1), "inner": (15, 17, 1, 1), "f": (20, 21, 2, 1)}
 
 
+def test_module_imports(spark):
+    def found(language, text):
+        df = spark.createDataFrame([("f", language, text)], "path string, language string, text string")
+        return sorted((r.line_no, r.specifier, r.kind) for r in S.module_imports(df).collect())
+
+    js = "import a, {\n  b\n} from './x';\nimport 'side'\n/* import y from 'no' */\nexport { z } from \"./z\"\nconst q = require('q'), r = require('q')\nawait import('./lazy')\nimport type T from 't'\nconst s = \"import k from 'k'\""
+    assert found("typescript", js)[:6] == [(1, "./x", "static"), (4, "side", "side-effect"), (6, "./z", "reexport"), (7, "q", "require"), (8, "./lazy", "dynamic"), (9, "t", "static")]
+    assert found("python", "from . import a\nfrom ..b.c import (\n  d,\n)\nimport e, f.g as h\n# import no\nx = 'import no'\n") == [(1, ".", "static"), (2, "..b.c", "static"), (5, "e", "static"), (5, "f.g", "static")]
+    assert found("go", 'import (\n\t"a"\n\t_ "b/c" // why\n)\nimport d "e"\n') == [(1, "a", "static"), (1, "b/c", "static"), (5, "e", "static")]
+    assert found("kotlin", "import a.b.C\nimport d.*\n") == [(1, "a.b.C", "static"), (2, "d.*", "static")]
+    assert found("rust", "pub use a::b;\npub(crate) mod c;\n") == [(1, "a::b", "static"), (2, "c", "module")]
+    assert found("scss", '@use "a";\n@import url(b.css);\n') == [(1, "a", "static"), (2, "b.css", "static")]
+    assert found("python", None) == [] and found("markdown", "import a") == []
+
+
 def test_parameters(spark):
     from pyspark.sql import functions as F
 
