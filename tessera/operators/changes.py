@@ -56,6 +56,10 @@ def lint(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("issue"))
 
 
+#: A struct that orders as versions do; a prerelease is before its release.
+version = version_key
+
+
 def vulnerable(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies (ecosystem, name, version) inside an advisory's [low, high): an equi-join, then the range."""
     d = dependencies.withColumn("v", version_key(F.col("version"))).withColumn("package", F.lower("name"))

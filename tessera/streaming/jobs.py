@@ -100,8 +100,9 @@ class FirstEventWindows(StatefulProcessor):
     state of a key is its waiting times and the window that is open.
     """
 
-    def __init__(self, millis: int):
-        self.millis = millis
+    def __init__(self, length: int):
+        """length is in microseconds."""
+        self.length = length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -110,7 +111,7 @@ class FirstEventWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            seen = batch["millis"].groupby(batch["millis"]).size()
+            seen = batch["micros"].groupby(batch["micros"]).size()
             for at, n in zip(seen.index.tolist(), seen.tolist()):
                 before = self.waiting.getValue((at,))[0] if self.waiting.containsKey((at,)) else 0
                 self.waiting.updateValue((at,), (before + n,))
@@ -119,8 +120,13 @@ class FirstEventWindows(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self.advance(key, timerValues.getCurrentWatermarkInMs())
 
-    def advance(self, key, watermark: int) -> pd.DataFrame:
+    def wake(self, at: int) -> None:
+        """Ask for a call when the watermark, which counts in milliseconds, has passed at."""
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def advance(self, key, millis: int) -> pd.DataFrame:
         """Close what the watermark has passed, and ask to be woken for what comes next."""
+        watermark = millis * 1000
         times = sorted((at[0], n[0]) for at, n in self.waiting.iterator())
         start = self.open.get()[0] if self.open.exists() else None
         closed, place = [], 0
@@ -129,14 +135,14 @@ class FirstEventWindows(StatefulProcessor):
                 if place == len(times):
                     break
                 if times[place][0] >= watermark:  # an earlier event may still come
-                    self.handle.registerTimer(times[place][0] + 1)
+                    self.wake(times[place][0])
                     break
                 start = times[place][0]
-            if start + self.millis > watermark:
-                self.handle.registerTimer(start + self.millis)
+            if start + self.length > watermark:
+                self.wake(start + self.length)
                 break
             n, first = 0, place
-            while place < len(times) and times[place][0] < start + self.millis:
+            while place < len(times) and times[place][0] < start + self.length:
                 n += times[place][1]
                 place += 1
             for at, _ in times[first:place]:
@@ -147,7 +153,7 @@ class FirstEventWindows(StatefulProcessor):
             self.open.clear()
         else:
             self.open.update((start,))
-        return pd.DataFrame(closed, columns=["user_id", "millis", "n"])
+        return pd.DataFrame(closed, columns=["user_id", "micros", "n"])
 
     def close(self) -> None:
         pass
@@ -159,11 +165,11 @@ def first_event_windows(events: DataFrame, limit: int, seconds: int, lateness: s
     Events that come later than the watermark allows are left out; others may come in any order.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = events.withWatermark("ts", lateness).select("user_id", "ts", F.unix_millis("ts").alias("millis"))
+    rows = events.withWatermark("ts", lateness).select("user_id", "ts", F.unix_micros("ts").alias("micros"))
     got = rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=FirstEventWindows(seconds * 1000), outputStructType="user_id long, millis long, n long", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=FirstEventWindows(seconds * 1_000_000), outputStructType="user_id long, micros long, n long", outputMode="Append", timeMode="EventTime"
     )
-    start = F.timestamp_millis("millis").cast("timestamp_ntz")
+    start = F.timestamp_micros("micros").cast("timestamp_ntz")
     return got.select("user_id", start.alias("start"), "n", (F.col("n") > limit).alias("limited"))
 
 
