@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -16,6 +18,8 @@ from tessera.llm.common import id_crc, map_text, table, utf8_parts
 
 #: Buckets for each length of n-gram (2 and 3 bytes).
 BUCKETS = 4096
+#: Rows whose features are dense at a time (32 KB each, 64 in double precision).
+BLOCK = 500
 UNKNOWN = "und"
 
 
@@ -76,7 +80,9 @@ class LanguageModel:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         # In double precision and rounded, so that equal texts agree whatever rows lie beside them.
-        margin = np.round(x.astype(np.float64) @ self.weight.astype(np.float64), 4) + self.bias
+        weight = self.weight.astype(np.float64)
+        blocks = [x[lo : lo + BLOCK].astype(np.float64) @ weight for lo in range(0, max(len(x), 1), BLOCK)]
+        margin = np.round(np.concatenate(blocks), 4) + self.bias
         return np.stack([(np.logaddexp(0, -margin * row) * self.trust).sum(axis=1) for row in self.code], axis=1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,13 +95,38 @@ class LanguageModel:
         return loss.argmin(axis=1), share.max(axis=1), two[:, 0], gap
 
 
+def _packed():
+    """Features of every text as compressed bytes; most of them are zeros."""
+    return lambda column: {"x": pa.array([zlib.compress(r.astype("<f4").tobytes(), 1) for r in features(column)], pa.binary())}
+
+
+def _dealt(classes: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features and class numbers of four fifths of the packed rows, then those of every fifth.
+
+    Classes follow each other, and rows of a class are ordered by their bytes, not
+    as they arrived. Rows are unpacked class by class, straight into place.
+    """
+    label = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
+    n = len(label)
+    most, fifth = (np.empty((k, 2 * BUCKETS), np.float32) for k in (n - n // 5, n // 5))
+    at = 0
+    while classes:
+        for row in sorted(map(zlib.decompress, classes.pop(0))):
+            k, aside = at // 5, at % 5 == 4
+            (fifth if aside else most)[k if aside else at - k] = np.frombuffer(row, "<f4")
+            at += 1
+    aside = np.arange(n) % 5 == 4
+    return most, label[~aside], fifth, label[aside]
+
+
 def fit(docs: DataFrame, train: Column, per_language: int = 500, most_texts: int = 8000, rounds: int = 150) -> LanguageModel:
     """Learn from about per_language texts of each value of lang, fewer where that makes more than most_texts.
 
     The texts are those of least hash of doc_id and text, an even draw that is
     the same at every run; repeated texts count once. One logistic classifier a
     bit of the codewords is trained on the driver over four fifths of them,
-    about most_texts rows of features (32 KB each) at the most. A bit's trust
+    about most_texts rows of features (32 KB each) at the most, which travel
+    compressed (2 to 6 KB) and are laid into one matrix there. A bit's trust
     is how far its accuracy exceeds chance. On the last fifth the scale of belief is
     fitted, and the bounds outside which a text is ambiguous or in none of the
     languages: half the gap that 99 of 100 texts exceed, and half more than the
@@ -111,22 +142,13 @@ def fit(docs: DataFrame, train: Column, per_language: int = 500, most_texts: int
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text")), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.where(draw < F.element_at(limit, F.col("lang"))).select("lang", "text").distinct()
 
-    def start():
-        def work(column):
-            x = features(column)
-            return {"x": pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())}
-
-        return work
-
-    got = map_text(sample, start, [T.StructField("x", T.BinaryType())], ("lang",)).toPandas()
-    got = got.sort_values(["lang", "x"], kind="stable")
-    if got.empty:
+    packed: dict[str, list[bytes]] = defaultdict(list)
+    for r in map_text(sample, _packed, [T.StructField("x", T.BinaryType())], ("lang",), rows=BLOCK).collect():
+        packed[r["lang"]].append(r["x"])
+    if not packed:
         return LanguageModel()
-    langs = sorted(set(got["lang"]))
-    every = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), -1)
-    labels = np.array([langs.index(v) for v in got["lang"]])
-    aside = np.arange(len(got)) % 5 == 4
-    x, label = every[~aside], labels[~aside]
+    langs = sorted(packed)
+    x, label, kept_x, kept_label = _dealt([packed.pop(v) for v in langs])
     code = codewords(len(langs))
     y = code[label]
     weight = np.zeros((x.shape[1], code.shape[1]), np.float32)
@@ -140,7 +162,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = 500, most_texts: int
         weight, bias = (weight + slow_w).astype(np.float32), bias + slow_b
     right = ((x @ weight + bias) * y > 0).mean(axis=0) if len(bias) else np.zeros(0)
     model = LanguageModel(langs, code, weight, bias, np.maximum(2 * right - 1, 0.05))
-    return _calibrated(model, every[aside], labels[aside]) if aside.any() and len(langs) > 1 else model
+    return _calibrated(model, kept_x, kept_label) if len(kept_x) and len(langs) > 1 else model
 
 
 def _calibrated(model: LanguageModel, x: np.ndarray, label: np.ndarray) -> LanguageModel:
@@ -177,10 +199,10 @@ def _start(model: LanguageModel):
             unsure, foreign = np.zeros(len(column), bool), np.zeros(len(column), bool)
             if model.langs:
                 names = np.array(model.langs, object)
-                for lo in range(0, len(column), 500):
-                    best, sure, nearest, gap = model.predict(features(column.slice(lo, 500)))
-                    pred[lo : lo + 500], score[lo : lo + 500] = names[best], sure
-                    unsure[lo : lo + 500], foreign[lo : lo + 500] = gap < model.least_gap, nearest > model.most_loss
+                for lo in range(0, len(column), BLOCK):
+                    best, sure, nearest, gap = model.predict(features(column.slice(lo, BLOCK)))
+                    pred[lo : lo + BLOCK], score[lo : lo + BLOCK] = names[best], sure
+                    unsure[lo : lo + BLOCK], foreign[lo : lo + BLOCK] = gap < model.least_gap, nearest > model.most_loss
             pred[empty], score[empty] = UNKNOWN, 0.0
             return {
                 "lang_pred": pa.array(pred, pa.string()),

@@ -1,6 +1,8 @@
+import tracemalloc
+
 import numpy as np
 
-from tessera.llm.language import UNKNOWN, LanguageModel, codewords, fit, held_out, identify, keep_identified, op2_language
+from tessera.llm.language import BUCKETS, UNKNOWN, LanguageModel, codewords, fit, held_out, identify, keep_identified, op2_language
 from pyspark.sql import functions as F
 
 
@@ -60,3 +62,16 @@ def test_mixed_texts_are_ambiguous_and_clean_ones_stay(spark, sf):
     assert any(r["ambiguous"] for r in got)
     assert identify(docs, model).where("ambiguous").count() <= 0.05 * docs.count()
     assert keep_identified(docs, model).count() == docs.count()
+
+
+def test_fit_holds_one_matrix_on_the_driver(spark, sf):
+    """Rows of features reach the driver small, and there is one dense copy of them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
+    docs = docs.crossJoin(spark.range(6)).select("doc_id", F.concat("text", F.lit(" x"), "id").alias("text"), "lang")
+    rows = docs.select("lang", "text").distinct().count()
+    tracemalloc.start()
+    model = fit(docs, F.lit(True), per_language=10**6, most_texts=10**7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.langs) > 1
+    assert peak < 1.9 * rows * 2 * BUCKETS * 4
