@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.rules import hashed_vectors
+from tessera.operators.rules import hashed_similarity
 
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 PARAMETER = ":([A-Za-z0-9_]+)"
@@ -106,14 +106,13 @@ def scored_outputs(cases: DataFrame, key: str, pattern: str = "", least: int = 0
         one("length", long.between(least, most), F.lit(1)),
     )
     got = rows.withColumn("__body", body).select(key, F.explode(plain).alias("s")).select(key, "s.*")
-    sides = F.explode(F.create_map(F.lit("output"), F.col("output"), F.lit("expected"), F.col("expected")))
-    texts = rows.where("expected is not null").select(key, sides.alias("side", "text")).select(F.struct(key, "side").alias("text_key"), "text")
-    vectors = hashed_vectors(texts, "text_key")
-    side = lambda name: vectors.where(F.col("text_key.side") == name).select(F.col(f"text_key.{key}").alias(key), F.col("v").alias(name))
-    dot = F.aggregate(F.zip_with("output", "expected", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    close = side("output").join(side("expected"), key).select(key, F.greatest(F.least(dot, F.lit(1.0)), F.lit(0.0)).alias("score"))
-    alike = rows.select(key, F.col("expected").isNotNull().cast("double").alias("weight")).join(close, key, "left")
-    return got.unionByName(alike.select(key, F.lit("similarity").alias("scorer"), F.coalesce("score", F.lit(0.0)).alias("score"), "weight"))
+    return got.unionByName(similarity(rows, key))
+
+
+def similarity(cases: DataFrame, key: str) -> DataFrame:
+    """(key, scorer, score, weight) of cases (key, output, expected): the scorer of likeness alone. A null output is empty."""
+    got = hashed_similarity(cases.withColumn("output", F.coalesce("output", F.lit(""))), key, "output", "expected")
+    return got.select(key, F.lit("similarity").alias("scorer"), F.coalesce("similarity", F.lit(0.0)).alias("score"), F.col("similarity").isNotNull().cast("double").alias("weight"))
 
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:

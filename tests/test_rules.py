@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.operators import rules
 
 
@@ -46,6 +47,49 @@ def test_hashed_vectors(spark):
     assert dot(1, 2) == pytest.approx(1) and dot(1, 3) < 0.6 and math.isclose(dot(3, 3), 1)
 
 
+def odd_texts(rng):
+    words = ["parseHTTPRequest", "the", "snake_case_name", "$x", "_a_", "ABCdEFg", "Ünï", "İst", "ΣΑΣ", "😀", "x1Y", "a", "\t", "  ", "9", "--", "日本語", "fooBar", "FOO", "foo"]
+    return ["", " ", "a", " Z ", "ab", *("".join(rng.choice([*words, " ", " "]) for _ in range(rng.randint(1, 60))) for _ in range(40))]
+
+
+def test_hashed_features_are_those_of_tokens_and_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(rules, "SLICE_ROWS", 7)
+    texts = odd_texts(random.Random(7))
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, text string")
+    said = df.select("id", text.tokens(F.col("text")).alias("words"), text.ngrams(F.col("text")).alias("grams")).where("words is not null")
+    hashes = {r["f"]: r["h"] for r in said.select(F.explode(F.concat("words", "grams")).alias("f")).distinct().select("f", text.fnv1a32(F.col("f")).alias("h")).collect()}
+    got = {r["id"]: r["v"] for r in rules.hashed_vectors(df, "id", 64).collect()}
+    assert set(got) == set(range(len(texts)))
+    for r in said.collect():
+        want = [0.0] * 64
+        for share, features in ((1, r["words"]), (0.25, r["grams"])):
+            for f in set(features):
+                want[hashes[f] % 64] += share * (1 + math.log(features.count(f))) * (-1 if hashes[f] >> 16 & 1 else 1)
+        norm = max(math.sqrt(sum(x * x for x in want)), 1e-12)
+        assert got[r["id"]] == pytest.approx([x / norm for x in want], abs=1e-9), texts[r["id"]]
+
+
+def test_trigrams_of_a_text_in_several_steps():
+    low = ["", "abcabcab", "日本語", "x", " ".join(map(str, range(50)))]
+    whole, parts = (sorted(zip(*map(list, rules._gram_features(low, step)))) for step in (1 << 20, 5))
+    assert whole == parts and sum(n for _, _, n in whole) == sum(max(len(t), 1) for t in low)
+
+
+def test_similarity_of_two_texts_moves_neither(spark):
+    texts = odd_texts(random.Random(8))
+    other = [texts[-1 - i] if i % 3 else t for i, t in enumerate(texts)]
+    rows = [*((i, a, b) for i, (a, b) in enumerate(zip(texts, other))), (-1, "a", None), (-2, None, "b"), (-3, None, None)]
+    got = rules.hashed_similarity(spark.createDataFrame(rows, "id long, a string, b string"), "id", "a", "b")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    both = {(r["side"], r["id"]): r["v"] for side, ts in (("a", texts), ("b", other)) for r in rules.hashed_vectors(spark.createDataFrame([*enumerate(ts)], "id long, text string"), "id").withColumn("side", F.lit(side)).collect()}
+    for r in got.collect():
+        if r["id"] < 0:
+            assert r["similarity"] is None
+        else:
+            dot = sum(x * y for x, y in zip(both["a", r["id"]], both["b", r["id"]]))
+            assert r["similarity"] == pytest.approx(min(max(dot, 0), 1), abs=1e-9)
+
+
 def test_leader_groups_are_one_pass_in_order(spark):
     rng = random.Random(4)
     pairs = {(a, b) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.2}
