@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,57 +31,103 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     return a.join(b, ["query_id", "id"], "full_outer").withColumn("score", F.round(part("lexical_rank") + part("semantic_rank"), 6))
 
 
-def _blocks(rows: DataFrame, per_block: int, number: str) -> tuple[DataFrame, int]:
-    """Unit vectors (g, id, v) as matrices: (g, number, ids, matrix, dim), and how many numbers there are."""
-    count = max(1, math.ceil(rows.count() / per_block))
-
-    def pack(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy().astype(np.int64)
-        v = np.array(table.column("v").to_pylist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        columns = [[key[0].as_py()], [key[1].as_py()], [ids.tobytes()], [v.tobytes()], [v.shape[1]]]
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["g", number, "ids", "matrix", "dim"])
-
-    dealt = rows.withColumn(number, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("g", number).applyInArrow(pack, f"g string, {number} int, ids binary, matrix binary, dim int"), count
+#: Numbers in a block of vectors at most, and queries beyond which a group of one block is dealt to several blocks of them, up to four for cores' sake.
+BLOCK_VALUES, FEW_QUERIES = 1 << 22, 4096
+
+
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in ascending order and their unit vectors; vectors with null or non-finite components fall out."""
+    lists = rows.column("v").combine_chunks()
+    v = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float)
+    v = v.reshape(len(lists), len(v) // len(lists))
+    ids = rows.column("id").to_numpy()
+    good = np.flatnonzero(np.isfinite(v).all(axis=1))
+    good = good[np.argsort(ids[good], kind="stable")]
+    v = v[good]
+    return ids[good], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _top_of(exact: np.ndarray, top: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the top values of every row by six digits, then by column; 64 divides the number of columns."""
+    peaks = exact.reshape(len(exact), 64, -1).max(axis=1)
+    bar = np.full(len(exact), least)
+    if peaks.shape[1] >= top:  # as many columns reach this, so no lower value is among the top
+        bar = np.maximum(bar, np.partition(peaks, peaks.shape[1] - top, axis=1)[:, peaks.shape[1] - top])
+    row, col = np.nonzero(exact >= bar[:, None] - 2e-6)
+    s = np.round(exact[row, col], 6)
+    row, col, s = row[s >= least], col[s >= least], s[s >= least]
+    # Of values that tie side by side, as copies do, the first ones are enough.
+    at = np.arange(len(row))
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] != s[:-1])])[: len(row)]
+    few = at - np.maximum.accumulate(np.where(new, at, 0)) < top
+    row, col, s = row[few], col[few], s[few]
+    order = np.lexsort((col, -s, row))
+    row, col = row[order], col[order]
+    ahead = np.arange(len(row)) - np.searchsorted(row, row) < top
+    return row[ahead], col[ahead]
+
+
+def _several_blocks(right: DataFrame, left: DataFrame, block: int) -> DataFrame:
+    """(g, dim, n_right, n_left): numbers of blocks of the groups that have more than one on a side.
+
+    The list is short however many groups there are, as such a group has thousands of rows.
+    """
+    count = lambda df, name: df.groupBy("g", "dim").agg(F.count("*").alias(name))
+    most = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.col("dim"), F.lit(1)))))
+    n_right, n_left = F.ceil(F.col("n") / most), F.ceil(F.col("asked") / most)
+    n_left = F.when(n_right > 1, n_left).otherwise(F.greatest(n_left, F.least(F.lit(4), F.ceil(F.col("asked") / FEW_QUERIES))))
+    sizes = count(right, "n").join(count(left, "asked"), ["g", "dim"]).select("g", "dim", n_right.alias("n_right"), n_left.alias("n_left"))
+    return sizes.where("n_right > 1 or n_left > 1")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, group: str | None = None, least: float = -2.0, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, group: str | None = None, least: float = -2.0, block: int = 32768) -> DataFrame:
     """The top most similar other vectors of every query: (query_id, id, similarity, rank).
 
     vectors and queries are (id, v), with a column group where only rows of one
-    group are compared. Both sides are packed into matrices; every pair of blocks
-    is one product that keeps the top rows of each query, so what is shuffled is
-    blocks and top rows, never a row a pair. Rows with a null id, vector or group
-    are left out; similarities below least too.
+    group are compared. A group's rows are dealt to blocks of up to block rows, by
+    the group's own size; every pair of blocks is one product, in strips, that
+    keeps the top rows of each query. So a row is shuffled once for each block of
+    the other side, and never a row a pair. Similarities count by their six digits,
+    ties by id; vectors of different lengths never meet. Rows with a null id, vector
+    or group are left out, so are vectors with components that are null or not
+    finite, and similarities below least.
     """
-    side = lambda df: df.select((F.col(group).cast("string") if group else F.lit("")).alias("g"), "id", "v").dropna()
-    right, n_right = _blocks(side(vectors), block, "i")
-    left, n_left = _blocks(side(queries), block // 4, "j")
-    right = right.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).select("g", "i", "j", F.col("ids").alias("asked"), F.col("matrix").alias("q"))
-    pairs = left.join(right, ["g", "i", "j"]).select("asked", "q", "ids", "matrix", "dim")
-
-    def best(batches):
-        for batch in batches:
-            for asked, q, ids, matrix, dim in zip(*[c.to_pylist() for c in batch.columns]):
-                asked, ids = np.frombuffer(asked, np.int64), np.frombuffer(ids, np.int64)
-                exact = np.frombuffer(q).reshape(-1, dim) @ np.frombuffer(matrix).reshape(-1, dim).T
-                s = np.round(exact, 9)
-                s[asked[:, None] == ids[None, :]] = -np.inf
-                keep = min(top, len(ids))
-                bar = np.partition(s, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                row, col = np.nonzero((s >= bar[:, None]) & (s >= least))
-                # Ties at the bar are cut by id.
-                order = np.lexsort((ids[col], -s[row, col], row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < keep], col[place < keep]
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(exact[row, col])], ["query_id", "id", "similarity"])
-
-    found = pairs.mapInArrow(best, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", 6))
+    least = max(least, -2.0)
+
+    def side(df: DataFrame) -> DataFrame:
+        kind = df.schema["v"].dataType
+        v = F.col("v") if kind.simpleString() in ("array<float>", "array<double>") else F.col("v").cast("array<double>")
+        return df.select((F.col(group).cast("string") if group else F.lit("")).alias("g"), F.col("id").cast("long").alias("id"), v.alias("v"), F.size("v").alias("dim")).dropna()
+
+    right, left = side(vectors), side(queries)
+    large = F.broadcast(_several_blocks(right, left, block))
+
+    def dealt(rows: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        count = lambda n: F.coalesce(n, F.lit(1).cast("long"))
+        mine = F.pmod(F.xxhash64("id"), count(F.col(n_own))).alias(own)
+        return rows.join(large, ["g", "dim"], "left").select("g", "dim", "id", "v", mine, F.explode(F.sequence(F.lit(0).cast("long"), count(F.col(n_other)) - 1)).alias(other))
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and rows.num_rows:
+            (queries, q), (ids, m) = _matrix(asked), _matrix(rows)
+            m = np.concatenate([m, np.zeros((-len(m) % 64, m.shape[1]))])
+            strip = max(1, min(512, BLOCK_VALUES // max(len(m), 1)))
+            for lo in range(0, len(q) if len(ids) else 0, strip):
+                exact = q[lo : lo + strip] @ m.T
+                exact[:, len(ids) :] = -4.0
+                mine = queries[lo : lo + strip]
+                here, end = np.searchsorted(ids, mine), np.searchsorted(ids, mine, "right")
+                while (own := np.flatnonzero(here < end)).size:
+                    exact[own, here[own]] = -4.0
+                    here[own] += 1
+                row, col = _top_of(exact, top, least)
+                found.append((mine[row], ids[col], exact[row, col]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "id", "similarity"])
+
+    pair = ["g", "dim", "i", "j"]
+    met = dealt(left, "j", "n_left", "i", "n_right").groupBy(*pair).cogroup(dealt(right, "i", "n_right", "j", "n_left").groupBy(*pair))
+    found = met.applyInArrow(best, "query_id long, id long, similarity double").withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
