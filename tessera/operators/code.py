@@ -256,20 +256,56 @@ def route_template(path: Column) -> Column:
     return F.regexp_replace(named, "/(?:[0-9]+|[0-9a-f]{16,})(?=/|$)", "/:id")
 
 
+def _keyed_templates(templates: DataFrame) -> DataFrame:
+    """(template, shape, key): what a path that fits a template has for sure.
+
+    The shape says how a path's key is cut: of each segment a parameter gives *, one with
+    dots a mask of its characters, any other itself. A dot of a template stands for any character, so
+    there is a row for each choice of a slash in its place. Templates whose parameters are parts of segments,
+    with other signs of expressions or with more than four dots go by the text before the first sign.
+    """
+    sign, slot = "[\\\\^$|?*+()\\[\\]{}]", "^:[a-z]+$"
+    segments = F.split("template", "/")
+    odd = F.col("template").rlike(sign) | F.exists(segments, lambda s: s.rlike(":[a-z]") & ~s.rlike(slot)) | (F.regexp_count("template", F.lit("\\.")) > 4)
+    parts = F.split("template", "\\.")
+    either = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(parts[0]), lambda done, p: F.concat(F.transform(done, lambda d: F.concat(d, F.lit("."), p)), F.transform(done, lambda d: F.concat(d, F.lit("/"), p))))
+    shape = lambda s: F.when(s.rlike(slot), "*").when(s.contains("."), F.regexp_replace(s, "[^.]", "x")).otherwise("")
+    key = lambda s: F.when(s.rlike(slot), "*").otherwise(s)
+    joined = lambda f: F.array_join(F.transform(F.split("way", "/"), f), "/")
+    even = templates.where(~odd).select("template", F.explode(either).alias("way")).select("template", joined(shape).alias("shape"), joined(key).alias("key"))
+    before = F.split("template", f":[a-z]|[.]|{sign}", 2)[0]
+    # A sign of repetition is about the character before it.
+    sure = F.length(before) - F.substring(F.col("template"), F.length(before) + 1, F.lit(1)).isin("?", "*", "+", "{").cast("int")
+    size = F.when(F.col("template").contains("|"), 0).otherwise(F.greatest(sure, F.lit(0)))
+    return even.unionByName(templates.where(odd).select("template", F.concat(F.lit("first "), size).alias("shape"), F.substring(F.col("template"), F.lit(1), size).alias("key")))
+
+
+def _keyed_paths(requests: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(request_id, path, shape, key): the key of every path in every shape (shape) that it can have."""
+    size = F.regexp_extract("shape", "^first ([0-9]+)$", 1)
+    lead = shapes.where(size != "").select("shape", size.cast("int").alias("size"))
+    led = requests.join(F.broadcast(lead), F.length("path") >= F.col("size")).select("request_id", "path", "shape", F.substring(F.col("path"), F.lit(1), F.col("size")).alias("key"))
+    even = shapes.where(size == "").select("shape", F.split("shape", "/").alias("masks")).withColumn("n", F.size("masks"))
+    cut = requests.select("request_id", "path", F.split("path", "/").alias("segments")).withColumn("n", F.size("segments")).join(F.broadcast(even), "n")
+    fits = F.forall(F.zip_with("segments", "masks", lambda s, m: m.isin("", "*") | (F.length(s) == F.length(m))), lambda ok: ok)
+    masked = lambda s, m: F.array_join(F.zip_with(F.split(s, ""), F.split(m, ""), lambda c, x: F.when(x == ".", x).otherwise(c)), "")
+    key = F.zip_with("segments", "masks", lambda s, m: F.when(m == "", s).when(m == "*", m).otherwise(masked(s, m)))
+    return led.unionByName(cut.where(fits).select("request_id", "path", "shape", F.array_join(key, "/").alias("key")))
+
+
 def match_routes(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """requests (request_id, path) with the template that fits: fewest parameters, then the longest.
 
-    Templates meet requests of as many segments and the same first segment, or
-    a parameter in its place, so this is an equi-join with a check, no product.
+    Parameters are :name; the rest of a template is read as an expression, as its SQL does. Templates
+    meet requests on keys cut in the few shapes that templates have, so this is an equi-join
+    with a check, no product, however many templates differ in literal text alone.
     """
-    n = lambda p: F.size(F.split(p, "/"))
-    t = templates.select(
-        "template", n(F.col("template")).alias("n"), F.regexp_count("template", F.lit(":[a-z]+")).alias("parameters"),
-        F.concat(F.lit("^"), F.regexp_replace("template", ":[a-z]+", "[^/]+"), F.lit("$")).alias("regex"), F.split("template", "/")[1].alias("first"),
-    )
-    r = requests.select("request_id", "path", n(F.col("path")).alias("n"), F.explode(F.array(F.split("path", "/")[1], F.lit(":id"))).alias("first"))
-    fit = r.join(t, ["n", "first"]).where("path rlike regex")
-    best = fit.groupBy("request_id").agg(F.min_by("template", F.struct("parameters", -F.length("template"), "template")).alias("template"))
+    t = _keyed_templates(templates.where("template is not null").distinct())
+    asked = _keyed_paths(requests, t.select("shape").distinct())
+    regex = F.concat(F.lit("(?d)^(?:"), F.regexp_replace("template", ":[a-z]+", "[^/]+"), F.lit(")\\z"))
+    fit = asked.join(t, ["shape", "key"]).where(F.rlike("path", regex))
+    rank = F.struct(F.regexp_count("template", F.lit(":[a-z]+")), -F.length("template"), "template")
+    best = fit.groupBy("request_id").agg(F.min_by("template", rank).alias("template"))
     return requests.join(best, "request_id", "left")
 
 
